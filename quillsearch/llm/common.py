@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
+
 #: ASCII white space, as a character class body; words are maximal runs of anything else.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -24,6 +26,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def worker_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """texts() for an operator with Python on the executors."""
+    return texts(shipped(docs), id_col, text_col)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"))
 

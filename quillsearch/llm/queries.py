@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality
+from . import bpe, exact_dedup, quality, token_files
 from .common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the published vocabulary files lie on this machine and its executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trips(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -17,6 +32,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op6_token_files": op6_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
