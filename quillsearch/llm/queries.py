@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, quality, token_files
+from . import bpe, exact_dedup, quality, simhash, token_files
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chars")
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_token_files": op6_token_files,
     "op5_quality_rules": op5_quality_rules,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE}
