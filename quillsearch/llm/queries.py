@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, quality, simhash, token_files
+from . import bpe, exact_dedup, mixing, quality, simhash, token_files, toxicity
 from .common import table
 
 
+def op3_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path(name: str) -> str:
     """Where the published vocabulary files lie on this machine and its executors."""
     import public_tokenizers
@@ -31,15 +35,21 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
 QUERIES = {
+    "op3_mix_to_targets": op3_mix_to_targets,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_token_files": op6_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE}
