@@ -31,7 +31,7 @@ SEED = 42
 #: Fingerprints of one variant that are compared in one piece.
 PIECE = 2048
 #: Groups up to this size are compared row against row all at once.
-SMALL = 12
+SMALL = 24
 
 
 def lanes_of(text: str, size: int = SHINGLE_WORDS, lanes: int = 1) -> list[int]:
@@ -142,10 +142,12 @@ def links(fps: DataFrame, bits: int = MAX_BITS, lanes: int = 1, first_bits: int
     keys = [variants(F.col("fp") if k == 0 else F.get("more", F.lit(k - 1)), MAX_BITS if lanes > 1 else bits, k) for k in range(lanes)]
     index = fps.select("fp", F.explode(F.concat(*keys)).alias("key"))
     w = Window.partitionBy("key")
-    met = index.select("fp", "key", F.count("*").over(w).alias("n"), (F.row_number().over(w.orderBy("fp")) - 1).alias("at")).where("n > 1")
+    met = index.select("fp", "key", F.count("*").over(w).alias("n"), (F.row_number().over(w.orderBy("fp")) - 1).alias("at"))
+    few = met.where((F.col("n") > 1) & (F.col("n") <= piece)).select("fp", F.col("key").alias("unit"))  # together and in order already
     mine = F.floor(F.col("at") / piece).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / piece).cast("int")))
-    met = met.select("key", "fp", mine.alias("i"), other.alias("j")).select("fp", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("unit"))
+    many = met.where(F.col("n") > piece).select("key", "fp", mine.alias("i"), other.alias("j"))
+    many = many.select("fp", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("unit")).repartition("unit").sortWithinPartitions("unit")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -160,7 +162,7 @@ def links(fps: DataFrame, bits: int = MAX_BITS, lanes: int = 1, first_bits: int
         if len(keys):
             yield _edges(keys, held, at_first)
 
-    found = met.repartition("unit").sortWithinPartitions("unit").mapInPandas(run, "a long, b long").distinct()
+    found = few.mapInPandas(run, "a long, b long").unionByName(many.mapInPandas(run, "a long, b long")).distinct()
     if lanes == 1:
         return found
     side = lambda c: fps.select(F.col("fp").alias(c), F.col("more").alias(f"more_{c}"))
