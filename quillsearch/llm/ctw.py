@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import block_count, worker_texts, written
 
-DEPTH = 4
-BLOCK_BYTES = 24 << 20
+DEPTH = 5
+BLOCK_BYTES = 32 << 20
 CHUNK_BYTES = 4 << 20
 END = b"\n"
 HALF = math.log(0.5)

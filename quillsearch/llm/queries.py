@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, exact_dedup, mixing, quality, simhash, token_files, toxicity
+from . import bpe, ctw, exact_dedup, mixing, quality, simhash, substrings, token_files, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scores(table(spark, sf_dir, "documents"))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ctw_scores": op1_ctw_scores,
+    "op2_repeated_passages": op2_repeated_passages,
     "op3_mix_to_targets": op3_mix_to_targets,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_token_files": op6_token_files,
