@@ -59,13 +59,14 @@ def block_count(docs: DataFrame, text_col: str = "text", block_bytes: int = 12 <
     return max(1, -(-int(total) // block_bytes))
 
 
+def joined_key(*parts: Column) -> Column:
+    """One string that is never null and names the parts; parts hold no |."""
+    return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """Rows of docs whose keys are in kept, one of those that agree in all keys. One exchange of docs."""
-    from pyspark.sql import Window
-
-    names = [f"__{k}" for k in keys]
-    left = docs.withColumns(dict(zip(names, keys.values())))
-    right = kept.select(*[F.col(k).alias(f"__r{k}") for k in keys])
-    on = [left[f"__{k}"].eqNullSafe(right[f"__r{k}"]) for k in keys]
-    one = Window.partitionBy(*names).orderBy(F.lit(1))
-    return left.join(right, on, "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n", *names)
+    """Rows of docs whose keys are in kept, one of those that agree in all keys. One exchange of docs: what follows the
+    join groups by its key."""
+    left = docs.withColumn("__key", joined_key(*keys.values()))
+    right = kept.select(joined_key(*map(F.col, keys)).alias("__key"))
+    return left.join(right, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import joined_key, texts, words, written
 from .subword import scored, train
 
 DOMAINS = ("clean", "low_quality", "toxic")
@@ -40,14 +40,12 @@ def expected_tokens(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     trained = train(docs, known, k, False, **options)
     model = trained[0] if trained else np.zeros((2, k), np.float32)  # nothing to learn from: every domain alike
 
-    def totals(part: pd.DataFrame, doc: np.ndarray, words: np.ndarray, p: np.ndarray) -> pd.DataFrame:
+    def totals(part: pd.DataFrame, doc: np.ndarray, sizes: np.ndarray, p: np.ndarray) -> pd.DataFrame:
         n = len(part)
-        by = np.stack([np.bincount(doc, words * p[:, i], n) for i in range(k)], axis=1)
-        return pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "n_words": np.bincount(doc, words, n).astype(np.int64), "tokens": list(by)})
+        by = np.stack([np.bincount(doc, sizes * p[:, i], n) for i in range(k)], axis=1)
+        return pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "n_words": np.bincount(doc, sizes, n).astype(np.int64), "tokens": list(by)})
 
     if trained is None:
-        from .common import texts, words
-
         even = texts(docs).select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
         return even.select("doc_id", "n_words", F.array(*[F.col("n_words") / k] * k).alias("tokens"))
     return scored(docs, model, totals, "doc_id long, n_words long, tokens array<double>")
@@ -103,7 +101,7 @@ def mixed(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET
 def thinned(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, certain: float = 0.5, **options) -> DataFrame:
     """docs with all its columns, each row kept with its rate as probability: by a hash of its id, so the same rows each
     time. Rows that are clean by more than certain are kept whatever their rate: thinning is for the other domains."""
-    rates = mixed(docs, labels, target, **options).select(F.col("doc_id").alias("__id"), "rate", "p_clean").groupBy("__id").agg(F.max("rate").alias("__rate"), F.max("p_clean").alias("__clean"))
+    rates = mixed(docs, labels, target, **options).select(joined_key(F.col("doc_id")).alias("__key"), "rate", "p_clean").groupBy("__key").agg(F.max("rate").alias("__rate"), F.max("p_clean").alias("__clean"))
     u = F.pmod(F.xxhash64(F.lit("mix"), docs["doc_id"].cast("long")), F.lit(1 << 30)) / float(1 << 30)
-    placed = docs.join(rates, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")))
-    return placed.where((F.col("__clean") > certain) | (u < F.col("__rate"))).drop("__id", "__rate", "__clean")
+    placed = docs.withColumns({"__key": joined_key(docs["doc_id"].cast("long")), "__u": u}).join(rates, "__key")
+    return placed.where((F.col("__clean") > certain) | (F.col("__u") < F.col("__rate"))).drop("__key", "__u", "__rate", "__clean")

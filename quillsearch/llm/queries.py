@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, exact_dedup, mixing, quality, simhash, substrings, token_files, toxicity
+from . import bpe, ctw, exact_dedup, fixity, mixing, quality, simhash, substrings, token_files, toxicity
 from .common import table
 
 
@@ -60,6 +60,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_merkle_fixity": fixity.query,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op9_merkle_fixity": fixity.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
