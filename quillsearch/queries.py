@@ -21,6 +21,7 @@ _built: dict[tuple, object] = {}
 #: Queries of the batch searches over the parts catalogue: plain, misspelt, written together, partial, a number, nothing, nonsense.
 SEARCHES = ["small red widget", "wigdet", "widgetring", "hot plates", "smal gear", "widg musical", "promo blue gear", "17", "", "zzzzqqq", "flash cold rod", "gizom", "old anvil hot", "red red bolt", "animated blue ring"]
 PREFIXES = ["the", "res", "ent", "inter", "tion", "que"]
+MISSPELT = ["wigdet", "gizom", "plaet", "smal", "anvill", "widget", "xyz", "zzzzzzzz", "larg", "standrad"]
 TYPED = ["sm", "small g", "red", "bo", "w", "gear", "hot pl"]
 
 
@@ -128,7 +129,7 @@ def word_variants(s, d):
 
 
 def spell_correct(s, d):
-    return spell.corrections(parts_index(s, d), _words(s, ["wigdet", "gizom", "plaet", "smal", "anvill", "widget", "xyz", "zzzzzzzz", "larg", "standrad"])).select("word", "corrected", F.col("distance").cast("long").alias("distance"))
+    return spell.corrections(parts_index(s, d), _words(s, MISSPELT)).select("word", "corrected", F.col("distance").cast("long").alias("distance"))
 
 
 def compound_split(s, d):
@@ -292,6 +293,7 @@ _SCORES = """w as (select distinct doc, section, term from tk where field in ('t
 z as (select section, sum(n) as size, count(*) as distinct_words from c group by all), g as (select term, sum(n) as everywhere from c group by all),
 sc as (select section, term, n, (n / size) / greatest(everywhere / (select sum(distinct_words) from z), 1e-9) as lift from c join z using (section) join g using (term) where length(term) >= 4 and n >= 3)"""
 _STOPS = "[" + ", ".join(f"'{w}'" for w in L.BASELINE_STOP_WORDS) + "]"
+_FACET_WORDS = "[" + ", ".join(f"'{e[2]}'" for e in L.Lexicons().entries()) + "]"
 _QUERIES_SQL = "qs(query_id, raw) as (values " + ", ".join(f"('q{i:02d}', '{q}')" for i, q in enumerate(SEARCHES)) + ")"
 _SUFFIX_CASE = "case " + " ".join(f"when length(term) > {len(s) + 2} and term like '%{s}' then {len(s)}" for s in L.SUFFIXES) + " end"
 _TAGS = "lower(card_tags)"
@@ -308,6 +310,9 @@ ORACLES = {
     "facet_boost": f"with {_PARTS}, {_tokens('lp')}, {_FACETS}, n as (select kind, value, count(*) as n from fa group by all), t as (select count(*) as t from lp) select kind, value, n, round(12 * least(ln(1 + t / n) / ln(1 + t / 100.0), 1.6), 9) as boost from n, t",
     "tag_phrases": f"with {_DOCS}, p as (select {_fold('unnest(string_split(card_tags, chr(44)))')} as phrase from ld) select phrase, count(*) as n from p where phrase <> '' group by all",
     "occasion_lexicon": f"with {_DOCS}, {_tokens('ld')}, {_SCORES} select section, term, n, round(lift, 9) as lift, round(lift * ln(1 + n), 6) as score from sc where lift > 1.5",
+    "occasion_of": f"with {_DOCS}, {_tokens('ld')}, {_SCORES}, r as (select section, term, row_number() over (partition by section order by round(lift * ln(1 + n), 9) desc, term desc) as r from sc where lift > 1.5), k as (select section, term from r where r <= 12 union select section, section from z where length(section) >= 3 and not starts_with(section, 'e')), o as (select term as word, count(distinct section) as n, min(section) as section from k where length(term) >= 4 and not list_contains({_FACET_WORDS}, term) group by term) select word, section from o where n = 1",
+    "variant_validation": f"{_WITH_P}, v(word, target) as (values ('hot', 'cold'), ('plate', 'gear')), s as (select term, section, count(*) as n from po join lp using (doc) group by all), d as (select term, sum(n) as df, arg_min(section, struct_pack(m := -n, s := section)) as main from s group by all), h as (select word, target, sum(a.n) as shared from v join s a on a.term = word join s b on b.term = target and b.section = a.section group by all) select word, target, case when x.df is null or y.df is null then 'one spelling is not in the catalogue' when y.df <= x.df then 'target is the rarer spelling' when x.main <> y.main then 'different dominant section' when coalesce(shared, 0) / x.df < 0.9 then 'sections mostly disagree' else 'kept' end as status from v left join d x on x.term = word left join d y on y.term = target left join h using (word, target)",
+    "spell_correct": f"{_WITH_P}, q(word) as (values {', '.join(f'({chr(39)}{w}{chr(39)})' for w in MISSPELT)}), v as (select term, df from te where df >= 3), c as (select word, term, df, damerau_levenshtein(word, term) as distance, case when length(word) >= 7 then 3 else 2 end as cap from q join v on length(term) >= 4 and length(word) >= 4), b as (select *, row_number() over (partition by word order by distance, df desc, term) as r from c where distance <= cap and (distance <= 2 or distance <= 0.3 * greatest(length(word), length(term)))) select q.word, coalesce(k.term, b.term, q.word) as corrected, cast(case when k.term is not null then 0 else coalesce(b.distance, -1) end as bigint) as distance from q left join v k on k.term = q.word left join b on b.word = q.word and b.r = 1",
     "recency_factor": f"with {_DOCS}, y as (select card_number as number, cast(substring(card_created_date, 1, 4) as int) as year from ld) select number, round(1 + 0.15 * power(0.5, ((select max(year) from y) - year) / 5.0), 9) as factor from y",
     "prefix_terms": f"{_WITH_D}, q(word) as (values {', '.join(f'({chr(39)}{p}{chr(39)})' for p in PREFIXES)}), a as (select word, term, df, row_number() over (partition by word order by term) as i from q join te on starts_with(term, word)), b as (select word, term, df, row_number() over (partition by word order by df desc, term) as r from a where i <= 400) select word, term, df, r from b where r <= 24",
     "symspell_deletes": "with recursive w as (select distinct unnest(string_split(p_name, ' ')) as word from part), d as (select word, word as variant, 0 as k from w union select word, substring(variant, 1, i - 1) || substring(variant, i + 1) as variant, k + 1 from d, (select unnest(range(1, 40)) as i) where i <= length(variant) and k < 2) select distinct word, variant from d where variant <> ''",
@@ -315,18 +320,18 @@ ORACLES = {
     "compound_split": f"{_WITH_P}, q(word) as (values ('widgetring'), ('smallgear'), ('redbolt'), ('anvilanvil'), ('sofa'), ('gizmorodx')), c as (select word, i, substring(word, 1, i) as l, substring(word, i + 1) as r from q, (select unnest(range(3, 30)) as i) where i <= length(word) - 3), b as (select word, l, r, row_number() over (partition by word order by least(a.df, z.df) desc, i) as k from c join te a on a.term = l join te z on z.term = r where a.df >= 3 and z.df >= 3) select word, l as \"left\", r as \"right\" from b where k = 1",
     "hint_validation": f"with {_PARTS}, h(claimed, phrase) as (values ('promo', 'small gear'), ('standard', 'hot')), b as (select section, ' ' || {_fold('card_title || chr(32) || card_description')} || ' ' as t from lp), n as (select claimed, phrase, section, count(*) as n from h join b on contains(t, ' ' || phrase || ' ') group by all), k as (select claimed, phrase, sum(n) as total, sum(case when section = claimed then n else 0 end) as here, max(n) as best_count from n group by all), f as (select claimed, phrase, min(section) as best from n join k using (claimed, phrase) where n = best_count group by all) select claimed as section, phrase, cast(total as bigint) as total, cast(here as bigint) as here, best, best_count, case when total < 3 then 'rare' when here / total >= 0.5 then 'kept' else 'dropped' end as status from k join f using (claimed, phrase)",
     "suggest_build": f"with {_PARTS}, {_LOG}, t as (select unnest(string_split(card_tags, ',')) as phrase from lp), a as (select query_id as phrase, times * 1.0 as w from lg union all select phrase, count(*) * 0.05 from t group by all) select phrase, round(cast(sum(w) as double), 9) as weight from a group by all",
-    "baseline_search": f"with {_PARTS}, {_QUERIES_SQL}, tw as (select query_id, list_filter(regexp_extract_all(lower(raw), '[a-z0-9'']+'), x -> not list_contains({_STOPS}, x)) as ws from qs), bl as (select doc, card_number as number, lower(concat_ws(' ', card_title, card_description, card_tags, replace(q1_value, '_', ' '), card_page_url)) as blob from lp), m as (select query_id, number, row_number() over (partition by query_id order by doc) as rank from tw, bl where len(ws) > 0 and len(list_filter(ws, x -> not contains(blob, x))) = 0), k as (select *, least(count(*) over (partition by query_id), 500) as n from m) select query_id, rank, number, n from k where rank <= 10",
+    "baseline_search": f"with {_PARTS}, {_QUERIES_SQL}, tw as (select query_id, list_filter(regexp_extract_all(lower(raw), '[a-z0-9'']+'), lambda x: not list_contains({_STOPS}, x)) as ws from qs), bl as (select doc, card_number as number, lower(concat_ws(' ', card_title, card_description, card_tags, replace(q1_value, '_', ' '), card_page_url)) as blob from lp), m as (select query_id, number, row_number() over (partition by query_id order by doc) as rank from tw, bl where len(ws) > 0 and len(list_filter(ws, lambda x: not contains(blob, x))) = 0), k as (select *, least(count(*) over (partition by query_id), 500) as n from m) select query_id, rank, number, n from k where rank <= 10",
     "json_payload": f"with {_DOCS} select card_number as number, split_part(q1_value, '_', 1) as occasion, split_part(q1_value, '_', 2) as subcat, replace(card_page_url, '.html', '') as page, 'gif' as thumb_extn, 'png' as big_extn, cast(substring(card_created_date, 1, 4) as bigint) as year from ld",
     "eval_zero_rate": f"with {_LOG} select count(*) as queries, cast(sum(times) as bigint) as searches, count(*) filter (results = 0) as old_zero, cast(0 as bigint) as new_zero, cast(coalesce(sum(times) filter (results = 0), 0) as bigint) as old_volume, cast(0 as bigint) as new_volume from lg",
     "eval_regressions": f"with {_LOG} select query_id, cast(times as int) as times, cast(results as int) as old_n from lg where false",
     "eval_still_zero": f"with {_LOG} select query_id, cast(times as int) as times from lg where false",
     "eval_fixed": f"with {_LOG} select query_id, cast(times as int) as times from lg where results = 0",
     "eval_overmatch": f"with {_PARTS}, {_LOG}, n as (select count(*) as total from lp) select query_id, cast(times as int) as times, cast(results as int) as old_n, round(100.0 * results / total, 6) as share from lg, n where results > total * 0.2",
-    "audit_stopwords": f"with {_DOCS}, k as (select len(list_filter(regexp_extract_all(lower(card_title), '[a-z0-9'']+'), x -> not list_contains({_STOPS}, x))) as n from au) select count(*) as cards, count(*) filter (n = 0) as none_left, count(*) filter (n = 1) as one_left from k",
+    "audit_stopwords": f"with {_DOCS}, k as (select len(list_filter(regexp_extract_all(lower(card_title), '[a-z0-9'']+'), lambda x: not list_contains({_STOPS}, x))) as n from au) select count(*) as cards, count(*) filter (n = 0) as none_left, count(*) filter (n = 1) as one_left from k",
     "audit_precision": f"with {_DOCS}, k as (select contains(blob, 'the') as m, contains({_TAGS}, 'the') or contains({_TAGS}, 'and') as g, regexp_matches(blob, '\\bthe(-|\\s|re)') as l from au) select count(*) filter (m) as matched, count(*) filter (m and g) as genuine, count(*) filter (m and not g) as prose_only, count(*) filter (l and not g) as leaked from k",
     "audit_leaks": f"with {_DOCS} select split_part(q1_value, '_', 1) as section, count(*) as n from au where regexp_matches(blob, '\\bthe(-|\\s|re)') and not (contains({_TAGS}, 'the') or contains({_TAGS}, 'and')) group by all order by n desc, section limit 8",
     "audit_misspell": f"with {_DOCS}, t(typo, correct) as (values ('teh', 'the'), ('adn', 'and'), ('thta', 'that'), ('qeu', 'que')) select typo, correct, count(*) filter (contains(blob, typo)) as hits, count(*) filter (contains(blob, typo) and contains({_TAGS}, typo)) as via_tags, count(*) filter (contains(blob, correct)) as correct_hits from au, t group by all",
-    "audit_strict_and": f"with {_DOCS}, q(query, words, dropped) as (values ('the card', '', 'the card'), ('and that', 'that', 'and'), ('mom of the', 'mother', 'of the'), ('que la e-card', 'que la', 'e card'), ('happy card', '', 'happy card'), ('idiot', 'idiot', '')) select query, words, dropped, count(*) filter (words <> '' and len(list_filter(string_split(words, ' '), x -> not contains(blob, x))) = 0) as matches from q, au group by all",
+    "audit_strict_and": f"with {_DOCS}, q(query, words, dropped) as (values ('the card', '', 'the card'), ('and that', 'that', 'and'), ('mom of the', 'mother', 'of the'), ('que la e-card', 'que la', 'e card'), ('happy card', '', 'happy card'), ('idiot', 'idiot', '')) select query, words, dropped, count(*) filter (words <> '' and len(list_filter(string_split(words, ' '), lambda x: not contains(blob, x))) = 0) as matches from q, au group by all",
     "audit_encoding": "with a as (select regexp_extract_all(html, '%[0-9A-Fa-f]{2}|&#[0-9]+;|&[a-z]+;') as a from pages), c as (select unnest(a) as artefact from a) select artefact, count(*) as n, (select count(*) from a where len(a) > 0) as affected from c group by all order by n desc, artefact limit 8",
     "audit_cap": f"with {_DOCS}, w(word) as (values ('the'), ('que'), ('der'), ('tion'), ('zzzz')), m as (select word, year, row_number() over (partition by word order by cast(card_number as bigint)) as r from w join au on contains(blob, word)), l as (select word, count(*) as matches, list_sort(list(year) filter (year > 0)) as ys, list_sort(list(year) filter (year > 0 and r <= 100)) as cs from m group by all) select word, matches, matches > 100 as capped, cs[len(cs) // 2 + 1] as capped_year, ys[len(ys) // 2 + 1] as all_year from l",
     "audit_tags": f"with {_DOCS} select case when year <= 2010 then '<=2010' else '>=2011' end as created, count(*) as cards, count(*) filter (trim(card_tags) <> '') as tagged from au group by all",
