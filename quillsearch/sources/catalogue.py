@@ -50,7 +50,8 @@ def _unzipped(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError("the archive holds no CSV file")
                     with z.open(names[0]) as f:
                         for part in pd.read_csv(f, dtype=str, keep_default_na=False, chunksize=20000, encoding="utf-8"):
-                            yield part.reindex(columns=CATALOGUE_COLUMNS)
+                            part = part.reindex(columns=CATALOGUE_COLUMNS).astype(object)
+                            yield part.where(part.notna(), None)
 
     return found.select("content").mapInPandas(rows, SCHEMA)
 
