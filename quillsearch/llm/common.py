@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from ..shipping import shipped
 
 #: ASCII white space, as a character class body; words are maximal runs of anything else.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+__all__ = ["SPACE", "WORD", "block_count", "give_back", "joined_key", "keep_rows", "table", "texts", "words", "worker_texts", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,22 +33,16 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, which the cluster names. Where it is unset,
-    a temporary folder in local mode and the warehouse elsewhere."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        root = tempfile.gettempdir() + "/quill-scratch" if local else spark.conf.get("spark.sql.warehouse.dir")
-    return root.rstrip("/")
+def give_back() -> None:
+    """Returns a worker's freed memory to the system: between large groups, Python's and Arrow's allocators would keep it."""
+    import ctypes
 
+    import pyarrow as pa
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors, and
-    fixes ids that were numbered on the way."""
-    path = f"{scratch_root(df.sparkSession)}/quill-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def block_count(docs: DataFrame, text_col: str = "text", block_bytes: int = 12 << 20) -> int:

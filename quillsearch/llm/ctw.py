@@ -18,17 +18,18 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_count, worker_texts, written
+from .common import block_count, give_back, worker_texts, written
 
 DEPTH = 5
-BLOCK_BYTES = 32 << 20
-CHUNK_BYTES = 4 << 20
+BLOCK_BYTES = 24 << 20
+CHUNK_BYTES = 1 << 20
 END = b"\n"
 HALF = math.log(0.5)
 
@@ -66,6 +67,7 @@ def parts(texts: list[str]) -> Iterator[slice]:
 
 def block_counts(pdf: pd.DataFrame, depth: int = DEPTH) -> pd.DataFrame:
     """Of one block: its distinct grams (kind 0) and words (kind 1) and how often its training texts have them."""
+    give_back()
     held: set[bytes] = set()
     counted: Counter[bytes] = Counter()
     keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -221,11 +223,13 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
     norm = n_train + 0.1 * (distinct + 1)
 
     def score(pdf: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         is_gram = table.gram.notna().to_numpy()
         g, v = table.gram[is_gram].to_numpy(np.int64), table.logp[is_gram].to_numpy()
         order = np.argsort(g)
         g, v = g[order], v[order]
         counts = dict(zip(table.word[~is_gram], table.logp[~is_gram]))
+        del table, order, is_gram
         texts, out = pdf.text.tolist(), []
         for part in parts(texts):
             cut = [spelled(t) for t in texts[part]]
@@ -233,13 +237,15 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
             sizes = np.fromiter(map(len, streams), np.int64, len(streams))
             logp = np.add.reduceat(v[np.searchsorted(g, grams(streams, depth))], np.cumsum(sizes) - sizes)
             n = np.fromiter(map(len, cut), np.int64, len(cut))
-            c = np.append(np.fromiter((counts[x] for d in cut for x in d), np.float64, int(n.sum())), 0.0)
+            c = np.append(np.fromiter(map(counts.__getitem__, chain.from_iterable(cut)), np.float64, int(n.sum())), 0.0)
             starts = np.minimum(np.cumsum(n) - n, len(c) - 1)
             base = np.where(n > 0, np.add.reduceat(np.log10((c + 0.1) / norm), starts), 0.0) + math.log10((n_docs + 0.1) / norm)
             seen = np.where(n > 0, np.add.reduceat((c > 0).astype(np.int64), starts), 0) + (n_docs > 0)
             ids = pdf.doc_id.iloc[part]
             held = [pd.notna(i) and not is_training(int(i)) for i in ids]
             out.append(pd.DataFrame({"doc_id": ids.astype("Int64"), "held_out": held, "n_tokens": n + 1, "n_known": seen, "train_tokens": n_train, "base_score": base, "score": logp, "n_bytes": sizes, "bits_per_byte": -logp / math.log10(2) / sizes}))
+        del g, v, counts
+        give_back()
         return pd.concat(out)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
