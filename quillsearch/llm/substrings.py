@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,12 @@ GROUP_BYTES = 6 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
+class Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh64_intdigest(word)
@@ -46,7 +53,7 @@ def stretches(cut: list[list[bytes]], known: Hashes, window: int, prefix: int) -
     """Of all windows of some texts, in runs that mark one position: the text, the first window's start, how many windows,
     and the hash of the marked prefix."""
     sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-    w = np.fromiter((known[x] for c in cut for x in c), np.uint64, int(sizes.sum()))
+    w = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.uint64, int(sizes.sum()))
     n = len(w)
     spans = window - prefix + 1
     n_windows = np.maximum(sizes - window + 1, 0)
@@ -121,9 +128,8 @@ def block_stretches(pdf: pd.DataFrame, repeated: pd.DataFrame, window: int, pref
 def deep_nodes(rows: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray]:
     """The subtree of all suffixes of some rows down to depth window: of each suffix that is that long, its row and its node at that
     depth. Nodes are numbered in the order of their words. Depth doubles: a node of 2 k words is a pair of nodes of k."""
-    index: dict[bytes, int] = {}
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    node = np.fromiter((index.setdefault(w, len(index)) for r in rows for w in r), np.int64, int(sizes.sum()))
+    node = np.fromiter(map(Numbers().__getitem__, chain.from_iterable(rows)), np.int64, int(sizes.sum()))
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(node))  # words from here to the end of the row
     depth = 1
     while depth < window:
@@ -148,7 +154,7 @@ def group_repeats(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     counts = np.bincount(row, minlength=len(rows))
     cut = np.split(first, np.cumsum(counts)[:-1])
     use = [k for k, x in enumerate(cut) if (x < hi[k]).any()]
-    return pd.DataFrame({"block": pdf.block.iloc[use].to_numpy(), "name": pdf.name_.iloc[use].to_numpy(), "at": pdf["at"].iloc[use].to_numpy(), "first": [cut[k] for k in use]})
+    return pd.DataFrame({"block": pdf.block.iloc[use].to_numpy(), "mark": pdf.mark.iloc[use].to_numpy(), "name": pdf.name_.iloc[use].to_numpy(), "at": pdf["at"].iloc[use].to_numpy(), "first": [cut[k] for k in use]})
 
 
 def named(stretch: bytes) -> bytes:
@@ -158,6 +164,7 @@ def named(stretch: bytes) -> bytes:
 def block_removed(pdf: pd.DataFrame, table: pd.DataFrame, window: int, prefix: int, with_spans: bool) -> pd.DataFrame:
     known, ids, texts = Hashes(), _ids(pdf), pdf.text.tolist()
     firsts: dict[bytes, list] = {}
+    marks = np.unique(table.mark.to_numpy(np.int64))
     for name, at, first in zip(table.name, table["at"], table["first"]):
         firsts.setdefault(bytes(name), []).append((at, np.asarray(first, np.int64)))
     out = []
@@ -166,8 +173,9 @@ def block_removed(pdf: pd.DataFrame, table: pd.DataFrame, window: int, prefix: i
         begin = np.cumsum(sizes) - sizes
         edge = np.zeros(int(sizes.sum()) + 1, np.int64)
         if firsts:
-            doc, start, count, _ = stretches(cut, known, window, prefix)
-            for d, s, c in zip(doc.tolist(), start.tolist(), count.tolist()):
+            doc, start, count, key = stretches(cut, known, window, prefix)
+            use = marks[np.minimum(np.searchsorted(marks, key), len(marks) - 1)] == key  # others have no repeats
+            for d, s, c in zip(doc[use].tolist(), start[use].tolist(), count[use].tolist()):
                 for at, first in firsts.get(named(b" ".join(cut[d][s : s + c + window - 1])), ()):
                     i = ids[part.start + d]
                     hit = np.flatnonzero(first < i) + (begin[d] + s + at) if i != NO_ID else ()
@@ -213,16 +221,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Rows of large groups, a window each; of the others, whole."""
         for pdf in batches:
             names = [named(t) for t in pdf.stretch]
-            pdf = pdf.assign(name_=names, at=0)
+            pdf = pdf.assign(name_=names, at=0, mark=pdf.key)
             split = pdf[pdf.large]
-            yield pdf[~pdf.large][["block", "name_", "at", "stretch", "lo", "hi", "key"]]
+            yield pdf[~pdf.large][["block", "name_", "at", "stretch", "lo", "hi", "key", "mark"]]
             for r in split.itertuples():
                 w = r.stretch.split(b" ")
                 each = [b" ".join(w[i : i + window]) for i in range(len(w) - window + 1)]
-                yield pd.DataFrame({"block": r.block, "name_": r.name_, "at": range(len(each)), "stretch": each, "lo": r.lo, "hi": r.hi, "key": [xxhash.xxh64_intdigest(x) - (1 << 63) for x in each]})
+                yield pd.DataFrame({"block": r.block, "name_": r.name_, "at": range(len(each)), "stretch": each, "lo": r.lo, "hi": r.hi, "key": [xxhash.xxh64_intdigest(x) - (1 << 63) for x in each], "mark": r.mark})
 
     dealt = found.join(large.withColumn("large", F.lit(True)), "key", "left").withColumn("large", F.coalesce("large", F.lit(False))) if not large.isEmpty() else found.withColumn("large", F.lit(False))
-    dealt = dealt.mapInPandas(windows, "block int, name_ binary, at int, stretch binary, lo long, hi long, key long")
-    firsts = dealt.groupBy(F.pmod("key", F.lit(n_groups)).alias("group")).applyInPandas(lambda pdf: group_repeats(pdf, window), "block int, name binary, at int, first array<long>")
+    dealt = dealt.mapInPandas(windows, "block int, name_ binary, at int, stretch binary, lo long, hi long, key long, mark long")
+    firsts = dealt.groupBy(F.pmod("key", F.lit(n_groups)).alias("group")).applyInPandas(lambda pdf: group_repeats(pdf, window), "block int, mark long, name binary, at int, first array<long>")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string, spans array<struct<start: long, stop: long>>" if with_spans else "")
     return rows.groupBy("block").cogroup(firsts.groupBy("block")).applyInPandas(lambda a, b: block_removed(a, b, window, prefix, with_spans), schema)
