@@ -12,7 +12,7 @@ that the embeddings weren't fitted on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ WINDOW = 16
 TOP = 4
 EDGES = b".,;:!?\"'()[]"
 CACHE_WORDS = 300_000
+#: Words whose n-grams are worked out at a time.
+PART = 50_000
 #: Bounds of the sample of labelled rows that a model is fitted on: documents of each class, and characters of one of them.
 SAMPLE_DOCS = 3000
 SAMPLE_CHARS = 200_000
@@ -70,11 +72,14 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    def __init__(self, docs: list[list[bytes]], labels: np.ndarray, classes: int, dim: int = 8, seed: int = 1):
+    def __init__(self, docs: Iterable[list[bytes]], labels: np.ndarray, classes: int, dim: int = 8, seed: int = 1):
         self.labels, self.classes = labels, classes
         index: dict[bytes, int] = {}
-        flat = [np.fromiter((index.setdefault(w, len(index)) for w in d or [b""]), np.int64) for d in docs]
-        self.grams, self.gram_counts = subwords(list(index))
+        flat = [np.fromiter((index.setdefault(w, len(index)) for w in d or [b""]), np.int32) for d in docs]  # one list of words at a time
+        words = list(index)
+        cut = [subwords(words[i : i + PART]) for i in range(0, len(words), PART)]
+        self.grams, self.gram_counts = np.concatenate([g.astype(np.int32) for g, _ in cut]), np.concatenate([n for _, n in cut])
+        del index, words, cut
         self.gram_at = np.cumsum(self.gram_counts) - self.gram_counts
         self.bags = [x[i : i + WINDOW] for x in flat for i in range(0, len(x), WINDOW)]
         self.bag_doc = np.repeat(np.arange(len(flat)), [-(-len(x) // WINDOW) for x in flat])
@@ -126,7 +131,8 @@ class Trainer:
         return np.vstack([self.e @ self.w, self.b]).astype(np.float32)
 
     def probabilities(self) -> np.ndarray:
-        table = means((self.e @ self.w)[self.grams], self.gram_counts)
+        by_bucket, ends = self.e @ self.w, np.cumsum(self.gram_counts)
+        table = np.concatenate([means(by_bucket[self.grams[ends[i] - self.gram_counts[i] : ends[min(i + PART, len(ends)) - 1]]], self.gram_counts[i : i + PART]) for i in range(0, len(ends), PART)])
         sizes = np.fromiter(map(len, self.bags), np.int64, len(self.bags))
         return softmax(means(table[np.concatenate(self.bags)], sizes) + self.b)
 
@@ -161,13 +167,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 def fitted(texts: list[str], labels: np.ndarray, classes: int, most_telling: bool, **options) -> tuple[np.ndarray, np.ndarray]:
     """A model and, with most_telling, the weights of the evidence: fitted on every fourth document, the model on the others."""
     aside = np.arange(len(texts)) % 4 == 3 if most_telling and len(texts) >= 40 else np.zeros(len(texts), bool)
-    model = Trainer([tokens(t) for t, x in zip(texts, aside) if not x], labels[~aside], classes).fit(most_telling, **options)
+    model = Trainer((tokens(t) for t, x in zip(texts, aside) if not x), labels[~aside], classes).fit(most_telling, **options)
     if not most_telling:
         return model, np.zeros(0)
     judge = aside if aside.any() else ~aside
     held = [t for t, x in zip(texts, judge) if x]
     doc, _, p = Scorer(model).windows(held)
-    return model, logistic(evidence(doc, p, len(held)), labels[judge])
+    return model, logistic(evidence(doc, p, len(held)), (labels[judge] == 1).astype(float))
 
 
 def train(docs: DataFrame, labelled: DataFrame, classes: int, most_telling: bool, sample_docs: int = SAMPLE_DOCS, **options) -> tuple[np.ndarray, np.ndarray] | None:
@@ -211,7 +217,7 @@ class Scorer:
         if new:
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             grams, counts = subwords(new)
-            self.table = np.vstack([self.table, means(self.model[grams], counts)])
+            self.table = np.vstack([self.table, means(self.model[grams], counts).astype(np.float32)])
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         per = np.maximum(-(-sizes // WINDOW), 1)
         doc = np.repeat(np.arange(len(cut)), per)
