@@ -21,6 +21,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,10 @@ from .common import block_count, worker_texts, written
 
 MAGIC = b"QTOKSH01"
 END_ID = 1
+#: Ids below this are counted in an array of that size.
+DENSE_IDS = 1 << 22
+#: Pieces that the library encodes at a time.
+BATCH = 10_000
 NULL_ID = np.iinfo(np.int64).min
 #: Of each control byte, the bytes of its four ranks.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -51,9 +56,10 @@ class WordEncoder(Encoder):
         super().__init__(path, "word")
 
     def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.library.encode_batch(new, add_special_tokens=False)]
+        ask = lambda part: self.library.encode_batch_fast(part, add_special_tokens=False)  # noqa: E731  without offsets
+        ids = [e.ids for i in range(0, len(new), BATCH) for e in ask(new[i : i + BATCH])]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -67,11 +73,17 @@ def loaded(path: str) -> WordEncoder:
 
 def packed(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """A shard."""
-    values, where, freq = np.unique(ids, return_inverse=True, return_counts=True)
+    if not len(ids) or ids.max() < DENSE_IDS:  # count by position in place of sorting
+        freq = np.bincount(ids, minlength=1)
+        values = np.flatnonzero(freq)
+        freq, where = freq[values], ids
+        rank_of = np.zeros(int(values[-1]) + 1 if len(values) else 1, np.uint32)
+    else:
+        values, where, freq = np.unique(ids, return_inverse=True, return_counts=True)
+        rank_of = np.zeros(len(values), np.uint32)
     order = np.lexsort((values, -freq))
-    rank_of = np.empty(len(values), np.uint32)
-    rank_of[order] = np.arange(len(values), dtype=np.uint32)
-    ranks = rank_of[where] if len(ids) else np.zeros(0, np.uint32)
+    rank_of[values[order] if where is ids else order] = np.arange(len(values), dtype=np.uint32)
+    ranks = rank_of[where]
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = extra
