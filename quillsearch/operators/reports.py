@@ -146,7 +146,8 @@ def tag_quality(rows: DataFrame) -> DataFrame:
     return a.withColumn("one", F.lit(1)).join(same.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-def status_profile(rows: DataFrame, own: str = "123greetings") -> DataFrame:
+def status_profile(rows: DataFrame, own: str) -> DataFrame:
+    """own: the developer whose share is reported."""
     share = lambda c: F.round(100.0 * F.avg(F.when(c, 1).otherwise(0)), 6)
     years = rows.where("year > 0").groupBy("status_id", "year").agg(F.count("*").alias("n"))
     w = Window.partitionBy("status_id")
