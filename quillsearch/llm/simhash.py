@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..shipping import shipped
 from .common import keep_rows, worker_texts, written
 from .graph import components
+from .resemblance import resembling
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -194,14 +195,13 @@ def bits_for(similarity: float, lanes: int, deviations: float) -> int:
     return math.ceil(64 * lanes * p + deviations * math.sqrt(64 * lanes * p * (1 - p)))
 
 
-def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, lanes: int = 4) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """docs with all its columns, one row of each component: that with the smallest doc_id (one of those that share it).
 
-    Documents are near copies if their shingles of size words resemble one another by the similarity or more, as estimated from
-    fingerprints of 64 * lanes bits. (Four bits of 64 only reach copies that share nearly all shingles.) Pairs meet through
-    deletion variants of all lanes: with four lanes 87 % of pairs at a similarity of 0.8, 95 % at 0.85 and 99 % at 0.9, and
-    more of groups, which need one path of links only.
+    Documents are near copies if their sets of shingles of size words have an intersection of similarity times their union or
+    more; see resemblance.py. (Four bits of 64 only reach copies that share nearly all shingles, and an estimate from
+    fingerprints neither meets all pairs at 0.8 nor keeps pairs below it apart.)
     """
-    near = near_duplicates(docs, bits=bits_for(similarity, lanes, 0.5), size=size, lanes=lanes, first_bits=bits_for(similarity, 1, 3))
-    kept = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return keep_rows(docs, kept, {"doc_id": docs["doc_id"].cast("long")})
+    rows = written(resembling(docs, similarity, size), "resembling")
+    first = rows.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
+    return keep_rows(docs, first.select("doc_id").distinct(), {"doc_id": docs["doc_id"].cast("long")})

@@ -156,3 +156,17 @@ def test_fixity_finds_all_kinds_of_damage(spark):
     none = spark.createDataFrame([], schema)
     assert fixity.audit(none, none).count() == 0
     assert {r.status for r in fixity.audit(none, spark.createDataFrame([(None, None, None), (None, None, None)], schema)).collect()} == {"extra"}
+
+
+def changed(w, at, n, tag):
+    """The words with n of them replaced; with runs of five words, n + 4 of len(w) - 4 runs go and as many come."""
+    return w[:at] + [f"{tag}x{k}" for k in range(n)] + w[at + n :]
+
+
+def test_near_dedup_joins_the_pairs_of_the_similarity_and_no_others(spark):
+    rows = []
+    for i in range(120):  # 196 runs: with 21 changed 175 / 217 is over 0.8, with 22 changed 174 / 218 is under
+        w = [f"p{i}w{k}" for k in range(200)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(changed(w, 90, 17 + i % 2, f"n{i}")))]
+    got = {r.doc_id for r in simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2 * i for i in range(120)} | {2 * i + 1 for i in range(120) if i % 2}
