@@ -12,7 +12,6 @@ a large group of near copies gives edges in proportion to its size. No link betw
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,48 +34,42 @@ PIECE = 2048
 SMALL = 24
 
 
-def lanes_of(text: str, size: int = SHINGLE_WORDS, lanes: int = 1) -> list[int]:
-    """The fingerprint as signed 64-bit integers: the first from the shingles' hashes, further ones from those hashes mixed anew."""
+def fingerprint(text: str, size: int = SHINGLE_WORDS) -> int:
+    """The fingerprint as a signed 64-bit integer, from the shingles' hashes."""
     w = text.encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not w:
-        return [0] * lanes
+        return 0
     n = max(1, len(w) - size + 1)
     joined, ends = b" ".join(w), np.cumsum([len(x) + 1 for x in w]) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(size, len(w)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
-    out = []
-    for _ in range(lanes):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, n, 1 << 18):
-            part = h[at : at + (1 << 18)].astype("<u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0]))
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
-        h ^= h >> np.uint64(32)
-    return out
+    ones = np.zeros(64, np.int64)
+    for at in range(0, n, 1 << 18):
+        part = h[at : at + (1 << 18)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, lanes: int = 1) -> DataFrame:
-    """(doc_id, fp, more) of each row: the first 64 bits and the list of further ones."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, fp) of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            all_lanes = [lanes_of(t, size, lanes) for t in pdf.text]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "fp": [x[0] for x in all_lanes], "more": [x[1:] for x in all_lanes]})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "fp": [fingerprint(t, size) for t in pdf.text]})
 
-    return worker_texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, fp long, more array<long>")
+    return worker_texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, fp long")
 
 
-def variants(fp: Column, bits: int = MAX_BITS, lane: int = 0) -> Column:
-    """The one-wildcard variants of the segments of a lane, as integers that also name lane, segment and wildcard."""
+def variants(fp: Column, bits: int = MAX_BITS) -> Column:
+    """The one-wildcard variants of the segments, as integers that also name segment and wildcard."""
     count = bits // 2 + 1
     out, at = [], 0
     for k in range(count):
         width = 64 // count + (k < 64 % count)
         segment = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else fp
-        out.append(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), _without(segment, (lane * count + k) * 64, width)))
+        out.append(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), _without(segment, k * 64, width)))
         at += width
     return F.concat(*out)
 
@@ -134,14 +127,10 @@ def _edges(keys: np.ndarray, fps: np.ndarray, bits: int) -> pd.DataFrame:
     return out[out.a != out.b].drop_duplicates()
 
 
-def links(fps: DataFrame, bits: int = MAX_BITS, lanes: int = 1, first_bits: int | None = None, piece: int = PIECE) -> DataFrame:
-    """(a, b): edges between distinct fingerprints fp that differ in at most bits bits. With one lane their components are
-    those of all such links. With more, fingerprints of which some segment of some lane differs in at most one bit meet;
-    of those that differ in at most first_bits in the first lane, edges are kept where all lanes differ in at most bits."""
-    at_first = bits if lanes == 1 else first_bits
+def links(fps: DataFrame, bits: int = MAX_BITS, piece: int = PIECE) -> DataFrame:
+    """(a, b): edges between distinct fingerprints fp that differ in at most bits bits. Their components are those of all such links."""
     fps = shipped(fps)
-    keys = [variants(F.col("fp") if k == 0 else F.get("more", F.lit(k - 1)), MAX_BITS if lanes > 1 else bits, k) for k in range(lanes)]
-    index = fps.select("fp", F.explode(F.concat(*keys)).alias("key"))
+    index = fps.select("fp", F.explode(variants(F.col("fp"), bits)).alias("key"))
     w = Window.partitionBy("key")
     met = index.select("fp", "key", F.count("*").over(w).alias("n"), (F.row_number().over(w.orderBy("fp")) - 1).alias("at"))
     few = met.where((F.col("n") > 1) & (F.col("n") <= piece)).select("fp", F.col("key").alias("unit"))  # together and in order already
@@ -158,29 +147,24 @@ def links(fps: DataFrame, bits: int = MAX_BITS, lanes: int = 1, first_bits: int
             keys, held = np.concatenate([keys, pdf.unit.to_numpy()]), np.concatenate([held, pdf.fp.to_numpy()])
             last = int(np.searchsorted(keys, keys[-1]))
             if last:
-                yield _edges(keys[:last], held[:last], at_first)
+                yield _edges(keys[:last], held[:last], bits)
             keys, held = keys[last:], held[last:]
         if len(keys):
-            yield _edges(keys, held, at_first)
+            yield _edges(keys, held, bits)
 
-    found = few.mapInPandas(run, "a long, b long").unionByName(many.mapInPandas(run, "a long, b long")).distinct()
-    if lanes == 1:
-        return found
-    side = lambda c: fps.select(F.col("fp").alias(c), F.col("more").alias(f"more_{c}"))
-    apart = F.aggregate(F.zip_with("more_a", "more_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))), lambda s, x: s + x)
-    return found.join(side("a"), "a").join(side("b"), "b").where(apart <= bits).select("a", "b")
+    return few.mapInPandas(run, "a long, b long").unionByName(many.mapInPandas(run, "a long, b long")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS, size: int = SHINGLE_WORDS, lanes: int = 1, first_bits: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS, size: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row for each input row.
 
     A text without words, null or empty, has fingerprint 0 and links like any other. Texts of fewer words than a shingle are
     one shingle. Repeated rows agree in everything; null doc_ids never name a component unless it holds no other. An empty
     table gives an empty result; other columns are ignored.
     """
-    rows = written(fingerprints(docs, id_col, text_col, size, lanes), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("more").alias("more")), "distinct-fingerprints")
-    roots = components(links(distinct, bits, lanes, first_bits))
+    rows = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    roots = components(links(distinct, bits))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     placed = written(placed, "placed")
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -188,13 +172,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def bits_for(similarity: float, lanes: int, deviations: float) -> int:
-    """How many of 64 * lanes bits texts of that resemblance (shared shingles by all shingles) differ in, and so many standard
-    deviations more: their vectors stand at the angle of cosine 2 r / (1 + r), and a bit differs with that angle by pi."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(64 * lanes * p + deviations * math.sqrt(64 * lanes * p * (1 - p)))
-
-
 def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """docs with all its columns, one row of each component: that with the smallest doc_id (one of those that share it).
 

@@ -1,13 +1,14 @@
 """Each operator on odd rows, on no rows, and against a plain re-statement of its rule on a small table."""
 
 import hashlib
+import random
 import re
 import zlib
 
 import pytest
 
 pytest.importorskip("quillsearch.llm")
-from quillsearch.llm import bpe, ctw, exact_dedup, fixity, mixing, quality, simhash, substrings, token_files, toxicity  # noqa: E402
+from quillsearch.llm import bpe, ctw, exact_dedup, fixity, mixing, quality, resemblance, simhash, substrings, token_files, toxicity  # noqa: E402
 from quillsearch.llm.queries import tokenizer_path  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -170,3 +171,14 @@ def test_near_dedup_joins_the_pairs_of_the_similarity_and_no_others(spark):
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(changed(w, 90, 17 + i % 2, f"n{i}")))]
     got = {r.doc_id for r in simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {2 * i for i in range(120)} | {2 * i + 1 for i in range(120) if i % 2}
+
+
+def test_near_dedup_of_a_large_group_of_copies_of_one_text(spark):
+    """Each copy is near the one text, most are far from one another: it takes the right edges of the group."""
+    rng, w, copies = random.Random(1), [f"w{k}" for k in range(404)], []
+    for i in range(1000):  # 400 runs, of which 8 words change 40: 360 / 440 is over 0.8; two copies mostly share about 324 / 476
+        own = dict.fromkeys(rng.sample(range(4, 400, 5), 8), i)
+        copies.append((i, " ".join(f"c{i}x{k}" if k in own else x for k, x in enumerate(w))))
+    docs = spark.createDataFrame([*copies, (9999, " ".join(w))], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.without_near_duplicates(docs).collect()] == [0]
+    assert len({r.component for r in resemblance.resembling(docs, piece=100).collect()}) == 1
