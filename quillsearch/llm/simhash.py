@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..shipping import shipped
 from .common import keep_rows, worker_texts, written
 from .graph import components
-from .resemblance import resembling
+from .resemblance import resembling, row_keys
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -173,12 +173,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
-    """docs with all its columns, one row of each component: that with the smallest doc_id (one of those that share it).
+    """docs with all its columns, one row of each component: that with the smallest doc_id (a null one only if
+    it holds no other), of those that share it the one whose text's digest is smallest. Rows are told apart by id and text.
 
     Documents are near copies if their sets of shingles of size words have an intersection of similarity times their union or
     more; see resemblance.py. (Four bits of 64 only reach copies that share nearly all shingles, and an estimate from
     fingerprints neither meets all pairs at 0.8 nor keeps pairs below it apart.)
     """
     rows = written(resembling(docs, similarity, size), "resembling")
-    first = rows.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
-    return keep_rows(docs, first.select("doc_id").distinct(), {"doc_id": docs["doc_id"].cast("long")})
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")).alias("first"))
+    return keep_rows(docs, first.select("first.doc_id", "first.sha"), row_keys(docs))

@@ -182,3 +182,10 @@ def test_near_dedup_of_a_large_group_of_copies_of_one_text(spark):
     docs = spark.createDataFrame([*copies, (9999, " ".join(w))], "doc_id long, text string")
     assert [r.doc_id for r in simhash.without_near_duplicates(docs).collect()] == [0]
     assert len({r.component for r in resemblance.resembling(docs, piece=100).collect()}) == 1
+
+
+def test_near_dedup_keeps_one_row_of_each_component_whatever_the_ids(spark):
+    text = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (5, text("c")), (5, text("d")), (7, text("e")), (8, text("e")), (None, text("f")), (9, text("f")), (8, text("g"))]
+    got = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in got) == [("5", "c"), ("5", "d"), ("7", "e"), ("8", "g"), ("9", "f"), ("None", "a"), ("None", "b")]
