@@ -5,13 +5,16 @@ its tokens in each domain in expectation. The rates r >= 0 minimise
 
     1/2 sum_k ((sum_d r_d a_dk - b_k) / s_k)^2 + ridge/2 mean_d (r_d - 1)^2
 
-(a: expected tokens, b: targets, s: scale) by projected gradient steps. A step needs the K totals of the current rates, which is one
-small aggregate over the table of expectations; each document's rate follows from the K-vectors of all steps so far,
-so that no state is kept or shuffled.
+(a: expected tokens, b: targets, s: scale). At the minimum r_d = max(0, 1 - u . a_d) for one K-vector u, which minimises a convex
+function of K variables, quadratic in pieces: Newton steps on it, with the K x K curvature of the documents whose rate
+is over 0, reach the minimum in a few rounds. A round needs one small aggregate over the table of expectations; each document's
+rate follows from the K-vector, so that no state is kept or shuffled.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,10 +23,17 @@ from pyspark.sql import functions as F
 from .common import joined_key, texts, words, written
 from .subword import scored, train
 
+log = logging.getLogger(__name__)
+
 DOMAINS = ("clean", "toxic", "low_quality")
 #: Target share of the expected tokens of each domain.
 TARGET = (0.98, 0.005, 0.015)
-STEPS = 24
+#: A bound on Newton steps, far over what they take; whether the minimum was reached is reported.
+STEPS = 200
+#: The minimum is reached where no total is further from where the objective is flat, by its goal.
+SETTLED = 1e-6
+#: A target is met if the total is so near, by its goal; the ridge alone keeps totals a few hundredths off.
+MET = 0.05
 RIDGE = 1e-3
 #: The classifier's sample: so many documents of each domain, twice as many clean ones.
 SAMPLE_DOCS = 1000
@@ -53,51 +63,80 @@ def expected_tokens(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return scored(docs, model, totals, "doc_id long, n_words long, tokens array<double>")
 
 
-def rate_after(tokens: Column, pulls: list[list[float]], shrink: float) -> Column:
-    """The rate after the steps so far: from 1, r <- max(0, r - pull . tokens - shrink (r - 1)), the steps in order."""
-    if not pulls:
-        return F.lit(1.0)
-    steps = F.from_json(F.lit(repr(pulls)), "array<array<double>>")  # folded to one literal
-    dot = lambda g: sum((F.get(tokens, k) * F.get(g, k) for k in range(1, len(pulls[0]))), F.get(tokens, 0) * F.get(g, 0))
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g) - shrink * (r - 1)))
+def rate_at(pull: np.ndarray) -> Column:
+    """The rate max(0, 1 - pull . tokens)."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.get("tokens", k) * float(x) for k, x in enumerate(pull)), F.lit(0.0)))
 
 
 def fitted_rates(expected: DataFrame, target: tuple[float, ...] = TARGET, total: float | None = None, steps: int = STEPS, ridge: float = RIDGE) -> tuple[DataFrame, dict]:
-    """expected with the column rate, and how the totals came out. total: expected tokens of the mix; by default as many as
-    leave the domain that is scarcest against its target whole."""
+    """expected with the column rate, and how the totals came out: of each domain the tokens before (have), the goal (target), the
+    tokens at the rates (got), whether the goal is met within MET of itself (met), and whether the rates are the minimum within
+    SETTLED (settled). No rates of a lower objective meet a goal that is missed at settled rates. total: expected tokens of the mix; by
+    default as many as leave the domain that is scarcest against its target whole."""
     k = len(target)
-    sums = lambda rate: [F.sum(F.get("tokens", i) * rate).alias(f"s{i}") for i in range(k)]
-    first = expected.agg(*sums(F.lit(1.0)), *[F.sum(F.pow(F.get("tokens", i), 2)).alias(f"q{i}") for i in range(k)], F.count("*").alias("n")).first()
+    first = expected.agg(*[F.sum(F.get("tokens", i)).alias(f"s{i}") for i in range(k)], F.count("*").alias("n")).first()
     have = np.array([first[f"s{i}"] or 0.0 for i in range(k)])
     if not first.n or not have.sum():
-        return expected.withColumn("rate", F.lit(1.0)), {"have": have.tolist(), "target": have.tolist(), "got": have.tolist()}
+        return expected.withColumn("rate", F.lit(1.0)), {"have": have.tolist(), "target": have.tolist(), "got": have.tolist(), "met": [True] * k, "settled": True}
     share = np.array(target) / sum(target)
     total = total or min(h / s for h, s in zip(have, share) if s > 0 and h > 0)
     goal = share * total
-    # in units of each domain's total, with rates measured so that a step of 1 / (largest curvature) is stable
-    curvature = sum(first[f"q{i}"] / max(have[i], 1e-9) ** 2 for i in range(k))
-    size = 1.0 / (curvature + ridge / first.n)
-    pulls: list[list[float]] = []
-    got = have
+    some = have > 0
+    unit = np.where(some, first.n / np.where(some, have, 1.0), 0.0)  # tokens are told by their domain's mean, all figures are then about 1
+    want = np.where(some, goal / np.where(some, have, 1.0), 0.0)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def at(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Value, gradient and curvature of the function of u, and the totals by the totals before."""
+        rate, token = rate_at(u * unit), lambda i: F.get("tokens", i) * float(unit[i])
+        sums = [F.avg(rate * rate).alias("v")] + [F.avg(token(i) * rate).alias(f"g{i}") for i in range(k)]
+        row = expected.agg(*sums, *[F.avg(F.when(rate > 0, token(i) * token(j)).otherwise(0.0)).alias(f"h{i}_{j}") for i, j in pairs]).first()
+        got, curve = np.array([row[f"g{i}"] for i in range(k)]), ridge * np.eye(k)
+        for i, j in pairs:
+            curve[i, j] += row[f"h{i}_{j}"]
+            curve[j, i] = curve[i, j]
+        return (ridge * u @ u + row.v) / 2 + u @ want, ridge * u + want - got, curve, got
+
+    u = np.zeros(k)
+    value, slope, curve, got = at(u)
+    settled = lambda: bool(np.all(np.abs(slope) <= SETTLED * np.maximum(want, SETTLED)))
     for _ in range(steps):
-        pulls.append([float(x) for x in size * (got - goal) / np.maximum(have, 1e-9) ** 2])
-        row = expected.agg(*sums(rate_after(F.col("tokens"), pulls, size * ridge / first.n))).first()
-        got = np.array([row[f"s{i}"] for i in range(k)])
-        if np.all(np.abs(got - goal) <= 1e-3 * np.maximum(goal, 1)):
+        if settled():
             break
-    return expected.withColumn("rate", rate_after(F.col("tokens"), pulls, size * ridge / first.n)), {"have": have.tolist(), "target": goal.tolist(), "got": got.tolist()}
+        way, size = -np.linalg.solve(curve, slope), 1.0
+        while True:
+            then = at(u + size * way)
+            if then[0] <= value + 1e-4 * size * (slope @ way) + 1e-15 * abs(value) or size < 1e-9:
+                break
+            size /= 2
+        u = u + size * way
+        value, slope, curve, got = then
+    met = np.abs(got * have - goal) <= MET * np.maximum(goal, 1)
+    return expected.withColumn("rate", rate_at(u * unit)), {"have": have.tolist(), "target": goal.tolist(), "got": (got * have).tolist(), "met": met.tolist(), "settled": settled()}
+
+
+def mixture(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, **options) -> tuple[DataFrame, dict]:
+    """The rows of mixed(), and how the totals of the domains came out, as of fitted_rates()."""
+    expected = written(expected_tokens(docs, labels, **options), "expected-tokens")
+    rates, outcome = fitted_rates(expected, target)
+    share = lambda i: F.when(F.col("n_words") > 0, F.get("tokens", i) / F.col("n_words")).otherwise(F.lit(1 / len(DOMAINS)))
+    return rates.select("doc_id", "n_words", *[share(i).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate"), outcome
 
 
 def mixed(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, **options) -> DataFrame:
     """doc_id, n_words, a share of each domain (p_clean, p_toxic, p_low_quality), rate: one row for each input row.
 
     A null or empty text has no tokens, even shares and the rate 1. Texts are read whole; repeated rows get equal rates;
-    without labels all domains are alike; an empty table gives an empty result; other columns are ignored.
+    without labels all domains are alike; an empty table gives an empty result; other columns are ignored. A target that the
+    rates don't reach is logged as a warning; mixture() returns the totals.
     """
-    expected = written(expected_tokens(docs, labels, **options), "expected-tokens")
-    rates, _ = fitted_rates(expected, target)
-    share = lambda i: F.when(F.col("n_words") > 0, F.get("tokens", i) / F.col("n_words")).otherwise(F.lit(1 / len(DOMAINS)))
-    return rates.select("doc_id", "n_words", *[share(i).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate")
+    rates, outcome = mixture(docs, labels, target, **options)
+    if not outcome["settled"]:
+        log.warning("the rates are not the minimum yet: %s", outcome)
+    for name, met, goal, got in zip(DOMAINS, outcome["met"], outcome["target"], outcome["got"]):
+        if not met:
+            log.warning("target of %s not reached: %.0f expected tokens, goal %.0f", name, got, goal)
+    return rates
 
 
 def thinned(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, certain: float = 0.9, **options) -> DataFrame:

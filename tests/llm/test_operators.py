@@ -189,3 +189,22 @@ def test_near_dedup_keeps_one_row_of_each_component_whatever_the_ids(spark):
     rows = [(None, text("a")), (None, text("b")), (None, text("b")), (5, text("c")), (5, text("d")), (7, text("e")), (8, text("e")), (None, text("f")), (9, text("f")), (8, text("g"))]
     got = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.text[0]) for r in got) == [("5", "c"), ("5", "d"), ("7", "e"), ("8", "g"), ("9", "f"), ("None", "a"), ("None", "b")]
+
+
+def test_mixing_rates_are_the_minimum_and_reach_what_can_be_reached(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    share = np.concatenate([np.tile([0.985, 0.002, 0.013], (800, 1)), np.tile([0.1, 0.85, 0.05], (60, 1)), np.tile([0.1, 0.02, 0.88], (140, 1))]) * rng.uniform(0.8, 1.2, (1000, 3))
+    a = rng.lognormal(5, 1, (1000, 1)) * share / share.sum(1, keepdims=True)
+    expected = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(a)], "doc_id long, tokens array<double>")
+    rates, outcome = mixing.fitted_rates(expected)
+    r = np.array([x.rate for x in sorted(rates.collect())])
+    goal, have = np.array(outcome["target"]), a.sum(0)
+    assert np.all(abs(r @ a - goal) <= 0.05 * goal) and np.allclose(r @ a, outcome["got"], rtol=1e-6)
+    slope = a @ ((r @ a - goal) / have**2) + mixing.RIDGE * (r - 1) / len(r)  # of the objective by each rate
+    assert np.all(abs(slope[r > 0]) < 1e-9) and np.all(slope[r == 0] > -1e-9)
+    assert outcome["settled"] and all(outcome["met"])
+    alike = spark.createDataFrame([(i, [80.0, 15.0, 5.0]) for i in range(50)], "doc_id long, tokens array<double>")
+    outcome = mixing.fitted_rates(alike)[1]  # all documents are as toxic as the whole: no rates make it less so
+    assert outcome["settled"] and not outcome["met"][1]
