@@ -92,7 +92,8 @@ class Words:
     def plain(self, text: str) -> list[str]:
         if self.kind == "word":
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()  # letter by letter: no final sigma
-        return self.basic(text) if text.isascii() or max(text) < "\U00010000" else self.full(text)
+        basic = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+        return self.basic(text) if basic else self.full(text)
 
     def __call__(self, text: str) -> list[str]:
         """Pieces and special tokens in order."""

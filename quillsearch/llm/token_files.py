@@ -36,30 +36,50 @@ MAGIC = b"QTOKSH01"
 END_ID = 1
 #: Ids below this are counted in an array of that size.
 DENSE_IDS = 1 << 22
-#: Pieces that the library encodes at a time.
-BATCH = 10_000
+#: Pieces that the library encodes at a time, and in one line.
+BATCH, LINE = 20_000, 100
 NULL_ID = np.iinfo(np.int64).min
 #: Of each control byte, the bytes of its four ranks.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
 class WordEncoder(Encoder):
-    """The tokenizers library, asked once for each distinct piece."""
+    """The tokenizers library's merging, asked once for each distinct piece: many pieces with spaces between them at a time, as a piece
+    ends with the one of its ids whose token ends a word. Normalising and cutting are done before, once a text."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
+        self.library.normalizer = normalizers.Sequence([])
+        self.library.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.library.no_padding()
         self.library.no_truncation()
         super().__init__(path, "word")
+        model = self.words.spec["model"]
+        suffix = model.get("end_of_word_suffix") or ""
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in model["vocab"].items() if suffix and t.endswith(suffix)]] = True
+
+    def ask(self, lines: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(lines, add_special_tokens=False)]  # without offsets
 
     def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ask = lambda part: self.library.encode_batch_fast(part, add_special_tokens=False)  # noqa: E731  without offsets
-        ids = [e.ids for i in range(0, len(new), BATCH) for e in ask(new[i : i + BATCH])]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+        flat, sizes = [], []
+        for i in range(0, len(new), BATCH):
+            part = new[i : i + BATCH]
+            ids = self.ask([" ".join(part[k : k + LINE]) for k in range(0, len(part), LINE)])
+            row = np.fromiter(chain.from_iterable(ids), np.uint32)
+            ends = np.flatnonzero(self.ends[np.minimum(row, len(self.ends) - 1)])
+            n = np.diff(ends, prepend=-1)
+            if len(ends) != len(part) or (len(row) and ends[-1] != len(row) - 1):  # a token outside the scheme: each piece on its own
+                ids = self.ask(part)
+                row, n = np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+            flat.append(row)
+            sizes.append(n)
+        return np.concatenate(flat), np.concatenate(sizes)
 
 
 _loaded: dict[str, WordEncoder] = {}
