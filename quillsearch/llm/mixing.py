@@ -1,7 +1,7 @@
 """Mixing by soft membership: document rates whose expected token totals by domain match target weights.
 
-A classifier trained on a labelled table gives each window of a document a posterior over the domains, and the document
-its tokens in each domain in expectation. The rates r >= 0 minimise
+A classifier trained on a labelled table gives each document a posterior over the domains (with the domains' shares among the
+labelled rows as prior), and so its tokens in each domain in expectation. The rates r >= 0 minimise
 
     1/2 sum_k ((sum_d r_d a_dk - b_k) / s_k)^2 + ridge/2 mean_d (r_d - 1)^2
 
@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_key, texts, words, written
-from .subword import scored, train
+from .common import joined_key, words, worker_texts, written
+from .subword import Scorer, scored, train
 
 log = logging.getLogger(__name__)
 
@@ -32,9 +32,9 @@ TARGET = (0.98, 0.005, 0.015)
 STEPS = 200
 #: The minimum is reached where no total is further from where the objective is flat, by its goal.
 SETTLED = 1e-6
-#: A target is met if the total is so near, by its goal; the ridge alone keeps totals a few hundredths off.
+#: A target is met if the total is so near, by its goal; the ridge alone keeps totals a little off.
 MET = 0.05
-RIDGE = 1e-3
+RIDGE = 1e-5
 #: The classifier's sample: so many documents of each domain, twice as many clean ones.
 SAMPLE_DOCS = 1000
 
@@ -45,34 +45,38 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 
 def expected_tokens(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_words, tokens): each document's words and, in expectation, its words in each domain."""
+    """(doc_id, sha, n_words, tokens): each document's words and, in expectation, its words in each domain; sha is that of its text."""
     k = len(DOMAINS)
     known = labels.where("doc_id is not null and (quality in (0, 1) or toxic in (0, 1))")
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), domain(F.coalesce("quality", F.lit(1)), F.coalesce("toxic", F.lit(0))).alias("label"))
-    trained = train(docs, known, k, True, **({"sample_docs": SAMPLE_DOCS} | options))
-    model = trained[0] if trained else np.zeros((2, k), np.float32)  # nothing to learn from: every domain alike
+    model = train(docs, known, k, True, **({"sample_docs": SAMPLE_DOCS} | options))
 
-    def totals(part: pd.DataFrame, doc: np.ndarray, sizes: np.ndarray, p: np.ndarray) -> pd.DataFrame:
-        n = len(part)
-        by = np.stack([np.bincount(doc, sizes * p[:, i], n) for i in range(k)], axis=1)
-        return pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "n_words": np.bincount(doc, sizes, n).astype(np.int64), "tokens": list(by)})
+    def totals(scorer: Scorer, part: pd.DataFrame) -> pd.DataFrame:
+        p, n = scorer.documents(part.text.tolist())
+        return pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "sha": part.sha, "n_words": n, "tokens": list(p * n[:, None])})
 
-    if trained is None:
-        even = texts(docs).select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-        return even.select("doc_id", "n_words", F.array(*[F.col("n_words") / k] * k).alias("tokens"))
-    return scored(docs, model, totals, "doc_id long, n_words long, tokens array<double>")
+    rows = worker_texts(docs).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+    if model is None:  # nothing to learn from: every domain alike
+        even = rows.select("doc_id", "sha", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+        return even.select("doc_id", "sha", "n_words", F.array(*[F.col("n_words") / k] * k).alias("tokens"))
+    return scored(rows, model, totals, "doc_id long, sha string, n_words long, tokens array<double>")
 
 
-def rate_at(pull: np.ndarray) -> Column:
-    """The rate max(0, 1 - pull . tokens)."""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.get("tokens", k) * float(x) for k, x in enumerate(pull)), F.lit(0.0)))
+def rate_at(pull: np.ndarray, most: float | None = None) -> Column:
+    """The rate max(0, 1 - pull . tokens), and not over most."""
+    rate = F.greatest(F.lit(0.0), way_at(pull))
+    return rate if most is None else F.least(rate, F.lit(float(most)))
 
 
-def fitted_rates(expected: DataFrame, target: tuple[float, ...] = TARGET, total: float | None = None, steps: int = STEPS, ridge: float = RIDGE) -> tuple[DataFrame, dict]:
+def way_at(pull: np.ndarray) -> Column:
+    return F.lit(1.0) - sum((F.get("tokens", k) * float(x) for k, x in enumerate(pull)), F.lit(0.0))
+
+
+def fitted_rates(expected: DataFrame, target: tuple[float, ...] = TARGET, total: float | None = None, steps: int = STEPS, ridge: float = RIDGE, most: float | None = None) -> tuple[DataFrame, dict]:
     """expected with the column rate, and how the totals came out: of each domain the tokens before (have), the goal (target), the
     tokens at the rates (got), whether the goal is met within MET of itself (met), and whether the rates are the minimum within
     SETTLED (settled). No rates of a lower objective meet a goal that is missed at settled rates. total: expected tokens of the mix; by
-    default as many as leave the domain that is scarcest against its target whole."""
+    default as many as leave the domain that is scarcest against its target whole. most: a bound on rates, 1 where rows can only be left out."""
     k = len(target)
     first = expected.agg(*[F.sum(F.get("tokens", i)).alias(f"s{i}") for i in range(k)], F.count("*").alias("n")).first()
     have = np.array([first[f"s{i}"] or 0.0 for i in range(k)])
@@ -88,9 +92,10 @@ def fitted_rates(expected: DataFrame, target: tuple[float, ...] = TARGET, total:
 
     def at(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """Value, gradient and curvature of the function of u, and the totals by the totals before."""
-        rate, token = rate_at(u * unit), lambda i: F.get("tokens", i) * float(unit[i])
-        sums = [F.avg(rate * rate).alias("v")] + [F.avg(token(i) * rate).alias(f"g{i}") for i in range(k)]
-        row = expected.agg(*sums, *[F.avg(F.when(rate > 0, token(i) * token(j)).otherwise(0.0)).alias(f"h{i}_{j}") for i, j in pairs]).first()
+        rate, way, token = rate_at(u * unit, most), way_at(u * unit), lambda i: F.get("tokens", i) * float(unit[i])
+        free = rate > 0 if most is None else (rate > 0) & (rate < most)
+        sums = [F.avg(2 * rate * way - rate * rate).alias("v")] + [F.avg(token(i) * rate).alias(f"g{i}") for i in range(k)]
+        row = expected.agg(*sums, *[F.avg(F.when(free, token(i) * token(j)).otherwise(0.0)).alias(f"h{i}_{j}") for i, j in pairs]).first()
         got, curve = np.array([row[f"g{i}"] for i in range(k)]), ridge * np.eye(k)
         for i, j in pairs:
             curve[i, j] += row[f"h{i}_{j}"]
@@ -112,15 +117,20 @@ def fitted_rates(expected: DataFrame, target: tuple[float, ...] = TARGET, total:
         u = u + size * way
         value, slope, curve, got = then
     met = np.abs(got * have - goal) <= MET * np.maximum(goal, 1)
-    return expected.withColumn("rate", rate_at(u * unit)), {"have": have.tolist(), "target": goal.tolist(), "got": (got * have).tolist(), "met": met.tolist(), "settled": settled()}
+    return expected.withColumn("rate", rate_at(u * unit, most)), {"have": have.tolist(), "target": goal.tolist(), "got": (got * have).tolist(), "met": met.tolist(), "settled": settled()}
 
 
-def mixture(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, **options) -> tuple[DataFrame, dict]:
-    """The rows of mixed(), and how the totals of the domains came out, as of fitted_rates()."""
+def mixture(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, most: float | None = None, **options) -> tuple[DataFrame, dict]:
+    """The rows of mixed(), with sha, and how the totals of the domains came out, as of fitted_rates(); what is missed is logged."""
     expected = written(expected_tokens(docs, labels, **options), "expected-tokens")
-    rates, outcome = fitted_rates(expected, target)
+    rates, outcome = fitted_rates(expected, target, most=most)
+    if not outcome["settled"]:
+        log.warning("the rates are not the minimum yet: %s", outcome)
+    for name, met, goal, got in zip(DOMAINS, outcome["met"], outcome["target"], outcome["got"]):
+        if not met:
+            log.warning("target of %s not reached: %.0f expected tokens, goal %.0f", name, got, goal)
     share = lambda i: F.when(F.col("n_words") > 0, F.get("tokens", i) / F.col("n_words")).otherwise(F.lit(1 / len(DOMAINS)))
-    return rates.select("doc_id", "n_words", *[share(i).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate"), outcome
+    return rates.select("doc_id", "sha", "n_words", *[share(i).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate"), outcome
 
 
 def mixed(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, **options) -> DataFrame:
@@ -130,19 +140,15 @@ def mixed(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET
     without labels all domains are alike; an empty table gives an empty result; other columns are ignored. A target that the
     rates don't reach is logged as a warning; mixture() returns the totals.
     """
-    rates, outcome = mixture(docs, labels, target, **options)
-    if not outcome["settled"]:
-        log.warning("the rates are not the minimum yet: %s", outcome)
-    for name, met, goal, got in zip(DOMAINS, outcome["met"], outcome["target"], outcome["got"]):
-        if not met:
-            log.warning("target of %s not reached: %.0f expected tokens, goal %.0f", name, got, goal)
-    return rates
-
-
-def thinned(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, certain: float = 0.9, **options) -> DataFrame:
-    """docs with all its columns, each row kept with its rate as probability: by a hash of its id, so the same rows each
-    time. Rows that are clean by more than certain are kept whatever their rate: thinning is for the other domains."""
-    rates = mixed(docs, labels, target, **options).select(joined_key(F.col("doc_id")).alias("__key"), "rate", "p_clean").groupBy("__key").agg(F.max("rate").alias("__rate"), F.max("p_clean").alias("__clean"))
-    u = F.pmod(F.xxhash64(F.lit("mix"), docs["doc_id"].cast("long")), F.lit(1 << 30)) / float(1 << 30)
-    placed = docs.withColumns({"__key": joined_key(docs["doc_id"].cast("long")), "__u": u}).join(rates, "__key")
-    return placed.where((F.col("__clean") > certain) | (F.col("__u") < F.col("__rate"))).drop("__key", "__u", "__rate", "__clean")
+    return mixture(docs, labels, target, **options)[0].drop("sha")
+
+
+def thinned(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, **options) -> DataFrame:
+    """docs with all its columns, each row kept with its rate, at most 1, as probability: by a hash of its id and text, so the same rows
+    each time. Rows are told apart by id and text, those that agree in both stay or go together. A text without words stays;
+    an empty table gives an empty result; columns named like those of mixed() are kept as they are."""
+    rates = mixture(docs, labels, target, 1.0, **options)[0].groupBy(joined_key(F.col("doc_id"), F.col("sha")).alias("__key")).agg(F.min("rate").alias("__rate"))
+    key = joined_key(docs["doc_id"].cast("long"), F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))
+    u = F.pmod(F.xxhash64(F.lit("mix"), F.col("__key")), F.lit(1 << 30)) / float(1 << 30)
+    placed = docs.withColumn("__key", key).join(rates, "__key")
+    return placed.where(u < F.col("__rate")).drop("__key", "__rate")

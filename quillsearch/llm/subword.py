@@ -5,14 +5,14 @@ mean over its words, and embeddings and softmax are trained together in numpy by
 the n-grams of those that were. As everything after the embedding is linear up to the softmax, a trained model is one
 row of class scores for each n-gram bucket, and scoring a text adds up numbers that are computed once for each distinct word.
 
-Texts are read as windows of WINDOW words, so that a few telling words weigh the same in long and short texts; where the
-whole document is to be judged, a logistic regression weighs its most telling windows. It is fitted on documents
-that the embeddings weren't fitted on.
+Texts are read as windows of WINDOW words, so that a few telling words weigh the same in long and short texts. A document's bag is
+that of the TOP windows that tell most against class 0, and the model is trained on just such bags.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks, ragged
-from .common import worker_texts
+from .common import worker_texts, written
 
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5, 6)
@@ -31,33 +31,61 @@ EDGES = b".,;:!?\"'()[]"
 CACHE_WORDS = 300_000
 #: Words whose n-grams are worked out at a time.
 PART = 50_000
-#: Bounds of the sample of labelled rows that a model is fitted on: documents of each class, and characters of one of them.
+#: Bounds of the sample of labelled rows that a model is fitted on: documents of each class, and characters of one of them (longer
+#: documents are not in the sample): 180 million characters in all at most, whatever the corpus.
 SAMPLE_DOCS = 3000
-SAMPLE_CHARS = 200_000
+SAMPLE_CHARS = 20_000
 
 
 def tokens(text: str) -> list[bytes]:
     return text.lower().encode().split()
 
 
+def hashed(code: np.ndarray, k: int) -> np.ndarray:
+    """The buckets of n-grams of k + 1 bytes."""
+    return ((code + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 17)).astype(np.int64) % BUCKETS
+
+
+def framed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the words between < and >, each word's size, and of each byte how many there are from it to its word's end."""
+    out = [b"<" + (w.strip(EDGES) or w) + b">" for w in words]
+    sizes = np.fromiter(map(len, out), np.int64, len(out))
+    data = np.frombuffer(b"".join(out) + bytes(8), np.uint8).astype(np.uint64)
+    return data, sizes, np.repeat(np.cumsum(sizes), sizes) - np.arange(int(sizes.sum()))
+
+
+def word_scores(words: list[bytes], model: np.ndarray) -> np.ndarray:
+    """The mean of each word's rows of the model: summed byte by byte, then over the bytes of a word."""
+    data, sizes, left = framed(words)
+    n, starts = len(left), np.cumsum(sizes) - sizes
+    columns = [np.append(c, np.float32(0)) for c in model[:BUCKETS].T]  # the last for bytes where no n-gram starts
+    code, found, totals = np.zeros(n, np.uint64), np.empty(n, np.float32), [np.zeros(n, np.float32) for _ in columns]
+    for k in range(max(SIZES)):
+        code |= data[k : n + k] << np.uint64(8 * k)
+        if k + 1 in SIZES:
+            at = hashed(code, k)
+            at[left <= k] = BUCKETS
+            for column, total in zip(columns, totals):
+                total += np.take(column, at, out=found, mode="clip")
+    counts = sum(np.maximum(sizes - k + 1, 0) for k in SIZES)
+    return np.stack([np.add.reduceat(t, starts) for t in totals], 1) / counts[:, None]
+
+
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of each word's n-grams in one array, and the number of each; one at least."""
-    framed = [b"<" + (w.strip(EDGES) or w) + b">" for w in words]
-    data = np.frombuffer(b"".join(framed) + bytes(8), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, framed), np.int64, len(framed))
-    n = int(sizes.sum())
-    owner = np.repeat(np.arange(len(framed)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # bytes from here to the word's end
+    data, sizes, left = framed(words)
+    n = len(left)
+    owner = np.repeat(np.arange(len(words)), sizes)
     code, found, owners = np.zeros(n, np.uint64), [], []
     for k in range(max(SIZES)):
         code = code | data[k : n + k] << np.uint64(8 * k)
         if k + 1 in SIZES:
-            at = np.flatnonzero(left >= k + 1)
-            found.append(((code[at] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 17)).astype(np.int64) % BUCKETS)
+            at = np.flatnonzero(left > k)
+            found.append(hashed(code[at], k))
             owners.append(owner[at])
     owners, found = np.concatenate(owners), np.concatenate(found)
     order = np.argsort(owners, kind="stable")
-    return found[order], np.bincount(owners, minlength=len(framed))
+    return found[order], np.bincount(owners, minlength=len(words))
 
 
 def means(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -75,7 +103,7 @@ class Trainer:
     def __init__(self, docs: Iterable[list[bytes]], labels: np.ndarray, classes: int, dim: int = 8, seed: int = 1):
         self.labels, self.classes = labels, classes
         index: dict[bytes, int] = {}
-        flat = [np.fromiter((index.setdefault(w, len(index)) for w in d or [b""]), np.int32) for d in docs]  # one list of words at a time
+        flat = [np.fromiter((index.setdefault(w, len(index)) for w in d or [b" "]), np.int32) for d in docs]  # one list of words at a time
         words = list(index)
         cut = [subwords(words[i : i + PART]) for i in range(0, len(words), PART)]
         self.grams, self.gram_counts = np.concatenate([g.astype(np.int32) for g, _ in cut]), np.concatenate([n for _, n in cut])
@@ -113,21 +141,24 @@ class Trainer:
         self.w -= rate * gw / np.sqrt(self.gw)
         self.b -= rate * gb / np.sqrt(self.gb)
 
-    def fit(self, most_telling: bool, epochs: int = 5, batch: int = 256, rate: float = 0.2) -> np.ndarray:
-        """Class scores of each bucket, and in the last row the bias. most_telling: after the first epoch a document
-        speaks through the two windows that tell most of class 1, and two more at random if its class is 0."""
-        use = np.arange(len(self.bags))
+    def fit(self, epochs: int = 5, batch: int = 256, rate: float = 0.2) -> np.ndarray:
+        """Class scores of each bucket, and in the last row the bias. The first epoch takes all windows; then a document speaks through
+        its bag of most telling windows and the two first of these, and as many windows at random tell of class 0."""
+        bags, y = self.bags, self.labels[self.bag_doc]
         for epoch in range(epochs):
-            if most_telling and epoch:
-                order = np.lexsort((-self.probabilities()[:, 1], self.bag_doc))
-                first = np.r_[True, np.diff(self.bag_doc[order]) != 0]
-                top = order[first | np.r_[False, first[:-1]]]
+            if epoch:
+                order, nth = ranked(self.bag_doc, -self.probabilities()[:, 0])
                 clean = np.flatnonzero(self.labels[self.bag_doc] == 0)
+                top = order[nth < 2]
                 use = np.concatenate([top, self.rng.choice(clean, min(len(clean), len(top)), replace=False)])
-            self.rng.shuffle(use)
-            for k in range(0, len(use), batch):
-                part = use[k : k + batch]
-                self.step([self.bags[i] for i in part], self.labels[self.bag_doc[part]], rate)
+                own = order[nth < TOP]
+                own = np.split(own, np.flatnonzero(np.diff(self.bag_doc[own])) + 1)
+                bags = [self.bags[i] for i in use] + [np.concatenate([self.bags[i] for i in x]) for x in own]
+                y = self.labels[np.concatenate([self.bag_doc[use], [self.bag_doc[x[0]] for x in own]])]
+            each = self.rng.permutation(len(bags))
+            for k in range(0, len(each), batch):
+                part = each[k : k + batch]
+                self.step([bags[i] for i in part], y[part], rate)
         return np.vstack([self.e @ self.w, self.b]).astype(np.float32)
 
     def probabilities(self) -> np.ndarray:
@@ -137,108 +168,111 @@ class Trainer:
         return softmax(means(table[np.concatenate(self.bags)], sizes) + self.b)
 
 
-def evidence(doc: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
-    """Of each of n documents: the log odds of its TOP most telling windows in falling order, and the logarithm of how many
-    windows tell of class 1."""
-    odds = np.clip(np.log(p[:, 1] + 1e-9) - np.log(1 - p[:, 1] + 1e-9), -8, 8)
-    order = np.lexsort((-odds, doc))
-    nth = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
-    out = np.full((n, TOP + 1), -8.0)
-    some = nth < TOP
-    out[doc[order][some], nth[some]] = odds[order][some]
-    out[:, TOP] = np.log1p(np.bincount(doc, np.maximum(p[:, 1] - 0.1, 0), n))
-    return out
-
-
-def weighed(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1])))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights and bias of a logistic regression, by Newton steps."""
-    x1, w = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
-    for _ in range(steps):
-        p = weighed(x, w)
-        curve = (x1 * (p * (1 - p) + 1e-6)[:, None]).T @ x1 + ridge * np.eye(len(w))
-        w -= np.linalg.solve(curve, x1.T @ (p - y) + ridge * w)
-    return w
-
-
-def fitted(texts: list[str], labels: np.ndarray, classes: int, most_telling: bool, **options) -> tuple[np.ndarray, np.ndarray]:
-    """A model and, with most_telling, the weights of the evidence: fitted on every fourth document, the model on the others."""
-    aside = np.arange(len(texts)) % 4 == 3 if most_telling and len(texts) >= 40 else np.zeros(len(texts), bool)
-    model = Trainer((tokens(t) for t, x in zip(texts, aside) if not x), labels[~aside], classes).fit(most_telling, **options)
-    if not most_telling:
-        return model, np.zeros(0)
-    judge = aside if aside.any() else ~aside
-    held = [t for t, x in zip(texts, judge) if x]
-    doc, _, p = Scorer(model).windows(held)
-    return model, logistic(evidence(doc, p, len(held)), (labels[judge] == 1).astype(float))
-
-
-def train(docs: DataFrame, labelled: DataFrame, classes: int, most_telling: bool, sample_docs: int = SAMPLE_DOCS, **options) -> tuple[np.ndarray, np.ndarray] | None:
-    """Fits a model on a bounded sample: of class 0 of labelled (doc_id, label) the 2 * sample_docs documents whose id hashes lowest,
-    of other classes sample_docs, each of up to SAMPLE_CHARS characters. One executor task fits it. None if there is nothing to learn from."""
-    ids = [r.doc_id for k in range(classes) for r in labelled.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs * (1 + (k == 0))).select("doc_id").collect()]
-    if not ids:
+def ranked(doc: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows by document and falling p, and the place of each within its document."""
+    order = np.lexsort((-p, doc))
+    return order, np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
+
+
+def train(docs: DataFrame, labelled: DataFrame, classes: int, calibrated: bool = False, sample_docs: int = SAMPLE_DOCS, **options) -> np.ndarray | None:
+    """Fits a model on a bounded sample: of class 0 of labelled (doc_id, label) the 2 * sample_docs documents that hash lowest,
+    of other classes sample_docs, of documents of up to SAMPLE_CHARS characters. One executor task fits it. calibrated: the bias is that of the
+    classes' shares among all labelled documents, not in the sample. The last row has these shares' logarithms, for texts without
+    words. None if there is nothing to learn from."""
+    rows = worker_texts(docs).where(F.length("text") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("doc_id", "text"))
+    labelled = labelled.groupBy("doc_id").agg(F.min("label").alias("label"))
+    keys = written(rows.select("doc_id", "h").join(labelled, "doc_id").distinct(), "labelled-rows")
+    shares = {r.label: r["count"] for r in keys.groupBy("label").count().collect()}  # a row for each class
+    chosen = [r for k in range(classes) for r in keys.where(F.col("label") == k).orderBy("h", "doc_id").limit(sample_docs * (1 + (k == 0))).collect()]
+    if not chosen:
         return None
-    chosen = F.broadcast(labelled.join(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("label").alias("label")))  # at most (classes + 1) * sample_docs rows
-    sample = worker_texts(docs).join(chosen, "doc_id").where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "label")
+    picked = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in chosen], keys.schema))  # at most (classes + 1) * sample_docs rows
+    sample = rows.join(picked, ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+    prior = np.array([shares.get(k, 0) + 0.5 for k in range(classes)])
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "label": []}), *batches])
+        rows = pd.concat([pd.DataFrame({"doc_id": [], "h": [], "text": [], "label": []}), *batches])
         if len(rows):
-            rows = rows.sort_values(["doc_id", "text"])
-            model, weights = fitted(rows.text.tolist(), rows.label.to_numpy(np.int64), classes, most_telling, **options)
-            yield pd.DataFrame({"model": [model.tobytes()], "weights": [weights.astype(np.float64).tobytes()]})
+            rows = rows.sort_values(["doc_id", "h"])
+            trainer = Trainer((tokens(t) for t in rows.text), rows.label.to_numpy(np.int64), classes)
+            model = trainer.fit(**options)
+            share = np.log(prior / prior.sum())
+            if calibrated:
+                seen = np.bincount(trainer.labels, minlength=classes) + 0.5
+                model[-1] += share - np.log(seen / seen.sum())
+            model = np.vstack([model, share]).astype(np.float32)
+            yield pd.DataFrame({"model": [model.tobytes()]})
+
+    got = sample.repartition(1).mapInPandas(fit, "model binary").collect()
+    return np.frombuffer(bytes(got[0].model), np.float32).reshape(BUCKETS + 2, classes) if got else None
+
+
+class Seen(dict):
+    """word -> number, given out on first sight."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
 
-    got = sample.repartition(1).mapInPandas(fit, "model binary, weights binary").collect()
-    return (np.frombuffer(bytes(got[0].model), np.float32).reshape(BUCKETS + 1, classes), np.frombuffer(bytes(got[0].weights))) if got else None
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 class Scorer:
-    """Window probabilities under a model, with class scores remembered for each distinct word."""
+    """Class scores under a model, remembered for each distinct word."""
 
     def __init__(self, model: np.ndarray):
         self.model, self.classes = model, model.shape[1]
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.table = np.zeros((0, self.classes), np.float32)
+        self.index, self.table = Seen(), np.zeros((0, self.classes), np.float32)
 
     def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all windows: the index of the text, words, class probabilities. A text without words has one window of no
-        words with the probabilities of the bias."""
+        """Of all windows: the index of the text, words, and the sum of their class scores without the bias. A text without words
+        has one window of no words."""
         if len(self.index) > CACHE_WORDS:
             self.forget()
         cut = [tokens(t) for t in texts]
-        new = list(dict.fromkeys(w for c in cut for w in c if w not in self.index))
-        if new:
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            grams, counts = subwords(new)
-            self.table = np.vstack([self.table, means(self.model[grams], counts).astype(np.float32)])
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        new, self.index.new = self.index.new, []
+        if new:
+            self.table = np.vstack([self.table, *(word_scores(new[i : i + PART], self.model).astype(np.float32) for i in range(0, len(new), PART))])
         per = np.maximum(-(-sizes // WINDOW), 1)
         doc = np.repeat(np.arange(len(cut)), per)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
         words = np.minimum(sizes[doc] - nth * WINDOW, WINDOW)
-        codes = np.fromiter((self.index[w] for c in cut for w in c), np.int64, int(sizes.sum()))
         total = np.zeros((len(doc), self.classes))
         some = words > 0
         if some.any():
-            total[some] = np.add.reduceat(self.table[codes], (np.cumsum(words) - words)[some], axis=0) / words[some, None]
-        return doc, words, softmax(total + self.model[-1])
+            total[some] = np.add.reduceat(self.table[codes], (np.cumsum(words) - words)[some], axis=0)
+        return doc, words, total
+
+    def judged(self, total: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The softmax over the mean of bags of so many words with so large sums; the classes' shares for a bag without words."""
+        mean = total / np.maximum(words, 1)[:, None] + self.model[BUCKETS]
+        return softmax(np.where(words[:, None] > 0, mean, self.model[BUCKETS + 1]))
+
+    def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Class probabilities of each text, by the bag of its TOP most telling windows, and its number of words."""
+        doc, words, total = self.windows(texts)
+        order, nth = ranked(doc, -self.judged(total, words)[:, 0])
+        top = order[nth < TOP]
+        add = lambda x: np.bincount(doc[top], x[top], len(texts))
+        p = self.judged(np.stack([add(total[:, k]) for k in range(self.classes)], 1), add(words))
+        return p, np.bincount(doc, words, len(texts)).astype(np.int64)
 
 
 def scored(docs: DataFrame, model: np.ndarray, fold, schema: str) -> DataFrame:
-    """fold(rows, doc, words, probabilities) -> frame, over texts in parts of bounded size. The model is a few MB whatever the corpus."""
+    """fold(scorer, rows) -> frame, over texts in parts of bounded size; docs has doc_id and text. The model is a few MB whatever the corpus."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for pdf in batches:
             for part in (pdf.iloc[s] for s in chunks(pdf.text)):
-                yield fold(part, *scorer.windows(part.text.tolist()))
+                yield fold(scorer, part)
 
-    return worker_texts(docs).mapInPandas(run, schema)
+    return docs.mapInPandas(run, schema)
