@@ -44,6 +44,11 @@ def strategy_mix(replayed: DataFrame) -> DataFrame:
     return replayed.groupBy("strategy").agg(number(F.col("times")).alias("searches")).orderBy(F.desc("searches"))
 
 
+def mean_year(results: DataFrame) -> DataFrame:
+    """(query_id, mean_year) of search results; undated rows count as year 0."""
+    return results.groupBy("query_id").agg(F.round(F.avg("year"), 6).alias("mean_year"))
+
+
 def correction_rate(replayed: DataFrame) -> DataFrame:
     return replayed.agg(number(F.when(F.col("fixed"), F.col("times")).otherwise(0)).alias("corrected"), number(F.col("times")).alias("searches"))
 
@@ -108,11 +113,6 @@ def encoding(texts: DataFrame, column: str, top: int = 8) -> DataFrame:
     return counts.withColumn("one", F.lit(1)).join(F.broadcast(affected.withColumn("one", F.lit(1))), "one").select("artefact", "n", "affected")
 
 
-def upper_median(values: Column) -> Column:
-    v = F.sort_array(values)
-    return F.when(F.size(v) > 0, F.get(v, F.floor(F.size(v) / 2).cast("int")))
-
-
 def candidate_cap(rows: DataFrame, words: list[str] | None = None, cap: int = L.BASELINE_CAP) -> DataFrame:
     """(word, matches, capped_year, all_year): upper median year of a word's first matches by number and of all. Years are counted
     first, so a group is as large as there are years."""

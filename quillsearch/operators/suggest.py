@@ -13,9 +13,13 @@ from ..shipping import shipped
 from .search import search
 
 
+# Fixed value: what is never offered.
+REJECTED = r"""(?i)[<>"'`;\\|${}()\[\]/]|script|alert|passwd|\bs's\b|\+"""
+
+
 def suggestable(phrase: Column) -> Column:
     """Safe and sensible to offer."""
-    probe = phrase.rlike(r"""(?i)[<>"'`;\\|${}()\[\]/]|script|alert|passwd|\bs's\b|\+""")
+    probe = phrase.rlike(REJECTED)
     return F.length(phrase).between(3, 40) & ~probe & phrase.rlike(r"\A[a-z0-9 &.,'-]+\z") & ~F.replace(phrase, F.lit(" "), F.lit("")).rlike(r"\A[0-9]+\z")
 
 

@@ -79,3 +79,10 @@ def understand(index: Index, queries: DataFrame) -> Understood:
     met = terms.join(of_word, terms.term == of_word.word).select("query_id", "kind", "value", F.col("term").alias("source"), F.struct("pos", "at").alias("place"))
     first = met.groupBy("query_id", "kind", "value").agg(F.min_by("source", "place").alias("source"), F.min("place").alias("place"))
     return Understood(queries, terms, written(fixes, "fixes"), written(groups, "groups"), written(first, "query-facets"))
+
+
+def nearest_occasion(index: Index, u: Understood) -> DataFrame:
+    """(query_id, section, n): the section whose words a query shares most, the first by name of equals."""
+    shared = u.terms.select("query_id", "term").distinct().join(index.occasion_terms, "term").groupBy("query_id", "section").agg(F.count("*").alias("n"))
+    best = shared.groupBy("query_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "section")).alias("b"))
+    return best.select("query_id", "b.section", (-F.col("b.m")).alias("n"))

@@ -37,7 +37,10 @@ def parts_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query, times, results): each part name as a query."""
+    """(query_id, query, times, results): each part name as a query; the same with its first two letters swapped; and written backwards."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     n = F.count("*").cast("int")
-    return part.groupBy(F.col("p_name").alias("query")).agg(n.alias("times"), F.when(F.min("p_partkey") % 4 == 0, 0).otherwise(n).cast("int").alias("results")).withColumn("query_id", F.col("query"))
+    names = part.groupBy(F.col("p_name").alias("name")).agg(n.alias("times"), F.when(F.min("p_partkey") % 4 == 0, 0).otherwise(n).cast("int").alias("results"))
+    swapped = F.concat(F.substring("name", 2, 1), F.substring("name", 1, 1), F.substring("name", 3, 1 << 20))
+    kinds = F.array(F.struct(F.col("name").alias("query"), "times", "results"), F.struct(swapped.alias("query"), "times", F.lit(0).alias("results")), F.struct(F.reverse("name").alias("query"), F.lit(1).alias("times"), F.lit(0).alias("results")))
+    return names.select(F.explode(kinds).alias("q")).select("q.query", "q.times", "q.results", F.col("q.query").alias("query_id"))

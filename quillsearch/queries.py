@@ -12,14 +12,16 @@ from .functions import text as T
 from .operators import baseline, reports, spell, suggest
 from .operators.search import recency, search
 from .operators.understand import bases, understand
+from .operators.understand import nearest_occasion as nearest
 from .plans.catalogues import CATALOG_DOCS, CATALOG_PARTS, docs_catalogue, parts_catalogue, parts_log
 from .plans.index import Index, build_index, live
+from .search_sql import occasion_words, searched, understood
 from .sources.catalogue import card_fields, payload
 
 _built: dict[tuple, object] = {}
 
 #: Queries of the batch searches over the parts catalogue: plain, misspelt, written together, partial, a number, nothing, nonsense.
-SEARCHES = ["small red widget", "wigdet", "widgetring", "hot plates", "smal gear", "widg musical", "promo blue gear", "17", "", "zzzzqqq", "flash cold rod", "gizom", "old anvil hot", "red red bolt", "animated blue ring"]
+SEARCHES = ["small red widget", "wigdet", "widgetring", "hot plates", "smal gear", "widg musical", "promo blue gear", "17", "", "zzzzqqq", "flash cold rod", "gizom", "old anvil hot", "red red bolt", "animated blue ring", "wee red rod", "small red hot old blue gear bolt rod ring widget anvil plate", "gea", "warm plates promo widget"]
 PREFIXES = ["the", "res", "ent", "inter", "tion", "que"]
 MISSPELT = ["wigdet", "gizom", "plaet", "smal", "anvill", "widget", "xyz", "zzzzzzzz", "larg", "standrad"]
 TYPED = ["sm", "small g", "red", "bo", "w", "gear", "hot pl"]
@@ -137,11 +139,32 @@ def compound_split(s, d):
 
 
 def understand_terms(s, d):
-    return understand(parts_index(s, d), _batch(s)).terms
+    return understand(parts_index(s, d), _batch(s)).terms.select("query_id", F.col("pos").cast("long").alias("pos"), "term")
+
+
+def understand_facets(s, d):
+    f = understand(parts_index(s, d), _batch(s)).facets
+    return f.select("query_id", "kind", "value", "source", F.col("place.pos").cast("long").alias("pos"))
+
+
+def understand_groups(s, d):
+    return understand(parts_index(s, d), _batch(s)).groups
+
+
+def nearest_occasion(s, d):
+    return nearest(parts_index(s, d), understand(parts_index(s, d), _batch(s)))
+
+
+def mean_year(s, d):
+    return reports.mean_year(search(parts_index(s, d), _batch(s), limit=10))
+
+
+def _longs(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
 def ladder_search(s, d):
-    return search(parts_index(s, d), _batch(s), limit=10).drop("doc")
+    return _longs(search(parts_index(s, d), _batch(s), limit=10).drop("doc"), "rank", "year")
 
 
 def ladder_strategy(s, d):
@@ -150,7 +173,7 @@ def ladder_strategy(s, d):
 
 def popularity_ranked(s, d):
     part = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("number"), F.col("p_retailprice").alias("score"))
-    return search(parts_index(s, d), _batch(s), limit=5, popularity=part, boost=0.0).select("query_id", "rank", "number", "strategy")
+    return search(parts_index(s, d), _batch(s), limit=5, popularity=part, boost=0.0).select("query_id", F.col("rank").cast("long").alias("rank"), "number", "strategy")
 
 
 def suggest_build(s, d):
@@ -169,7 +192,7 @@ def baseline_search(s, d):
 
 
 def compare_old_new(s, d):
-    return baseline.compare(parts_index(s, d), _batch(s))
+    return _longs(baseline.compare(parts_index(s, d), _batch(s)), "old_n", "new_n")
 
 
 def json_payload(s, d):
@@ -179,7 +202,9 @@ def json_payload(s, d):
 
 def json_results(s, d):
     ix = parts_index(s, d)
-    return payload(ix, search(ix, _batch(s), limit=3))
+    rows = payload(ix, search(ix, _batch(s), limit=3))
+    of = lambda name: F.get_json_object("json", f"$.{name}").alias(name)
+    return rows.select("query_id", F.col("rank").cast("long").alias("rank"), *map(of, ["number", "title", "q1", "occasion", "subcat", "page", "thumb_extn", "big_extn", "year", "why", "facets"]))
 
 
 def eval_zero_rate(s, d):
@@ -195,7 +220,7 @@ def eval_still_zero(s, d):
 
 
 def eval_fixed(s, d):
-    return reports.rescued(_replayed(s, d)).select("query_id", "times")
+    return _longs(reports.rescued(_replayed(s, d)), "new_n")
 
 
 def eval_overmatch(s, d):
@@ -258,7 +283,7 @@ def audit_index_cost(s, d):
 
 _NAMES = """live_filter newest_cards number_lookup tokenise_docs postings term_idf facet_members facet_boost tag_phrases occasion_lexicon
 occasion_of hint_validation variant_validation recency_factor prefix_terms symspell_deletes word_variants spell_correct compound_split
-understand_terms ladder_search ladder_strategy popularity_ranked suggest_build suggest_lookup baseline_search compare_old_new
+understand_terms understand_facets understand_groups nearest_occasion mean_year ladder_search ladder_strategy popularity_ranked suggest_build suggest_lookup baseline_search compare_old_new
 json_payload json_results eval_zero_rate eval_regressions eval_still_zero eval_fixed eval_overmatch eval_strategy_mix
 eval_corrections audit_stopwords audit_precision audit_leaks audit_misspell audit_strict_and audit_encoding audit_cap audit_tags
 audit_tag_quality audit_status audit_index_cost""".split()
@@ -297,7 +322,7 @@ _FACET_WORDS = "[" + ", ".join(f"'{e[2]}'" for e in L.Lexicons().entries()) + "]
 _QUERIES_SQL = "qs(query_id, raw) as (values " + ", ".join(f"('q{i:02d}', '{q}')" for i, q in enumerate(SEARCHES)) + ")"
 _SUFFIX_CASE = "case " + " ".join(f"when length(term) > {len(s) + 2} and term like '%{s}' then {len(s)}" for s in L.SUFFIXES) + " end"
 _TAGS = "lower(card_tags)"
-_LOG = "lg as (select p_name as query_id, count(*) as times, case when min(p_partkey) % 4 = 0 then 0 else count(*) end as results from part group by p_name)"
+_LOG = "ln as (select p_name as name, count(*) as times, case when min(p_partkey) % 4 = 0 then 0 else count(*) end as results from part group by p_name), lg as (select name as query_id, times, results from ln union all select substring(name, 2, 1) || substring(name, 1, 1) || substring(name, 3), times, 0 from ln union all select reverse(name), 1, 0 from ln)"
 
 ORACLES = {
     "live_filter": f"with {_DOCS} select card_number, card_label_type, cast(substring(card_created_date, 1, 4) as int) as year, split_part(q1_value, '_', 1) as section from ld",
@@ -319,14 +344,9 @@ ORACLES = {
     "word_variants": f"{_WITH_D}, s as (select term, {_SUFFIX_CASE} as cut from te), b as (select term as word, left(term, length(term) - cut) as stem from s where cut is not null), v as (select word, 0 as i, stem as base from b union all select word, 1, stem || 'e' from b union all select word, 2, left(stem, length(stem) - 1) from b where length(stem) > 2 and right(stem, 1) = substring(stem, length(stem) - 1, 1)) select word, cast(i as bigint) as i, base from v",
     "compound_split": f"{_WITH_P}, q(word) as (values ('widgetring'), ('smallgear'), ('redbolt'), ('anvilanvil'), ('sofa'), ('gizmorodx')), c as (select word, i, substring(word, 1, i) as l, substring(word, i + 1) as r from q, (select unnest(range(3, 30)) as i) where i <= length(word) - 3), b as (select word, l, r, row_number() over (partition by word order by least(a.df, z.df) desc, i) as k from c join te a on a.term = l join te z on z.term = r where a.df >= 3 and z.df >= 3) select word, l as \"left\", r as \"right\" from b where k = 1",
     "hint_validation": f"with {_PARTS}, h(claimed, phrase) as (values ('promo', 'small gear'), ('standard', 'hot')), b as (select section, ' ' || {_fold('card_title || chr(32) || card_description')} || ' ' as t from lp), n as (select claimed, phrase, section, count(*) as n from h join b on contains(t, ' ' || phrase || ' ') group by all), k as (select claimed, phrase, sum(n) as total, sum(case when section = claimed then n else 0 end) as here, max(n) as best_count from n group by all), f as (select claimed, phrase, min(section) as best from n join k using (claimed, phrase) where n = best_count group by all) select claimed as section, phrase, cast(total as bigint) as total, cast(here as bigint) as here, best, best_count, case when total < 3 then 'rare' when here / total >= 0.5 then 'kept' else 'dropped' end as status from k join f using (claimed, phrase)",
-    "suggest_build": f"with {_PARTS}, {_LOG}, t as (select unnest(string_split(card_tags, ',')) as phrase from lp), a as (select query_id as phrase, times * 1.0 as w from lg union all select phrase, count(*) * 0.05 from t group by all) select phrase, round(cast(sum(w) as double), 9) as weight from a group by all",
+    "suggest_build": f"with {_PARTS}, {_LOG}, t as (select unnest(string_split(card_tags, ',')) as phrase from lp), a as (select name as phrase, times * 1.0 as w from ln union all select phrase, count(*) * 0.05 from t group by all) select phrase, round(cast(sum(w) as double), 9) as weight from a group by all",
     "baseline_search": f"with {_PARTS}, {_QUERIES_SQL}, tw as (select query_id, list_filter(regexp_extract_all(lower(raw), '[a-z0-9'']+'), lambda x: not list_contains({_STOPS}, x)) as ws from qs), bl as (select doc, card_number as number, lower(concat_ws(' ', card_title, card_description, card_tags, replace(q1_value, '_', ' '), card_page_url)) as blob from lp), m as (select query_id, number, row_number() over (partition by query_id order by doc) as rank from tw, bl where len(ws) > 0 and len(list_filter(ws, lambda x: not contains(blob, x))) = 0), k as (select *, least(count(*) over (partition by query_id), 500) as n from m) select query_id, rank, number, n from k where rank <= 10",
     "json_payload": f"with {_DOCS} select card_number as number, split_part(q1_value, '_', 1) as occasion, split_part(q1_value, '_', 2) as subcat, replace(card_page_url, '.html', '') as page, 'gif' as thumb_extn, 'png' as big_extn, cast(substring(card_created_date, 1, 4) as bigint) as year from ld",
-    "eval_zero_rate": f"with {_LOG} select count(*) as queries, cast(sum(times) as bigint) as searches, count(*) filter (results = 0) as old_zero, cast(0 as bigint) as new_zero, cast(coalesce(sum(times) filter (results = 0), 0) as bigint) as old_volume, cast(0 as bigint) as new_volume from lg",
-    "eval_regressions": f"with {_LOG} select query_id, cast(times as int) as times, cast(results as int) as old_n from lg where false",
-    "eval_still_zero": f"with {_LOG} select query_id, cast(times as int) as times from lg where false",
-    "eval_fixed": f"with {_LOG} select query_id, cast(times as int) as times from lg where results = 0",
-    "eval_overmatch": f"with {_PARTS}, {_LOG}, n as (select count(*) as total from lp) select query_id, cast(times as int) as times, cast(results as int) as old_n, round(100.0 * results / total, 6) as share from lg, n where results > total * 0.2",
     "audit_stopwords": f"with {_DOCS}, k as (select len(list_filter(regexp_extract_all(lower(card_title), '[a-z0-9'']+'), lambda x: not list_contains({_STOPS}, x))) as n from au) select count(*) as cards, count(*) filter (n = 0) as none_left, count(*) filter (n = 1) as one_left from k",
     "audit_precision": f"with {_DOCS}, k as (select contains(blob, 'the') as m, contains({_TAGS}, 'the') or contains({_TAGS}, 'and') as g, regexp_matches(blob, '\\bthe(-|\\s|re)') as l from au) select count(*) filter (m) as matched, count(*) filter (m and g) as genuine, count(*) filter (m and not g) as prose_only, count(*) filter (l and not g) as leaked from k",
     "audit_leaks": f"with {_DOCS} select split_part(q1_value, '_', 1) as section, count(*) as n from au where regexp_matches(blob, '\\bthe(-|\\s|re)') and not (contains({_TAGS}, 'the') or contains({_TAGS}, 'and')) group by all order by n desc, section limit 8",
@@ -339,3 +359,41 @@ ORACLES = {
     "audit_status": f"with {_DOCS}, y as (select *, cast(substring(card_created_date, 1, 4) as bigint) as year from cd), l as (select status_id, count(*) as n, round(100.0 * avg(case when trim(card_tags) <> '' then 1 else 0 end), 6) as tagged, list_sort(list(year)) as ys, count(distinct dev_id) as developers, round(100.0 * avg(case when dev_id = 'src1' then 1 else 0 end), 6) as own from y group by all) select status_id, n, tagged, ys[len(ys) // 2 + 1] as median_year, developers, own from l",
     "audit_index_cost": f"with {_DOCS}, w as (select distinct card_number, unnest(regexp_extract_all(lower(concat_ws(' ', card_title, card_description, card_tags, replace(q1_value, '_', ' '))), '[a-z0-9]+')) as w from au) select count(distinct w) as terms, count(*) as postings from w",
 }
+
+_PARTS_ENGINE = f"{_WITH_P}, {_FACETS}"
+
+
+def _nested(name: str) -> str:
+    """The part of a query's SQL behind the tables that all share."""
+    return "with " + ORACLES[name].removeprefix(_WITH_P + ", ").removeprefix(f"with {_PARTS}, ")
+
+
+def _engine(queries: str, numbers: bool = True) -> str:
+    """The common tables of a search; without numbers, a card number is a word like any other."""
+    sql = f"{_PARTS_ENGINE}, {understood(queries, _fold, _nested('variant_validation'), _SCORES, _nested('hint_validation'))}"
+    return sql if numbers else sql.replace("where regexp_matches(trim(raw), '^[0-9]+$')", "where false")
+
+
+_BATCH_SQL = "select * from (values " + ", ".join(f"('q{i:02d}', '{q}')" for i, q in enumerate(SEARCHES)) + ") as q(query_id, raw)"
+_REPLAY_SQL = f"{_engine('select query_id, query_id as raw from lg').replace('with ', 'with ' + _LOG + ', ', 1)}, {searched(20)}, re as (select query_id, cast(times as int) as times, cast(results as int) as old_n, n as new_n, strategy, coalesce(fixed, false) as fixed from lg join (select query_id, count(*) as n, max(strategy) as strategy, bool_or(message like 'Showing results for%') as fixed from out group by query_id) using (query_id))"
+_SEARCH_SQL = lambda *args: f"{_engine(_BATCH_SQL)}, {searched(*args)}"
+ORACLES |= {
+    "understand_terms": f"{_engine(_BATCH_SQL, False)} select query_id, cast(pos as bigint) as pos, term from tm",
+    "understand_facets": f"{_engine(_BATCH_SQL, False)} select query_id, kind, value, source, cast(pos as bigint) as pos from fc",
+    "understand_groups": f"{_engine(_BATCH_SQL, False)} select term, member from gr",
+    "nearest_occasion": f"{_engine(_BATCH_SQL, False)}, ow as ({occasion_words(_SCORES, _nested('hint_validation'))}), sh as (select query_id, section, count(*) as n from (select distinct query_id, term from tm) join ow using (term) group by all) select query_id, section, n from sh qualify row_number() over (partition by query_id order by n desc, section) = 1",
+    "mean_year": f"{_SEARCH_SQL(10)} select query_id, round(avg(year), 6) as mean_year from out join yr using (doc) group by query_id",
+    "ladder_search": f"{_SEARCH_SQL(10)} select query_id, rank, number, title, year, strategy, fallback, message, why from out join yr using (doc)",
+    "ladder_strategy": f"{_SEARCH_SQL(1)} select query_id, strategy, fallback, message from out",
+    "popularity_ranked": f"{_SEARCH_SQL(5, 0.0, 'select cast(p_partkey as varchar) as number, p_retailprice as score from part')} select query_id, rank, number, strategy from out join yr using (doc)",
+    "compare_old_new": f"{_SEARCH_SQL(10)}, ol as ({ORACLES['baseline_search'].replace('with ' + _PARTS, 'with ' + _PARTS)}), o as (select query_id, max(n) as old_n from ol group by query_id), w as (select query_id, count(*) as new_n, max(strategy) as strategy from out group by query_id) select query_id, coalesce(old_n, 0) as old_n, new_n, strategy from w left join o using (query_id)",
+    "json_results": f"{_SEARCH_SQL(3)}, fj as (select doc, '{{' || string_agg('\"' || kind || '\":[' || vs || ']', ',' order by kind) || '}}' as facets from (select doc, kind, string_agg('\"' || value || '\"', ',' order by value) as vs from (select distinct doc, kind, value from fa) group by all) group by doc) select query_id, rank, card_number as number, card_title as title, q1_value as q1, section as occasion, case when contains(q1_value, '_') then substring(q1_value, length(section) + 2) else section end as subcat, replace(card_page_url, '.html', '') as page, 'jpg' as thumb_extn, 'gif' as big_extn, substring(card_created_date, 1, 4) as year, why, facets from out join lp using (doc) join fj using (doc)",
+    "suggest_lookup": f"with su as ({ORACLES['suggest_build']}), ty(typed_id, t) as (values {', '.join(f'({chr(39)}{i}{chr(39)}, {chr(39)}{t}{chr(39)})' for i, t in enumerate(TYPED))}), tw as (select typed_id, t, string_split(t, ' ') as ws from ty where length(t) >= 2), h as (select typed_id, phrase, weight, 0 as pass from tw join su on starts_with(phrase, t) and phrase <> t union all select distinct typed_id, phrase, weight, 1 from tw join (select phrase, weight, unnest(string_split(phrase, ' ')) as word from su) on starts_with(word, ws[-1]) and phrase <> t and len(list_filter(ws[:-2], lambda x: not contains(phrase, x))) = 0), b as (select typed_id, phrase, max(weight) as weight, min(pass) as pass from h group by all) select typed_id, row_number() over (partition by typed_id order by pass, weight desc, length(phrase), phrase) as rank, phrase from b qualify rank <= 8",
+    "eval_zero_rate": f"{_REPLAY_SQL} select count(*) as queries, cast(sum(times) as bigint) as searches, count(*) filter (old_n = 0) as old_zero, count(*) filter (new_n = 0) as new_zero, cast(coalesce(sum(times) filter (old_n = 0), 0) as bigint) as old_volume, cast(coalesce(sum(times) filter (new_n = 0), 0) as bigint) as new_volume from re",
+    "eval_regressions": f"{_REPLAY_SQL} select query_id, times, old_n from re where old_n > 0 and new_n = 0 and trim(query_id) <> ''",
+    "eval_still_zero": f"{_REPLAY_SQL} select query_id, times from re where old_n = 0 and new_n = 0",
+    "eval_fixed": f"{_REPLAY_SQL} select query_id, times, cast(new_n as bigint) as new_n, strategy from re where old_n = 0 and new_n > 0",
+    "eval_overmatch": f"{_REPLAY_SQL} select query_id, times, old_n, round(100.0 * old_n / total, 6) as share from re, nn where old_n > total * 0.2",
+    "eval_strategy_mix": f"{_REPLAY_SQL} select strategy, cast(sum(times) as bigint) as searches from re group by strategy",
+    "eval_corrections": f"{_REPLAY_SQL} select cast(coalesce(sum(times) filter (fixed), 0) as bigint) as corrected, cast(sum(times) as bigint) as searches from re",
+}

@@ -16,9 +16,8 @@ from ..functions import text as T
 from ..lexicons import CATALOGUE_COLUMNS
 from ..plans.index import Index
 
-SCHEMA = StructType([StructField(c, StringType()) for c in CATALOGUE_COLUMNS])
 # The names under which an export is looked for, in order.
-EXPORT_NAMES = ["cards.csv.gz", "cards.csv", "cards.zip", "export.csv.gz", "export.csv", "export.zip"]
+EXPORT_NAMES = ["card_database.csv", "card_database.csv.gz", "card_database.zip", "card_database.csv.zip", "cards.csv", "cards.csv.gz"]
 READABLE = (".csv", ".csv.gz", ".zip")
 REFUSED = {".7z": "unpack the archive and give the CSV file in it", ".xlsx": "save the sheet as CSV", ".xls": "save the sheet as CSV", ".xlsm": "save the sheet as CSV", ".ods": "save the sheet as CSV"}
 
@@ -37,23 +36,33 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({c: F.lit(None).cast("string") for c in CATALOGUE_COLUMNS if c not in rows.columns})
 
 
+def _opened(content: bytes):
+    """The first CSV file of an archive."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    names = [n for n in z.namelist() if n.lower().endswith(".csv") and not n.startswith("__MACOSX")]
+    if not names:
+        raise ValueError("the archive holds no CSV file")
+    return z.open(names[0])
+
+
 def _unzipped(spark: SparkSession, path: str) -> DataFrame:
-    """Archives are read where they lie, by Spark, and unpacked on the executors, each as one unit."""
-    found = spark.read.format("binaryFile").load(path)
+    """Archives are read where they lie, by Spark, and unpacked on the executors, each as one unit; all columns of their headers are kept."""
+    found = spark.read.format("binaryFile").load(path).select("content")
+
+    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"names": [list(pd.read_csv(_opened(c), dtype=str, nrows=0, encoding="utf-8").columns) for c in pdf.content]})
+
+    names = list(dict.fromkeys(n for r in found.mapInPandas(headers, "names array<string>").collect() for n in r.names))  # one row for each archive
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf.content:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = [n for n in z.namelist() if n.lower().endswith(".csv") and not n.startswith("__MACOSX")]
-                    if not names:
-                        raise ValueError("the archive holds no CSV file")
-                    with z.open(names[0]) as f:
-                        for part in pd.read_csv(f, dtype=str, keep_default_na=False, chunksize=20000, encoding="utf-8"):
-                            part = part.reindex(columns=CATALOGUE_COLUMNS).astype(object)
-                            yield part.where(part.notna(), None)
+                for part in pd.read_csv(_opened(content), dtype=str, keep_default_na=False, chunksize=20000, encoding="utf-8"):
+                    part = part.reindex(columns=names).astype(object)
+                    yield part.where(part.notna(), None)
 
-    return found.select("content").mapInPandas(rows, SCHEMA)
+    return found.mapInPandas(rows, StructType([StructField(n, StringType()) for n in names]))
 
 
 def find_export(explicit: str | None = None, folder: str = "data") -> str:
@@ -66,7 +75,7 @@ def find_export(explicit: str | None = None, folder: str = "data") -> str:
     for name in EXPORT_NAMES:
         if name in names:
             return os.path.join(folder, name)
-    found = [n for n in names if n.lower().endswith(READABLE)]
+    found = [n for n in names if n.lower().endswith(READABLE) and not n.startswith(".")]
     if len(found) != 1:
         raise FileNotFoundError(f"{folder}: " + ("no catalogue file" if not found else f"more than one catalogue file: {', '.join(found)}"))
     return os.path.join(folder, found[0])

@@ -61,7 +61,9 @@ def test_recency_is_bounded(spark):
 
 
 def test_spelling_agrees_with_brute_force(spark, index):
-    from quillsearch.functions.text import osa
+    from quillsearch.functions.text import distances
+
+    osa = lambda a, b, most: min(int(distances([a], [b])[0]), most + 1)
 
     words = ["wigdet", "gizom", "plaet", "smal", "anvill", "widget", "xyz", "zzzzzzzz", "standrad"]
     vocabulary = {r.term: r.df for r in index.terms.where("df >= 3").collect()}

@@ -16,8 +16,8 @@ def test_reads_plain_packed_and_zipped(spark, tmp_path):
         z.writestr("__MACOSX/a.csv", "junk")
         z.writestr("deep/a.csv", TEXT)
     for name in ("a.csv", "a.csv.gz", "a.zip"):
-        rows = sorted(tuple(r) for r in read_catalogue(spark, str(tmp_path / name)).select("card_number", "card_title", "card_tags").collect())
-        assert rows == [("007", 'a "quoted", title', "x"), ("8", "two\nlines", "")]
+        rows = sorted(tuple(r) for r in read_catalogue(spark, str(tmp_path / name)).select("card_number", "card_title", "card_tags", "other").collect())
+        assert rows == [("007", 'a "quoted", title', "x", "1"), ("8", "two\nlines", "", "2")]
 
 
 def test_refuses_what_it_cannot_read(spark, tmp_path):
@@ -26,7 +26,11 @@ def test_refuses_what_it_cannot_read(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         find_export(folder=str(tmp_path))
     (tmp_path / "b.csv").write_text("x")
+    (tmp_path / ".hidden.csv").write_text("x")
     assert find_export(folder=str(tmp_path)).endswith("b.csv")
+    for name in ("cards.csv.gz", "cards.csv", "card_database.zip"):  # the last is looked for first
+        (tmp_path / name).write_text("x")
+        assert find_export(folder=str(tmp_path)).endswith(name)
 
 
 def test_query_log(spark, tmp_path):
