@@ -1,15 +1,17 @@
 """Repeated passages by prefix-partitioned suffix trees over words.
 
-The suffixes of the texts are dealt into groups by prefixes, a group's subtree is built in memory, and its internal nodes at a
-depth of at least WINDOW words are the repeats: the leaves below such a node start with the same WINDOW words.
+The suffixes of the texts are dealt into groups by prefixes, a group's subtree is built in memory as its suffixes in order with the
+depth at which neighbours part (the longest common prefix), and its internal nodes at a depth of at least WINDOW words are the
+repeats: the leaves below such a node start with the same WINDOW words.
 
 Which suffixes belong together must be told from the words alone. So in each window of WINDOW words one prefix position is marked:
 the one whose PREFIX words hash lowest. Equal windows mark the same words, hence meet in the group of that prefix. Windows in a
 row that mark one position travel as one stretch of text, and a prefix that only one document has is dropped before any text
-travels: it can't lead to a repeat. Prefixes are as long as they need to be: a group that would outgrow memory is dealt
-again by the whole WINDOW words of its suffixes.
+travels: it can't lead to a repeat. Prefixes are as long as they need to be: the suffixes of a group that would outgrow memory are
+dealt again by twice as many words of their own, and again until a group fits; suffixes that agree in all WINDOW words and are still too
+many are one node, whose smallest doc_id is an aggregate.
 
-Texts are dealt into blocks by a hash of their id, once. Equal stretches of a block travel once, so a passage that a third of
+Texts are dealt into blocks by a hash of the row, once. Equal stretches of a block travel once, so a passage that a third of
 all documents share is as many rows as there are blocks; which words of which document it covers is worked out again in
 the blocks.
 """
@@ -125,36 +127,78 @@ def block_stretches(pdf: pd.DataFrame, repeated: pd.DataFrame, window: int, pref
     return pd.DataFrame([(block, r[0], t, r[1], r[2]) for t, r in found.items()], columns=["block", "key", "stretch", "lo", "hi"])
 
 
-def deep_nodes(rows: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The subtree of all suffixes of some rows down to depth window: of each suffix that is that long, its row and its node at that
-    depth. Nodes are numbered in the order of their words. Depth doubles: a node of 2 k words is a pair of nodes of k."""
+def subtree(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix tree of some rows as arrays: the suffixes in the order of their words, the words that each shares with the one before
+    it, and of each suffix its row and its length. Suffixes are ranked by 1, 2, 4, ... words, a rank of 2 k words from two of k; the same
+    ranks tell how far neighbours agree."""
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    node = np.fromiter(map(Numbers().__getitem__, chain.from_iterable(rows)), np.int64, int(sizes.sum()))
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(node))  # words from here to the end of the row
-    depth = 1
-    while depth < window:
-        step = min(depth, window - depth)
-        depth += step
-        deep = np.flatnonzero(left >= depth)
-        pair = node[deep] * (int(node.max(initial=0)) + 1) + node[deep + step]
-        node = np.full(len(node), -1)
-        node[deep] = np.unique(pair, return_inverse=True)[1]
-    deep = np.flatnonzero(left >= window)
-    return np.repeat(np.arange(len(rows)), sizes)[deep], node[deep]
+    rank = np.fromiter(map(Numbers().__getitem__, chain.from_iterable(rows)), np.int64, int(sizes.sum())) + 1
+    n = len(rank)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
+    ranks, depth = [rank], 1
+    while depth < int(sizes.max(initial=0)):
+        then = np.zeros(n, np.int64)  # a suffix that ends comes first
+        more = np.flatnonzero(left > depth)
+        then[more] = rank[more + depth]
+        names, rank = np.unique(rank * (n + 1) + then, return_inverse=True)
+        rank = rank + 1
+        ranks.append(rank)
+        depth *= 2
+        if len(names) == n:
+            break
+    order = np.argsort(rank, kind="stable")
+    a, b = order[:-1].copy(), order[1:].copy()
+    most, shared = np.minimum(left[a], left[b]), np.zeros(max(n - 1, 0), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        on = np.flatnonzero(shared < most)
+        on = on[ranks[k][a[on]] == ranks[k][b[on]]]
+        shared[on] += 1 << k
+        on = on[shared[on] < most[on]]
+        a[on] += 1 << k
+        b[on] += 1 << k
+    return order, np.r_[0, np.minimum(shared, most)][:n], np.repeat(np.arange(len(rows)), sizes), left
+
+
+def deep_nodes(order: np.ndarray, shared: np.ndarray, left: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The highest nodes of at least window words: the suffixes of that length in order, and where the leaves of each node start."""
+    new = shared < window
+    node = np.cumsum(new) - 1
+    long = left[order] >= window
+    leaves, node = order[long], node[long]
+    return leaves, np.flatnonzero(np.diff(node, prepend=-1))
 
 
 def group_repeats(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     """Of each stretch of a group that needs it: the smallest doc_id below the node of each of its windows."""
     rows = [t.split(b" ") for t in pdf.stretch]
     lo, hi = pdf.lo.to_numpy(np.int64), pdf.hi.to_numpy(np.int64)
-    row, node = deep_nodes(rows, window)
-    least = np.full(int(node.max(initial=-1)) + 1, NO_ID)
-    np.minimum.at(least, node, lo[row])
-    first = least[node]
-    counts = np.bincount(row, minlength=len(rows))
+    order, shared, row, left = subtree(rows)
+    leaves, starts = deep_nodes(order, shared, left, window)
+    least = np.repeat(np.minimum.reduceat(lo[row[leaves]], starts), np.diff(np.r_[starts, len(leaves)])) if len(leaves) else lo[:0]
+    first = np.full(len(order), NO_ID)
+    first[leaves] = least
+    first = first[left >= window]
+    counts = np.bincount(row[left >= window], minlength=len(rows))
     cut = np.split(first, np.cumsum(counts)[:-1])
     use = [k for k, x in enumerate(cut) if (x < hi[k]).any()]
-    return pd.DataFrame({"block": pdf.block.iloc[use].to_numpy(), "mark": pdf.mark.iloc[use].to_numpy(), "name": pdf.name_.iloc[use].to_numpy(), "at": pdf["at"].iloc[use].to_numpy(), "first": [cut[k] for k in use]})
+    return pd.DataFrame({"block": pdf.block.iloc[use].to_numpy(), "mark": pdf.mark.iloc[use].to_numpy(), "name": pdf.name_.iloc[use].to_numpy(), "at": pdf["at"].iloc[use].to_numpy(), "first": pd.Series([cut[k] for k in use], dtype=object)})
+
+
+def maximal_repeats(texts: list[str], window: int = WINDOW) -> list[tuple[str, int]]:
+    """The repeats of some texts that are held in memory, from their tree: the longest run of words that all leaves below a node of at
+    least window words share, and how many there are; a run whose leaves all follow one word is part of a longer repeat and left out."""
+    rows = [t.encode().split() for t in texts]
+    order, shared, row, left = subtree(rows)
+    leaves, starts = deep_nodes(order, shared, left, window)
+    flat, place, out = [w for r in rows for w in r], np.empty(len(order), np.int64), []
+    place[order] = np.arange(len(order))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(leaves)]):
+        if b - a > 1:
+            depth = int(shared[place[leaves[a + 1]] : place[leaves[b - 1]] + 1].min())
+            before = {flat[i - 1] if i and row[i - 1] == row[i] else i for i in leaves[a:b].tolist()}
+            if len(before) > 1 or not isinstance(next(iter(before)), bytes):
+                out.append((b" ".join(flat[leaves[a] : leaves[a] + depth]).decode(), b - a))
+    return out
 
 
 def named(stretch: bytes) -> bytes:
@@ -205,7 +249,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = worker_texts(docs, id_col, text_col)
     n_blocks = block_count(rows, block_bytes=block_bytes)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))  # rows of one id or none spread out
     marked = rows.groupBy("block").applyInPandas(lambda pdf: block_prefixes(pdf, window, prefix), "key long, lo long, hi long, block int")
     key = Window.partitionBy("key")
     repeated = marked.select("block", "key", F.min("lo").over(key).alias("lo"), F.max("hi").over(key).alias("hi")).where("lo < hi").select("block", "key")
@@ -217,20 +261,35 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = found.groupBy("key").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > group_bytes).select("key")
     large = written(large, "long-prefixes")
 
+    lengths = [p for p in (prefix << k for k in range(8)) if p < window]
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(name_=[named(t) for t in pdf.stretch], at=0, mark=pdf.key)[["block", "name_", "at", "stretch", "lo", "hi", "key", "mark"]]
+
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows of large groups, a window each; of the others, whole."""
+        """A row for each window, with hashes of its first words."""
+        digest = lambda w: xxhash.xxh64_intdigest(b" ".join(w)) - (1 << 63)
         for pdf in batches:
-            names = [named(t) for t in pdf.stretch]
-            pdf = pdf.assign(name_=names, at=0, mark=pdf.key)
-            split = pdf[pdf.large]
-            yield pdf[~pdf.large][["block", "name_", "at", "stretch", "lo", "hi", "key", "mark"]]
-            for r in split.itertuples():
-                w = r.stretch.split(b" ")
-                each = [b" ".join(w[i : i + window]) for i in range(len(w) - window + 1)]
-                yield pd.DataFrame({"block": r.block, "name_": r.name_, "at": range(len(each)), "stretch": each, "lo": r.lo, "hi": r.hi, "key": [xxhash.xxh64_intdigest(x) - (1 << 63) for x in each], "mark": r.mark})
-
-    dealt = found.join(large.withColumn("large", F.lit(True)), "key", "left").withColumn("large", F.coalesce("large", F.lit(False))) if not large.isEmpty() else found.withColumn("large", F.lit(False))
-    dealt = dealt.mapInPandas(windows, "block int, name_ binary, at int, stretch binary, lo long, hi long, key long, mark long")
-    firsts = dealt.groupBy(F.pmod("key", F.lit(n_groups)).alias("group")).applyInPandas(lambda pdf: group_repeats(pdf, window), "block int, mark long, name binary, at int, first array<long>")
+            for r in pdf.itertuples():
+                w, name = r.stretch.split(b" "), named(r.stretch)
+                each = [w[i : i + window] for i in range(len(w) - window + 1)]
+                yield pd.DataFrame({"block": r.block, "name_": name, "at": range(len(each)), "stretch": [b" ".join(x) for x in each], "lo": r.lo, "hi": r.hi, "mark": r.key, "starts": [[digest(x[:p]) for p in lengths] for x in each]})
+
+    schema = "block int, name_ binary, at int, stretch binary, lo long, hi long, key long, mark long"
+    firsts_of = lambda df: df.groupBy(F.pmod("key", F.lit(n_groups)).alias("group")).applyInPandas(lambda pdf: group_repeats(pdf, window), "block int, mark long, name binary, at int, first array<long>")
+    if large.isEmpty():
+        firsts = firsts_of(found.mapInPandas(whole, schema))
+    else:
+        dealt = found.join(large, "key", "left_anti").select(*found.columns).mapInPandas(whole, schema)
+        rest = written(found.join(large, "key", "left_semi").select(*found.columns).mapInPandas(windows, schema.replace("key long, ", "") + ", starts array<long>"), "long-windows")
+        for k in range(1, len(lengths)):  # by as many words as it takes
+            keyed = rest.withColumn("key", F.get("starts", k))
+            fits = written(keyed.groupBy("key").agg(F.sum(size).alias("bytes")).where(F.col("bytes") <= group_bytes).select("key"), "fitting-prefixes")
+            dealt = dealt.unionByName(keyed.join(fits, "key", "left_semi").drop("starts"))
+            rest = written(keyed.join(fits, "key", "left_anti").drop("key"), "longer-prefixes")
+        least = rest.groupBy("stretch").agg(F.min("lo").alias("first"))
+        one_node = rest.join(least, "stretch").where("first < hi").select("block", "mark", F.col("name_").alias("name"), "at", F.array("first").alias("first"))
+        firsts = firsts_of(dealt).unionByName(one_node)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string, spans array<struct<start: long, stop: long>>" if with_spans else "")
     return rows.groupBy("block").cogroup(firsts.groupBy("block")).applyInPandas(lambda a, b: block_removed(a, b, window, prefix, with_spans), schema)

@@ -1,9 +1,11 @@
 """Each operator on odd rows, on no rows, and against a plain re-statement of its rule on a small table."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -50,8 +52,7 @@ OPERATORS = {
 def test_odd_rows_and_no_rows(odd, labels, name):
     got = OPERATORS[name](odd, labels).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in TEXTS)
-    if name != "toxicity" and name != "mixing":
-        assert OPERATORS[name](odd.limit(0), labels.limit(0)).count() == 0
+    assert OPERATORS[name](odd.limit(0), labels.limit(0)).count() == 0
 
 
 def test_exact_dedup_even_if_all_digests_clash(spark, odd):
@@ -108,18 +109,30 @@ def test_token_files_round_trip(docs, rows):
         start += len(ids)
 
 
-def test_substrings_against_brute_force(docs, rows):
+@pytest.mark.parametrize("window, prefix, sizes", [(20, 5, {"block_bytes": 60000, "group_bytes": 4000}), (50, 8, {"block_bytes": 100000, "group_bytes": 3000}), (50, 8, {})])
+def test_substrings_against_brute_force(docs, rows, window, prefix, sizes):
     first, cut = {}, [(i, WORD.findall(t)) for i, t in rows]
     for i, w in cut:
-        for k in range(len(w) - 19):
-            first.setdefault(tuple(w[k : k + 20]), i)
-    got = {r.doc_id: r for r in substrings.without_repeats(docs, window=20, prefix=5, block_bytes=60000, group_bytes=4000).collect()}
+        for k in range(len(w) - window + 1):
+            first.setdefault(tuple(w[k : k + window]), i)
+    got = {r.doc_id: r for r in substrings.without_repeats(docs, window=window, prefix=prefix, **sizes).collect()}
     for i, w in cut:
-        gone = {k + j for k in range(len(w) - 19) if first[tuple(w[k : k + 20])] < i for j in range(20)}
+        gone = {k + j for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] < i for j in range(window)}
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_suffix_tree_in_arrays():
+    rng = random.Random(3)
+    rows = [[rng.choice([b"a", b"b"]) for _ in range(rng.randrange(0, 40))] for _ in range(12)] + [[b"a"] * 30] * 2
+    order, shared, row, left = substrings.subtree(rows)
+    flat = [r[k:] for r in rows for k in range(len(r))]
+    assert [flat[i] for i in order] == sorted(flat)
+    common = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    assert shared.tolist() == [0] + [common(flat[i], flat[j]) for i, j in zip(order, order[1:])]
+    assert substrings.maximal_repeats(["x a b c d y", "z a b c d q", "r s"], 3) == [("a b c d", 2)]
+
+
 def test_simhash_against_brute_force(docs):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs, bits=8).collect()}
     fps = {i: int(r.fingerprint, 16) for i, r in got.items()}
@@ -138,25 +151,129 @@ def test_simhash_against_brute_force(docs):
     assert {i: r.component_id for i, r in got.items()} == {i: find(i) for i in fps}
 
 
-def test_ctw_is_a_distribution_and_learns(docs):
-    import math
+def plain_ctw(rows, depth):
+    """The rule, node by node: log10 probability of each text, and of each next byte after a context."""
+    counts, nodes = {}, set()
+    for i, t in rows:
+        s = b"\n" * depth + b" ".join(ctw.spelled(t)) + b"\n"
+        for p in range(depth, len(s)):
+            path = 1
+            for k in range(8):
+                bit = s[p] >> (7 - k) & 1
+                for d in range(depth + 1):
+                    key = (s[p - d : p], path)
+                    nodes.add(key)
+                    if ctw.is_training(i):
+                        counts.setdefault(key, [0, 0])[bit] += 1
+                path = path * 2 + bit
+    kt = lambda z, o: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
+    pe = {k: kt(*counts.get(k, (0, 0))) for k in nodes}
+    pw, below = {}, {}
+    for k in sorted(nodes, key=lambda k: -len(k[0])):
+        own, rest = math.log(0.5) + pe[k], math.log(0.5) + below.get(k, 0.0)
+        pw[k] = pe[k] if len(k[0]) == depth else max(own, rest) + math.log1p(math.exp(-abs(own - rest)))
+        if k[0]:
+            up = (k[0][1:], k[1])
+            below[up] = below.get(up, 0.0) + pw[k]
+
+    def score(t):
+        s, total = b"\n" * depth + b" ".join(ctw.spelled(t)) + b"\n", 0.0
+        for at in range(depth, len(s)):
+            path = 1
+            for k in range(8):
+                bit, p = s[at] >> (7 - k) & 1, None
+                for d in range(depth, -1, -1):
+                    key = (s[at - d : at], path)
+                    c = counts.get(key, (0, 0))
+                    own = (c[bit] + 0.5) / (sum(c) + 1)
+                    w = 1.0 if p is None else math.exp(math.log(0.5) + pe[key] - pw[key])
+                    p = own if p is None else w * own + (1 - w) * p
+                total += math.log10(p)
+                path = path * 2 + bit
+        return total
+
+    return score
+
+
+def test_ctw_against_the_plain_rule_in_all_columns(spark, rows):
+    few = [(i, t[:300]) for i, t in rows[:60]] + [(900, "Ab ab\tab"), (901, ""), (902, None)]
+    got = {r.doc_id: r for r in ctw.scores(spark.createDataFrame(few, "doc_id long, text string"), block_bytes=3000, bucket_bytes=2000).collect()}
+    few = [(i, t or "") for i, t in few]
+    count, ends = Counter(), 0
+    for i, t in few:
+        if zlib.crc32(str(i).encode()) % 10:
+            count.update(ctw.spelled(t))
+            ends += 1
+    n, v, score = sum(count.values()) + ends, len(count) + 1, plain_ctw(few, ctw.DEPTH)
+    each = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    assert len(got) == len(few)
+    for i, t in few:
+        w, r = ctw.spelled(t), got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 10 == 0, len(w) + 1, sum(count[x] > 0 for x in w) + 1, n)
+        assert math.isclose(r.base_score, sum(map(each, [*(count[x] for x in w), ends])), abs_tol=1e-7)
+        assert math.isclose(r.score, score(t), rel_tol=1e-6)
+
+
+def test_ctw_next_bytes_sum_to_one(spark):
+    """Texts that differ in their last byte only: all bytes but white space and A-Z after one context."""
+    import numpy as np
+
+    code = np.sort(ctw.grams([b"abcab" + bytes([c]) for c in range(256)])[5::6])
+    n = np.arange(256) % 7
+    key = np.arange(1, 256) | (ord("a") << 8 | ord("b")) << 8
+    logp = ctw.log_probabilities(code, n, ctw.DEPTH, key, np.full(255, 0.1), np.full(255, 0.8))  # any mixture of distributions is one
+    assert math.isclose((10**logp).sum(), 1.0, rel_tol=1e-9)
+
 
-    got = ctw.scores(docs, block_bytes=200000).collect()
-    assert {r.doc_id for r in got if r.held_out} == {r.doc_id for r in got if zlib.crc32(str(r.doc_id).encode()) % 10 == 0}
-    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
-    held = [r for r in got if r.held_out]
+def test_ctw_learns(docs):
+    held = [r for r in ctw.scores(docs, block_bytes=200000).collect() if r.held_out]
     assert sum(r.score for r in held) / sum(r.n_bytes for r in held) > -3 * math.log10(2)  # under three bits a byte
 
 
-def test_fixity_finds_all_kinds_of_damage(spark):
-    pages = [(i, f"http://x/{i}", f"<p>{i}</p>") for i in range(60)]
+def test_toxicity_of_unseen_spellings(spark):
+    """Labelled rows teach four words; held-out rows have other spellings of them."""
+    rng, plain = random.Random(5), [f"{a}{b}" for a in "bread stone river cloud market garden".split() for b in ("", "s", "ing", "er")]
+    bad, held = "scumbags vermins degenerate worthless".split(), "scumbagz verminz degenerates worthles".split()
+    rows, labels = [], []
+    for i in range(800):
+        w, out, toxic = [rng.choice(plain) for _ in range(rng.randrange(20, 60))], zlib.crc32(str(i).encode()) % 4 == 2, i % 3 == 0
+        if toxic:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(held if out else bad))
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = spark.createDataFrame([*rows, (None, None), (10_000, "")], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    judged = [(r.score, r.doc_id % 3 == 0) for r in got if r.held_out and r.doc_id < 800]
+    assert sum(s >= 0.3 for s, y in judged if y) >= 0.9 * sum(y for _, y in judged)
+    assert sum(s >= 0.3 for s, y in judged if not y) <= 0.1 * sum(not y for _, y in judged)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert len({r.score for r in got if r.doc_id in (None, 10_000)}) == 1
+
+
+def test_fixity_names_what_is_lost_added_and_changed_and_nothing_else(spark):
+    """In the middle, among records of one id and of none."""
+    pages = [(i, f"http://x/{i}", f"<p>{i}</p>") for i in range(60)] + [(None, None, None), (None, "u", "x"), (7, "http://y", "z"), (7, "http://y", "z"), (-5, "n", LONG), (1 << 62, "n", "m")]
     schema = "page_id long, url string, html string"
-    theirs = [(i, u, h.replace("<p>41", "<q>41")) for i, u, h in pages][:58]
-    got = {r.ordinal: r.status for r in fixity.audit(spark.createDataFrame(pages, schema), spark.createDataFrame(theirs, schema), 4).collect()}
-    assert {k: v for k, v in got.items() if v != "ok"} == {41: "corrupt", 58: "missing", 59: "missing"}
-    none = spark.createDataFrame([], schema)
+    theirs = [(i, u, "<q>" if i == 41 else h) for i, u, h in pages if i != 30] + [(100, "e", "f"), (7, "http://y", "z")]
+    theirs.remove((None, None, None))
+    frame = lambda rows: spark.createDataFrame([(*r, 1, "x") for r in rows], schema + ", node int, digest string")
+    got = fixity.audit(frame(pages), frame(theirs)).collect()
+    assert sorted((str(r.page_id), r.status) for r in got if r.status != "ok") == [("100", "extra"), ("30", "missing"), ("41", "corrupt"), ("7", "extra"), ("None", "missing")]
+    assert len(got) == len(pages) + 2 and all((r.digest == r.replica_digest) == (r.status == "ok") for r in got)
+    ours = sorted((r for r in got if r.ordinal is not None), key=lambda r: r.ordinal)
+    assert [r.ordinal for r in ours] == list(range(len(pages))) and all(a.stop_offset == b.start_offset for a, b in zip(ours, ours[1:]))
+    none = frame([])
     assert fixity.audit(none, none).count() == 0
-    assert {r.status for r in fixity.audit(none, spark.createDataFrame([(None, None, None), (None, None, None)], schema)).collect()} == {"extra"}
+    assert [r.status for r in fixity.audit(none, frame([(None, None, None)] * 2)).collect()] == ["extra"] * 2
+
+
+def test_records_can_be_read_back(spark):
+    from pyspark.sql import functions as F
+
+    rec = fixity.record(F.col("i"), F.col("u"), F.col("h"))
+    rows = spark.createDataFrame([(1, "http://x", "<p>\r\n\r\né"), (None, None, None)], "i long, u string, h string").select("h", fixity.block(rec).alias("b"), fixity.header(rec, "Content-Length").alias("n"), fixity.header(rec, "WARC-Record-ID").alias("id")).collect()
+    assert all(r.b == (r.h or "") and int(r.n) == len((r.h or "").encode()) and re.fullmatch("<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", r.id) for r in rows)
 
 
 def changed(w, at, n, tag):
@@ -208,3 +325,22 @@ def test_mixing_rates_are_the_minimum_and_reach_what_can_be_reached(spark):
     alike = spark.createDataFrame([(i, [80.0, 15.0, 5.0]) for i in range(50)], "doc_id long, tokens array<double>")
     outcome = mixing.fitted_rates(alike)[1]  # all documents are as toxic as the whole: no rates make it less so
     assert outcome["settled"] and not outcome["met"][1]
+    rates, outcome = mixing.fitted_rates(expected, most=1.0)
+    r = np.array([x.rate for x in sorted(rates.collect())])
+    goal = np.array(outcome["target"])
+    slope = a @ ((r @ a - goal) / have**2) + mixing.RIDGE * (r - 1) / len(r)
+    inside = (r > 0) & (r < 1)
+    assert r.max() <= 1 and outcome["settled"] and np.all(abs(slope[inside]) < 1e-9) and np.all(slope[r == 0] > -1e-9) and np.all(slope[r == 1] < 1e-9)
+
+
+def test_mixing_stage_obeys_its_rates_and_keeps_clean_rows(spark):
+    rng = random.Random(2)
+    kinds = {0: "garden river cloud stone".split(), 1: "vermin scum filth rot".split(), 2: "zzk qqx vvw kkj".split()}
+    rows = [(i, " ".join(rng.choice(kinds[0] + 2 * kinds[k] if k else kinds[0]) for _ in range(60)), k) for i in range(1200) for k in [1 if i % 20 == 0 else 2 if i % 10 == 5 else 0]]
+    docs = spark.createDataFrame([(i, t, "own") for i, t, _ in rows] + [(None, None, "own"), (None, "garden " * 20, "own")], "doc_id long, text string, rate string")
+    labels = spark.createDataFrame([(i, int(k != 2), int(k == 1)) for i, _, k in rows if i % 2 == 0 or k == 2], "doc_id long, quality int, toxic int")
+    kept = mixing.thinned(docs, labels).collect()
+    assert all(r.rate == "own" for r in kept) and sum(r.doc_id is None for r in kept) == 2
+    left = Counter(rows[r.doc_id][2] for r in kept if r.doc_id is not None)
+    assert left[0] == sum(k == 0 for *_, k in rows) and left[1] <= 20 and left[2] <= 40
+    assert sorted(kept, key=str) == sorted(mixing.thinned(docs, labels).collect(), key=str)
