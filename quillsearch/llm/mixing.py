@@ -35,6 +35,8 @@ SETTLED = 1e-6
 #: A target is met if the total is so near, by its goal; the ridge alone keeps totals a little off.
 MET = 0.05
 RIDGE = 1e-5
+#: The stage, whose rates are at most 1, is content with totals so near their goals, and its ridge keeps its steps few.
+ENOUGH, STAGE_RIDGE = 0.01, 1e-2
 #: The classifier's sample: so many documents of each domain, twice as many clean ones.
 SAMPLE_DOCS = 1000
 
@@ -72,19 +74,22 @@ def way_at(pull: np.ndarray) -> Column:
     return F.lit(1.0) - sum((F.get("tokens", k) * float(x) for k, x in enumerate(pull)), F.lit(0.0))
 
 
-def fitted_rates(expected: DataFrame, target: tuple[float, ...] = TARGET, total: float | None = None, steps: int = STEPS, ridge: float = RIDGE, most: float | None = None) -> tuple[DataFrame, dict]:
+def fitted_rates(expected: DataFrame, target: tuple[float, ...] = TARGET, total: float | None = None, steps: int = STEPS, ridge: float = RIDGE, most: float | None = None, enough: float = 0.0) -> tuple[DataFrame, dict]:
     """expected with the column rate, and how the totals came out: of each domain the tokens before (have), the goal (target), the
     tokens at the rates (got), whether the goal is met within MET of itself (met), and whether the rates are the minimum within
     SETTLED (settled). No rates of a lower objective meet a goal that is missed at settled rates. total: expected tokens of the mix; by
-    default as many as leave the domain that is scarcest against its target whole. most: a bound on rates, 1 where rows can only be left out."""
+    default as many as leave the domain of the largest target whole. most: a bound on rates, 1 where rows can only be left out; a domain
+    that then can't reach its target has all that it can give as its goal. enough: the steps end once all totals are so near their goals, by
+    these; the rates then need not be the minimum."""
     k = len(target)
     first = expected.agg(*[F.sum(F.get("tokens", i)).alias(f"s{i}") for i in range(k)], F.count("*").alias("n")).first()
     have = np.array([first[f"s{i}"] or 0.0 for i in range(k)])
     if not first.n or not have.sum():
         return expected.withColumn("rate", F.lit(1.0)), {"have": have.tolist(), "target": have.tolist(), "got": have.tolist(), "met": [True] * k, "settled": True}
     share = np.array(target) / sum(target)
-    total = total or min(h / s for h, s in zip(have, share) if s > 0 and h > 0)
-    goal = share * total
+    lead = max((k for k in range(k) if have[k] > 0), key=lambda k: share[k])
+    total = total or (have[lead] / share[lead] if share[lead] > 0 else have.sum())
+    goal = share * total if most is None else np.minimum(share * total, most * have)
     some = have > 0
     unit = np.where(some, first.n / np.where(some, have, 1.0), 0.0)  # tokens are told by their domain's mean, all figures are then about 1
     want = np.where(some, goal / np.where(some, have, 1.0), 0.0)
@@ -106,9 +111,10 @@ def fitted_rates(expected: DataFrame, target: tuple[float, ...] = TARGET, total:
     value, slope, curve, got = at(u)
     settled = lambda: bool(np.all(np.abs(slope) <= SETTLED * np.maximum(want, SETTLED)))
     for _ in range(steps):
-        if settled():
+        if settled() or np.all(np.abs(got - want) <= enough * want):
             break
-        way, size = -np.linalg.solve(curve, slope), 1.0
+        near = 0.0 if most is None else 0.1 * float(np.linalg.norm(slope))  # where most rates are at a bound there is little curvature
+        way, size = -np.linalg.solve(curve + near * np.eye(k), slope), 1.0
         while True:
             then = at(u + size * way)
             if then[0] <= value + 1e-4 * size * (slope @ way) + 1e-15 * abs(value) or size < 1e-9:
@@ -120,11 +126,11 @@ def fitted_rates(expected: DataFrame, target: tuple[float, ...] = TARGET, total:
     return expected.withColumn("rate", rate_at(u * unit, most)), {"have": have.tolist(), "target": goal.tolist(), "got": (got * have).tolist(), "met": met.tolist(), "settled": settled()}
 
 
-def mixture(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, most: float | None = None, **options) -> tuple[DataFrame, dict]:
+def mixture(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, most: float | None = None, enough: float = 0.0, ridge: float = RIDGE, **options) -> tuple[DataFrame, dict]:
     """The rows of mixed(), with sha, and how the totals of the domains came out, as of fitted_rates(); what is missed is logged."""
     expected = written(expected_tokens(docs, labels, **options), "expected-tokens")
-    rates, outcome = fitted_rates(expected, target, most=most)
-    if not outcome["settled"]:
+    rates, outcome = fitted_rates(expected, target, most=most, enough=enough, ridge=ridge)
+    if not outcome["settled"] and not all(outcome["met"]):
         log.warning("the rates are not the minimum yet: %s", outcome)
     for name, met, goal, got in zip(DOMAINS, outcome["met"], outcome["target"], outcome["got"]):
         if not met:
@@ -147,7 +153,7 @@ def thinned(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARG
     """docs with all its columns, each row kept with its rate, at most 1, as probability: by a hash of its id and text, so the same rows
     each time. Rows are told apart by id and text, those that agree in both stay or go together. A text without words stays;
     an empty table gives an empty result; columns named like those of mixed() are kept as they are."""
-    rates = mixture(docs, labels, target, 1.0, **options)[0].groupBy(joined_key(F.col("doc_id"), F.col("sha")).alias("__key")).agg(F.min("rate").alias("__rate"))
+    rates = mixture(docs, labels, target, 1.0, ENOUGH, STAGE_RIDGE, **options)[0].groupBy(joined_key(F.col("doc_id"), F.col("sha")).alias("__key")).agg(F.min("rate").alias("__rate"))
     key = joined_key(docs["doc_id"].cast("long"), F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))
     u = F.pmod(F.xxhash64(F.lit("mix"), F.col("__key")), F.lit(1 << 30)) / float(1 << 30)
     placed = docs.withColumn("__key", key).join(rates, "__key")
