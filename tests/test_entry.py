@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["live_filter", "newest_cards", "term_idf", "facet_boost", "tag_phrases", "occasion_lexicon", "prefix_terms", "symspell_deletes", "audit_cap", "audit_status", "audit_strict_and", "baseline_search"]
+CHECKED = ["live_filter", "newest_cards", "term_idf", "facet_boost", "tag_phrases", "occasion_lexicon", "prefix_terms", "symspell_deletes", "audit_cap", "audit_status", "audit_strict_and", "baseline_search", "understand_groups", "ladder_search"]
 
 
 def plain(rows, columns):
