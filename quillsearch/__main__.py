@@ -22,7 +22,7 @@ COMPARED = [
 def told(answer: dict) -> str:
     """A search's answer in lines."""
     rows = [f"{c['title']}  [{c['category']}]  {c['year']}  {c['why']}" for c in answer["new"]["results"]]
-    return "\n".join([*([answer["new"]["message"]] if answer["new"]["message"] else []), *rows, f"{len(rows)} results via {answer['new']['strategy']}"])
+    return "\n".join([*([answer["new"]["message"]] if answer["new"]["message"] else []), *rows, f"{len(rows)} results via {answer['new']['strategy']}" if rows else "no results"])
 
 
 def prompted(service: Service) -> None:
