@@ -177,8 +177,8 @@ def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int
     it holds no other), of those that share it the one whose text's digest is smallest. Rows are told apart by id and text.
 
     Documents are near copies if their sets of shingles of size words have an intersection of similarity times their union or
-    more; see resemblance.py. (Four bits of 64 only reach copies that share nearly all shingles, and an estimate from
-    fingerprints neither meets all pairs at 0.8 nor keeps pairs below it apart.)
+    more. They meet as SimHash fingerprints of 1,280 bits through deletion variants of 64 segments, and each candidate is verified on the sets; see
+    resemblance.py. (Four bits of 64 only reach copies that share nearly all shingles.)
     """
     rows = written(resembling(docs, similarity, size), "resembling")
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")).alias("first"))

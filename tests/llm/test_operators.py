@@ -308,6 +308,28 @@ def test_near_dedup_keeps_one_row_of_each_component_whatever_the_ids(spark):
     assert sorted((str(r.doc_id), r.text[0]) for r in got) == [("5", "c"), ("5", "d"), ("7", "e"), ("8", "g"), ("9", "f"), ("None", "a"), ("None", "b")]
 
 
+def test_near_dedup_meets_all_that_share_a_deletion_variant(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    bases = rng.random((25, 2 * resemblance.SEGMENTS * resemblance.HALF)) < 0.5
+    bits = np.concatenate([bases, *[bases ^ (rng.random(bases.shape) < 0.15) for _ in range(4)], bases[0] ^ (rng.random((150, bases.shape[1])) < 0.03)])
+    bits[::9, : 64 * resemblance.WORDS] = rng.random((len(bits[::9]), 64 * resemblance.WORDS)) < 0.5  # meet, but are no candidates
+    n, limit = len(bits), resemblance.bit_limit(0.8)
+    segments = bits.reshape(n, resemblance.SEGMENTS, -1)
+    near = [((segments[i] != segments).sum(2) <= 1).any(1) & ((bits[i] != bits)[:, : 64 * resemblance.WORDS].sum(1) <= limit) for i in range(n)]
+    want = np.arange(n)
+    for _ in range(n):
+        want = np.array([want[x].min() for x in near])
+    assert 25 < len(set(want.tolist())) < n - 150
+    prints = spark.createDataFrame([(i, np.packbits(x).tobytes()) for i, x in enumerate(bits)], "id long, print binary").repartition(3)
+    for meet in (resemblance.MEET, 60):  # whole groups, and groups cut into pieces
+        edges = resemblance.meetings(prints, range(resemblance.SEGMENTS), 0.8, meet).toPandas()
+        assert resemblance._joined(np.arange(n), edges.a.to_numpy(), edges.b.to_numpy()).tolist() == want.tolist()
+    got = {r.node: r.root for r in resemblance.candidate_groups(prints.withColumnRenamed("id", "node"), 0.8).collect()}
+    assert [got.get(i, i) for i in range(n)] == want.tolist()
+
+
 def test_mixing_rates_are_the_minimum_and_reach_what_can_be_reached(spark):
     import numpy as np
 
