@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, exact_dedup, fixity, mixing, quality, simhash, substrings, token_files, toxicity
+from . import bpe, ctw, decontaminate, exact_dedup, fim, fixity, mixing, quality, simhash, substrings, token_files, toxicity
 from .common import table
 
 
@@ -51,6 +51,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     "op1_ctw_scores": op1_ctw_scores,
     "op2_repeated_passages": op2_repeated_passages,
@@ -62,5 +70,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_merkle_fixity": fixity.query,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_decontaminate": op12_decontaminate,
 }
 ORACLES = {"op9_merkle_fixity": fixity.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
