@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, decontaminate, exact_dedup, fim, fixity, mixing, quality, simhash, substrings, token_files, toxicity
+from . import bpe, collocations, ctw, decontaminate, exact_dedup, fim, fixity, mixing, quality, simhash, substrings, token_files, toxicity
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ctw_scores": op1_ctw_scores,
     "op2_repeated_passages": op2_repeated_passages,
@@ -72,5 +76,6 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_decontaminate": op12_decontaminate,
+    "op13_collocations": op13_collocations,
 }
 ORACLES = {"op9_merkle_fixity": fixity.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
