@@ -3,9 +3,11 @@
 A sketch bounds counts from above: every phrase adds to a cell that its hash names, tasks count their cells in numpy, slices of cells
 are summed where a shuffle brings them together, and what is left is a bit for each cell, whether it reached the least count. Pairs come
 first; longer phrases are counted only where all pairs in them are frequent. Every phrase whose cell is full is a candidate, and
-none that is frequent is missed. Candidates are then counted exactly: they are dealt to loads of bounded size, of each load's
-languages an automaton is compiled with a blank on either side of each phrase, tasks run through the texts and count matches, overlaps
-included, and the sums decide.
+none that is frequent is missed. A share of the texts, by their hash, names its candidates first, so that the tasks over the others need
+to name only what that share doesn't hold, which for a frequent phrase is seldom. Candidates are then counted exactly: they are dealt to loads of bounded size, of each load's
+languages an automaton is compiled with a blank on either side of each phrase, tasks run through what the texts have of stretches of frequent
+pairs (written once, as no candidate lies elsewhere) and count matches, overlaps included, and the sums decide. Hashes of 64 bits tell
+phrases apart where candidates are named.
 
 Memory is bounded at any size: cells up to 2^MAX_BITS (a table of 2^MAX_BITS / 8 bytes is broadcast); larger corpora are sketched in parts,
 a part holding the phrases of one class of hashes, and each part reads the texts again. The number of phrases that reach a fixed count
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -32,8 +35,11 @@ MIN_COUNT, MOST_WORDS, TOP = 30, 4, 2000
 COVERED_PERCENT = 80
 MAX_BITS, SLICE_BITS = 27, 20
 #: Bytes of text for each cell of a sketch; phrases in one load of automata; words whose hashes a worker remembers.
-CELL_BYTES, LOAD_PHRASES, CACHE_WORDS = 16, 200_000, 300_000
-CHUNK = 6_000_000
+CELL_BYTES, LOAD_PHRASES, CACHE_WORDS = 16, 400_000, 150_000
+#: One text in so many names its candidates before the others, which are told up to TOLD of their hashes.
+FIRST_SHARE, TOLD = 8, 1 << 20
+#: Characters of text that a task takes up at a time.
+CHUNK = 3_000_000
 
 PIECE_END, TEXT_START = b"\xff", b"\xfe"  # no bytes of UTF-8 text
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 0xFF if chr(c) in ".,;:!?" or 0x0A <= c <= 0x0D else 0x20 if c == 9 else c for c in range(256))
@@ -77,16 +83,16 @@ class Cutter:
     def __init__(self):
         self.numbers = Numbers()
 
-    def __call__(self, texts: list[str], langs: list[str]) -> Batch:
+    def __call__(self, texts: list[str], langs: list[str], most: int = MOST_WORDS) -> Batch:
         if len(self.numbers) > CACHE_WORDS:
             self.numbers = Numbers()
-        return Batch(self.numbers, self.numbers.take(folded(texts)), langs)
+        return Batch(self.numbers, self.numbers.take(folded(texts)), langs, most)
 
 
 class Batch:
-    """The words of some texts as numbers in one array, and hashes of the phrases that begin at each place."""
+    """The words of some texts as numbers in one array, and hashes of the phrases of up to most words that begin at each place."""
 
-    def __init__(self, numbers: Numbers, words: np.ndarray, langs: list[str]):
+    def __init__(self, numbers: Numbers, words: np.ndarray, langs: list[str], most: int):
         self.numbers, self.words = numbers, words
         self.langs = sorted(set(langs))
         place = {lang: i for i, lang in enumerate(self.langs)}
@@ -96,23 +102,45 @@ class Batch:
         self.real = words > 1
         self.hash = [seeds[self.lang] if len(words) else np.zeros(0, np.uint64)]
         self.fits = [np.ones(len(words), bool)]
-        for n in range(1, MOST_WORDS + 1):
+        for n in range(1, most + 1):
             m = max(len(words) - n + 1, 0)
             h = (self.hash[-1][:m] ^ numbers.hashes[words[n - 1 :]]) * ODD
             self.hash.append(h ^ h >> np.uint64(31))
             self.fits.append(self.fits[-1][:m] & self.real[n - 1 :])
 
-    def word_counts(self) -> pd.DataFrame:
-        key = self.lang[self.real] * len(self.numbers) + self.words[self.real]
-        key, n = np.unique(key, return_counts=True)
+    def sizes(self) -> pd.DataFrame:
+        """Words of each language."""
+        n = np.bincount(self.lang[self.real], minlength=len(self.langs))
+        return found("size", lang=self.langs, n=n.tolist())
+
+    def tally(self, at: np.ndarray, sums: dict[tuple, int]) -> None:
+        """Adds the words at these places to the task's sums by language and word."""
+        key, n = np.unique(self.lang[at] * len(self.numbers) + self.words[at], return_counts=True)
         names = self.numbers.names
-        return found("word", lang=[self.langs[k] for k in (key // len(self.numbers)).tolist()], phrase=[names[k].decode("utf-8", "replace") for k in (key % len(self.numbers)).tolist()], n=n.tolist())
+        for lang, word, more in zip((key // len(self.numbers)).tolist(), (key % len(self.numbers)).tolist(), n.tolist()):
+            named = self.langs[lang], names[word]
+            sums[named] = sums.get(named, 0) + more
 
     def phrases(self, at: np.ndarray, n: int) -> pd.DataFrame:
-        """The phrases of n words at these places."""
+        """The phrases of n words at these places, with their hashes in the column n."""
         names = self.numbers.names
         cut = [b" ".join([names[k] for k in row]).decode("utf-8", "replace") for row in self.words[at[:, None] + np.arange(n)].tolist()]
-        return found("candidate", lang=[self.langs[k] for k in self.lang[at].tolist()], phrase=cut, n=[n] * len(cut))
+        return found("candidate", lang=[self.langs[k] for k in self.lang[at].tolist()], phrase=cut, n=self.hash[n][at].view(np.int64).tolist())
+
+
+    def stretches(self, pair: np.ndarray) -> pd.DataFrame:
+        """For each language, the runs of words that pairs hold together (pair: the places where one begins), as guarded text."""
+        after = np.zeros(len(self.words), bool)
+        after[pair] = True
+        kept = after.copy()
+        kept[1:] |= after[:-1]
+        names = [b"\n", *self.numbers.names[1:]]  # a line feed in place of the end of a piece
+        texts = []
+        for i in range(len(self.langs)):
+            at = np.flatnonzero(kept & (self.lang == i))
+            ends = np.flatnonzero(~after[at]) + 1
+            texts.append((b"\n " + b" ".join([names[k] for k in np.insert(self.words[at], ends, 0).tolist()]) + b" ").decode("utf-8", "replace"))
+        return found("text", lang=self.langs, phrase=texts)
 
 
 class Sketch:
@@ -177,54 +205,79 @@ def paired(b: Batch, sketch: Sketch, full: np.ndarray) -> list[np.ndarray]:
     return [np.flatnonzero(x) for x in out]
 
 
-def distinct_phrases(b: Batch, at: np.ndarray, n: int, seen: dict[int, np.ndarray]) -> pd.DataFrame:
-    """Those that the task hasn't named yet."""
+def distinct_phrases(b: Batch, at: np.ndarray, n: int, seen: dict[int, np.ndarray], told: np.ndarray) -> pd.DataFrame:
+    """Those that neither the task has named yet nor told (sorted hashes) holds."""
     h, first = np.unique(b.hash[n][at], return_index=True)
-    new = ~np.isin(h, seen[n], assume_unique=True) if n in seen else np.ones(len(h), bool)
-    seen[n] = np.concatenate([seen[n], h[new]]) if n in seen else h
-    return b.phrases(at[first[new]], n)
+    old = np.isin(h, seen[n], assume_unique=True) if n in seen else np.zeros(len(h), bool)
+    if len(told):
+        old |= told[np.minimum(np.searchsorted(told, h), len(told) - 1)] == h
+    seen[n] = np.concatenate([seen.get(n, h[:0]), h[~old]])
+    return b.phrases(at[first[~old]], n)
+
+
+@dataclass
+class Part:
+    """phrases (lang, phrase): all frequent ones of the part and few others; words (lang, word, n): its words that are frequent and some others, a row
+    for each task that met them; of the first part also sizes (lang, n): numbers of words, and stretches (lang, text)."""
 
+    phrases: DataFrame
+    words: DataFrame
+    sizes: DataFrame
+    stretches: DataFrame
 
-def candidate_phrases(texts: DataFrame, min_count: int, bits: int, part: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, words) of all frequent phrases of the part and few others, and (lang, word, n). texts: (lang, text)."""
+
+def candidate_phrases(texts: DataFrame, min_count: int, bits: int, part: int, parts: int) -> Part:
+    """texts: (lang, text)."""
     sketch = Sketch(bits, min_count, part, parts)
     context = texts.sparkSession.sparkContext
 
-    def over(step):
+    def over(step, of: DataFrame = texts, most: int = MOST_WORDS):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cut, seen = Cutter(), {}
+            cut, seen, sums = Cutter(), {}, {}
             for pdf in batches:
                 for s in chunks(pdf.text, CHUNK):
-                    b = cut(pdf.text.iloc[s].tolist(), pdf.lang.iloc[s].tolist())
-                    yield from step(b, seen)
+                    b = cut(pdf.text.iloc[s].tolist(), pdf.lang.iloc[s].tolist(), most)
+                    yield from step(b, seen, sums)
                     give_back()
+            yield found("word", lang=[lang for lang, _ in sums], phrase=[word.decode("utf-8", "replace") for _, word in sums], n=list(sums.values()))
 
-        return texts.mapInPandas(run, FOUND)
+        return of.mapInPandas(run, FOUND)
 
-    def count_pairs(b: Batch, seen: dict) -> Iterator[pd.DataFrame]:
+    def count_pairs(b: Batch, seen: dict, sums: dict) -> Iterator[pd.DataFrame]:
         if part == 0:
-            yield b.word_counts()
-        yield sketch.counted([b.hash[2][b.fits[2]]])
+            yield b.sizes()
+        yield sketch.counted([b.hash[n][b.fits[n]] for n in (1, 2)])
 
-    first = written(over(count_pairs), "pair-cells")
+    first = written(over(count_pairs, most=2), "pair-cells")
     pairs = context.broadcast(sketch.full(first))
 
-    def count_longer(b: Batch, seen: dict) -> Iterator[pd.DataFrame]:
-        places = paired(b, sketch, pairs.value)
-        mine = sketch.mine(b.hash[2][places[0]])
-        yield distinct_phrases(b, places[0][mine], 2, seen)
-        yield sketch.counted([b.hash[n][at] for n, at in enumerate(places[1:], 3)])
+    def count_longer(b: Batch, seen: dict, sums: dict) -> Iterator[pd.DataFrame]:
+        words = np.flatnonzero(b.real)
+        b.tally(words[sketch.frequent(b.hash[1][words], pairs.value) & sketch.mine(b.hash[1][words])], sums)
+        yield sketch.counted([b.hash[n][at] for n, at in enumerate(paired(b, sketch, pairs.value)[1:], 3)])
 
     second = written(over(count_longer), "phrase-cells")
     longer = context.broadcast(sketch.full(second))
 
-    def name_longer(b: Batch, seen: dict) -> Iterator[pd.DataFrame]:
-        for n, at in enumerate(paired(b, sketch, pairs.value)[1:], 3):
-            h = b.hash[n][at]
-            yield distinct_phrases(b, at[sketch.frequent(h, longer.value) & sketch.mine(h)], n, seen)
+    def naming(told):
+        def name(b: Batch, seen: dict, sums: dict) -> Iterator[pd.DataFrame]:
+            places = paired(b, sketch, pairs.value)
+            if part == 0:
+                yield b.stretches(places[0])
+            for n, at in enumerate(places, 2):
+                h = b.hash[n][at]
+                mine = sketch.mine(h) if n == 2 else sketch.mine(h) & sketch.frequent(h, longer.value)
+                yield distinct_phrases(b, at[mine], n, seen, told.value)
+
+        return name
 
-    named = second.where("kind = 'candidate'").unionByName(over(name_longer))
-    return named.select("lang", "phrase", F.col("n").alias("words")).distinct(), first.where("kind = 'word'").select("lang", F.col("phrase").alias("word"), "n")
+    early = F.pmod(F.xxhash64("text"), F.lit(FIRST_SHARE)) == 0
+    head = written(over(naming(context.broadcast(np.zeros(0, np.uint64))), texts.where(early)), "first-candidates")
+    told = head.where("kind = 'candidate'").select("n").distinct().limit(TOLD).toArrow()["n"].to_numpy().view(np.uint64)  # what isn't told is only named again
+    rest = written(over(naming(context.broadcast(np.sort(told))), texts.where(~early)), "more-candidates")
+    named = head.unionByName(rest).select("kind", "lang", "phrase")
+    of = lambda rows, kind: rows.where(F.col("kind") == kind)
+    return Part(of(named, "candidate").select("lang", "phrase").distinct(), of(second, "word").select("lang", F.col("phrase").alias("word"), "n"), of(first, "size").select("lang", "n"), of(named, "text").select("lang", F.col("phrase").alias("text")))
 
 
 def loads(candidates: DataFrame, size: int) -> DataFrame:
@@ -262,49 +315,45 @@ def automata(key: str, phrases) -> dict:
     return _automata[key]
 
 
-def guarded(texts: list[str]) -> str:
-    """Words with one blank between, a line feed as a word of its own between pieces."""
-    return (b" " + b" ".join(folded(texts)) + b" ").replace(PIECE_END, b"\n").replace(TEXT_START, b"\n").decode("utf-8", "replace")
-
-
-def scanned(texts: DataFrame, load: DataFrame, key: str) -> DataFrame:
+def scanned(stretches: DataFrame, load: DataFrame, key: str) -> DataFrame:
     """(lang, phrase, n): occurrences of a load's phrases, a row for each task that has any."""
+    rows = load.toArrow()  # LOAD_PHRASES rows
     by_lang: dict[str, list[str]] = {}
-    for r in load.orderBy("lang", "phrase").collect():  # LOAD_PHRASES rows
-        by_lang.setdefault(r.lang, []).append(r.phrase)
-    sent = texts.sparkSession.sparkContext.broadcast(by_lang)
+    for lang, phrase in zip(rows["lang"].to_pylist(), rows["phrase"].to_pylist()):
+        by_lang.setdefault(lang, []).append(phrase)
+    sent = stretches.sparkSession.sparkContext.broadcast(by_lang)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made, sums = automata(key, sent), {}
         for pdf in batches:
-            for lang, of in pdf.groupby("lang"):
+            for lang, text in zip(pdf.lang, pdf.text):
                 a, phrases = made[lang]
                 total = sums.setdefault(lang, np.zeros(len(phrases), np.int64))
-                for s in chunks(of.text, CHUNK // 4):
-                    met = np.fromiter((i for _, i in a.iter(guarded(of.text.iloc[s].tolist()))), np.int64)
-                    total += np.bincount(met, minlength=len(phrases))
+                total += np.bincount(np.fromiter((i for _, i in a.iter(text)), np.int64), minlength=len(phrases))
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": pd.Series([lang] * len(at), dtype=object), "phrase": pd.Series([made[lang][1][i] for i in at.tolist()], dtype=object), "n": total[at]})
 
-    return texts.where(F.col("lang").isin(list(by_lang))).mapInPandas(run, "lang string, phrase string, n long")
+    return stretches.where(F.col("lang").isin(list(by_lang))).mapInPandas(run, "lang string, phrase string, n long")
 
 
-def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, text_col: str = "text", lang_col: str = "lang", max_bits: int = MAX_BITS, cell_bytes: int = CELL_BYTES, load_phrases: int = LOAD_PHRASES) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, a) of all phrases of 2 to 4 words with a >= min_count, and (lang, word, n) of all words."""
+def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, text_col: str = "text", lang_col: str = "lang", max_bits: int = MAX_BITS, cell_bytes: int = CELL_BYTES, load_phrases: int = LOAD_PHRASES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lang, phrase, a) of all phrases of 2 to 4 words with a >= min_count, (lang, word, n) of all such words, and (lang, n) of all words."""
     texts = shipped(docs).select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     bits = min(max_bits, max(8, math.ceil(math.log2(max(total, 1) / cell_bytes + 1))))
     parts = max(1, -(-total // (cell_bytes << max_bits)))
     made = [candidate_phrases(texts, min_count, bits, p, parts) for p in range(parts)]
-    words = written(made[0][1].groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
-    candidates = written(reduce(DataFrame.unionByName, [c for c, _ in made]).distinct(), "candidates")
+    together = lambda name: reduce(DataFrame.unionByName, [getattr(m, name) for m in made])
+    words = together("words").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    sizes = made[0].sizes.groupBy("lang").agg(F.sum("n").alias("n"))
+    candidates = written(together("phrases"), "candidates")
     dealt = written(loads(candidates, load_phrases).repartition("load"), "loads")
     numbers = sorted(r.load for r in dealt.select("load").distinct().collect())
     own = texts.sparkSession.sparkContext.applicationId
-    counts = [scanned(texts, dealt.where(F.col("load") == n).select("lang", "phrase"), f"{own}-{id(dealt)}-{n}") for n in numbers]
+    counts = [scanned(made[0].stretches, dealt.where(F.col("load") == n).select("lang", "phrase"), f"{own}-{id(dealt)}-{n}") for n in numbers]
     met = reduce(DataFrame.unionByName, counts) if counts else candidates.select("lang", "phrase", F.lit(0).cast("long").alias("n"))
-    return written(met.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count), "phrase-counts"), words
+    return written(met.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count), "phrase-counts"), words, sizes
 
 
 def exact(c: str | Column) -> Column:
@@ -320,12 +369,12 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, co
     its fraction. Phrases inside a longer candidate with at least covered_percent of their count are left out; equal scores go by a, then by phrase. Null
     and empty texts have no words; rows count as often as they occur; an empty table gives an empty result; other columns are ignored.
     """
-    counts, words = phrase_counts(docs, min_count, **counting)
+    counts, words, sizes = phrase_counts(docs, min_count, **counting)
     ws = F.split("phrase", " ", -1)
     join = lambda a, start, length: F.array_join(F.slice(a, start, length), " ")
     cut = counts.withColumn("ws", ws).select("lang", "phrase", "a", "ws", F.explode(F.sequence(F.lit(1), F.size("ws") - 1)).alias("k"))
     halves = cut.select("lang", "phrase", "a", "k", join(F.col("ws"), 1, F.col("k")).alias("left"), join(F.col("ws"), F.col("k") + 1, F.size("ws")).alias("right"))
-    parts = counts.select("lang", "phrase", "a").unionByName(words.where(F.col("n") >= min_count).select("lang", F.col("word").alias("phrase"), F.col("n").alias("a")))
+    parts = counts.select("lang", "phrase", "a").unionByName(words.select("lang", F.col("word").alias("phrase"), F.col("n").alias("a")))
     of = lambda side, count: parts.select("lang", F.col("phrase").alias(side), F.col("a").alias(count))
     both = halves.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"])
     score = F.expr("cast(2000000 as decimal(10,0)) * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
@@ -336,5 +385,4 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, co
     free = scored.join(around, ["lang", "phrase"], "left").where(F.col("most").isNull() | (100 * exact("most") < covered_percent * exact("a")))
     order = Window.partitionBy("lang").orderBy(F.desc("x.score"), F.desc("a"), "phrase")
     first = free.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     return first.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("x.l").alias("l"), F.col("x.r").alias("r"), "n", F.col("x.score").alias("score"))

@@ -89,7 +89,8 @@ def test_counts_that_pass_64_bits(spark, monkeypatch):
     big = 1 << 61
     counts = spark.createDataFrame([("en", "a b", big), ("en", "a b c", big // 10 * 8), ("en", "b c", big - 1)], "lang string, phrase string, a long")
     words = spark.createDataFrame([("en", "a", big + 5), ("en", "b", big + 7), ("en", "c", big + 9)], "lang string, word string, n long")
-    monkeypatch.setattr(C, "phrase_counts", lambda *_, **__: (counts, words))
+    sizes = spark.createDataFrame([("en", big)], "lang string, n long")
+    monkeypatch.setattr(C, "phrase_counts", lambda *_, **__: (counts, words, sizes))
     got = {r.phrase: r.score for r in C.collocations(None).collect()}
     score = lambda a, left, right: 2000000 * a // (left + right)
     assert got == {"a b": score(big, big + 5, big + 7), "b c": score(big - 1, big + 7, big + 9), "a b c": min(score(big // 10 * 8, big + 5, big - 1), score(big // 10 * 8, big, big + 9))} or 100 * (big // 10 * 8) >= 80 * (big - 1)
