@@ -1,17 +1,21 @@
 """Ranked search with a relaxation ladder, for a whole table of queries at once.
 
 A query's rungs go from all its terms and facets down to any of its words. Instead of running one rung after the other, each
-candidate document is given how many leading terms and facets it satisfies, which tells all rungs that it qualifies for; the first
-of them places it. Relevance is put into tiers by the best score of all candidates of a rung, as if each rung were run whole.
+set of documents that a rung asks for is ANDed and ORed from bitmaps, whose counts tell which rung is the last that is needed; a document is placed by
+the first of its rungs. Relevance is put into tiers by the best score of all candidates of a rung, as if each rung were run whole: slabs of
+documents with the best bounds are scored first, and those whose bound can change neither the tiers nor the results are never read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import text as T
+from ..plans.bitmaps import common, documents, slabs, united
 from ..plans.index import Index
 from ..scratch import written
 from .understand import Understood, understand
@@ -75,22 +79,85 @@ def rungs(sizes: DataFrame) -> DataFrame:
     return sizes.select("query_id", F.posexplode(ladder).alias("rung", "s")).select("query_id", "rung", "s.*")
 
 
-def leading(flags: str, count: Column) -> Column:
-    """How many of the bits 0, 1, ... of flags are set before the first that isn't, count at most."""
-    return F.least(count, F.call_function("bit_count", F.expr(f"{flags} & ~({flags} + 1)")).cast("int"))
-
-
-def candidates(index: Index, u: Understood, ts: DataFrame, ks: DataFrame) -> DataFrame:
-    """(query_id, doc, text, lead_t, lead_k): documents with any word or facet of the query."""
-    text = term_weights(index, u).join(index.postings, "term").join(index.terms.select("term", "idf"), "term").groupBy("query_id", "doc").agg(F.sum(F.col("idf") * F.col("weight") * F.col("multiplier")).alias("text"))
-    n_t = ts.groupBy("query_id").agg(F.count("*").alias("n_t"))
-    n_k = ks.groupBy("query_id").agg(F.count("*").alias("n_k"), F.coalesce(F.bit_or(F.when(F.col("n") == 0, F.expr("shiftleft(1L, k)"))), F.lit(0)).alias("inert"))
-    t_bits = ts.join(u.groups, "term").join(index.postings.select(F.col("term").alias("member"), "doc"), "member").groupBy("query_id", "doc").agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("t_bits"))
-    k_bits = ks.where("n > 0").join(index.facets, ["kind", "value"]).groupBy("query_id", "doc").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("k_bits"))
-    all_docs = text.join(t_bits, ["query_id", "doc"], "full_outer").join(k_bits, ["query_id", "doc"], "full_outer")
-    with_counts = all_docs.join(n_t, "query_id", "left").join(n_k, "query_id", "left").na.fill(0, ["t_bits", "k_bits", "n_t", "n_k", "inert"]).na.fill(0.0, ["text"])
-    with_bits = with_counts.withColumn("k_all", F.col("k_bits").bitwiseOR(F.col("inert")))
-    return with_bits.select("query_id", "doc", "text", leading("t_bits", F.col("n_t").cast("int")).alias("lead_t"), leading("k_all", F.col("n_k").cast("int")).alias("lead_k"))
+@dataclass
+class Rungs:
+    """slabs (query_id, rung, slab, n, bits, facets, most): the documents of each rung that is needed, by slab, and a bound of their scores;
+    weights (query_id, term, worth): what a unit of a term's weight adds to a document's score."""
+
+    slabs: DataFrame
+    weights: DataFrame
+
+
+def rung_sets(index: Index, u: Understood, ts: DataFrame, ks: DataFrame, ladder: DataFrame, limit: int) -> DataFrame:
+    """(query_id, rung, block, bits): the documents that each rung of a query asks for, up to the first rung that has limit of them alone."""
+    typed = u.terms.select("query_id", "term").distinct()
+    grown = typed.join(u.groups, "term").select("query_id", "term", F.col("member")).join(index.term_sets.withColumnRenamed("term", "member"), "member")
+    of_term = united(grown, "query_id", "term")
+    of_facet = united(ks.where("n > 0").join(index.facet_sets.drop("n"), ["kind", "value"]), "query_id", "k")
+    steps = ladder.withColumn("any", (F.col("need_t") == 0) & ~F.col("active"))
+    real = ks.where("n > 0").select("query_id", "k")
+    with_k = steps.join(real, "query_id", "left").groupBy("query_id", "rung", "need_t", "need_k", "any").agg(F.count(F.when(F.col("k") < F.col("need_k"), 1)).alias("of_k"))
+    needed = with_k.withColumn("needed", F.when(F.col("any"), 1).otherwise(F.col("need_t") + F.col("of_k")))
+    keys = ["query_id", "rung", "needed", "block", "bits"]
+    terms = needed.join(of_term.join(ts, ["query_id", "term"]), "query_id").where("t < need_t").select(*keys)
+    facets = needed.join(of_facet, "query_id").where("k < need_k").select(*keys)
+    anything = needed.where("any").join(of_term.groupBy("query_id", "block").agg(F.bitmap_or_agg("bits").alias("bits")), "query_id").select(*keys)
+    met = written(common(terms.unionByName(facets).unionByName(anything), "needed", "query_id", "rung"), "rung-sets")
+    sizes = met.groupBy("query_id", "rung").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    enough = sizes.where(F.col("n") >= limit).groupBy("query_id").agg(F.min("rung").alias("last"))
+    return met.join(enough, "query_id", "left").where(F.col("last").isNull() | (F.col("rung") <= F.col("last"))).drop("last")
+
+
+def bounded(index: Index, u: Understood, found: DataFrame, ladder: DataFrame, boost: float) -> Rungs:
+    """The slabs of rung_sets() with the best score that a document in them can have."""
+    weights = term_weights(index, u).join(index.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("idf") * F.col("multiplier")).alias("worth"))
+    text = weights.join(index.bounds, "term").groupBy("query_id", "slab").agg(F.sum(F.col("worth") * F.col("most")).alias("text"))
+    cut = slabs(found, index.slab_bits).join(ladder.select("query_id", "rung", "facets"), ["query_id", "rung"]).join(text, ["query_id", "slab"], "left").join(index.slab_years, "slab")
+    most = (F.coalesce("text", F.lit(0.0)) + F.col("facets")) * recency(F.col("newest"), index.newest, boost) * (1 + 1e-9)
+    return Rungs(written(cut.select("query_id", "rung", "slab", "n", "bits", "facets", most.alias("most")), "rung-slabs"), weights)
+
+
+def scored(index: Index, r: Rungs, chosen: DataFrame, boost: float) -> DataFrame:
+    """(query_id, rung, doc, value, first, number, title, year): all documents of the chosen slabs (query_id, slab), and the rung that places each."""
+    mine = documents(r.slabs.drop("n", "most").join(chosen, ["query_id", "slab"]), index.slab_bits)
+    lists = index.postings.select("term", "doc", "weight", F.shiftright("doc", index.slab_bits).alias("slab"))
+    text = chosen.join(r.weights, "query_id").join(lists, ["term", "slab"]).groupBy("query_id", "doc").agg(F.sum(F.col("worth") * F.col("weight")).alias("text"))
+    met = mine.join(text, ["query_id", "doc"], "left").join(index.docs.select("doc", "year", "title", "number"), "doc")
+    met = met.withColumn("value", (F.coalesce("text", F.lit(0.0)) + F.col("facets")) * recency(F.col("year"), index.newest, boost))
+    return met.withColumn("first", F.min("rung").over(Window.partitionBy("query_id", "doc"))).drop("text", "facets")
+
+
+def promising(r: Rungs, limit: int) -> DataFrame:
+    """(query_id, slab): for each rung the limit slabs of the best bounds."""
+    best = Window.partitionBy("query_id", "rung").orderBy(F.desc("most"), "slab")
+    return r.slabs.withColumn("i", F.row_number().over(best)).where(F.col("i") <= limit).select("query_id", "slab").distinct()
+
+
+def unsettled(r: Rungs, seen: DataFrame, done: DataFrame, limit: int) -> DataFrame:
+    """(query_id, slab): slabs that the first pass left out (done: those it took, seen: their documents) and that may still change the results.
+
+    A slab can't if, for each rung that it has documents of, its bound is below the best value seen, so that the tiers stand, and in a tier
+    below that of the limit-th document that this rung places.
+    """
+    tops = seen.groupBy("query_id", "rung").agg(F.max("value").alias("top"))
+    placed = Window.partitionBy("query_id", "rung").orderBy(F.desc("value"))
+    last = seen.where("rung = first").withColumn("i", F.row_number().over(placed)).where(F.col("i") == limit).select("query_id", "rung", F.col("value").alias("least"))
+    ceilings = r.slabs.groupBy("query_id", "rung").agg(F.max("most").alias("ceiling"))
+    tier = lambda a, b: F.floor(F.round(10 * F.col(a) / F.col(b), 9))
+    out = r.slabs.join(done, ["query_id", "slab"], "left_anti").join(tops, ["query_id", "rung"], "left").join(last, ["query_id", "rung"], "left").join(ceilings, ["query_id", "rung"])
+    settled = (F.col("most") < F.col("top")) & (tier("most", "top") < tier("least", "ceiling"))
+    return out.where(~F.coalesce(settled, F.lit(False))).select("query_id", "slab").distinct()
+
+
+def candidates(index: Index, u: Understood, ts: DataFrame, ks: DataFrame, ladder: DataFrame, limit: int, boost: float) -> DataFrame:
+    """scored() documents, enough of them that the first limit results of each query and the best value of each rung are among them."""
+    r = bounded(index, u, rung_sets(index, u, ts, ks, ladder, limit), ladder, boost)
+    chosen = written(promising(r, limit), "first-slabs")
+    seen = written(scored(index, r, chosen, boost), "seen")
+    more = unsettled(r, seen, chosen, limit)
+    if more.isEmpty():
+        return seen
+    return seen.unionByName(scored(index, r, written(more, "more-slabs"), boost))
 
 
 def search(index: Index, queries: DataFrame, limit: int = L.MAX_RESULTS, popularity: DataFrame | None = None, boost: float = L.RECENCY_BOOST) -> DataFrame:
@@ -105,18 +172,14 @@ def search(index: Index, queries: DataFrame, limit: int = L.MAX_RESULTS, popular
     rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
     u = understand(index, rest)
     ts, ks = written(ordered_terms(index, u), "text-terms"), written(ordered_facets(index, u), "ranked-facets")
-    facts = candidates(index, u, ts, ks)
     sums = ks.select("query_id", (F.col("k") + 1).alias("need_k"), F.sum("boost").over(Window.partitionBy("query_id").orderBy("k")).alias("facets"), F.max(F.col("n") > 0).over(Window.partitionBy("query_id").orderBy("k")).alias("active"))
     n_terms = u.terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     sizes = n_terms.join(ts.groupBy("query_id").agg(F.count("*").alias("n_t")), "query_id", "left").join(ks.groupBy("query_id").agg(F.count("*").alias("n_k")), "query_id", "left").na.fill(0)
     ladder = rungs(sizes).join(sums, ["query_id", "need_k"], "left").select("query_id", "rung", "strategy", "need_t", "need_k", F.coalesce("facets", F.lit(0.0)).alias("facets"), F.coalesce("active", F.lit(False)).alias("active"))
     ladder = written(ladder, "ladder")
-    met = facts.join(ladder, "query_id").where((F.col("lead_t") >= F.col("need_t")) & (F.col("lead_k") >= F.col("need_k")))
-    # without a term or a facet that any card has, whatever has a word of the query is a candidate
-    met = met.where((F.col("need_t") > 0) | F.col("active") | (F.col("text") > 0)).withColumn("score", F.col("text") + F.col("facets")).where("score > 0")
-    years = index.docs.select("doc", "year", "title", "number")
-    met = met.join(years, "doc").withColumn("value", F.col("score") * recency(F.col("year"), index.newest, boost))
-    met = met.withColumn("top", F.max("value").over(Window.partitionBy("query_id", "rung"))).withColumn("first", F.min("rung").over(Window.partitionBy("query_id", "doc"))).where("rung = first")
+    met = candidates(index, u, ts, ks, ladder, limit, boost)
+    tops = met.groupBy("query_id", "rung").agg(F.max("value").alias("top"))
+    met = met.where("rung = first").join(tops, ["query_id", "rung"]).join(ladder.select("query_id", "rung", "strategy", "need_k"), ["query_id", "rung"])
     met = met.withColumn("tier", F.floor(F.round(10 * F.col("value") / F.col("top"), 9)))
     if popularity is not None:
         met = met.join(popularity.select(F.col("number"), F.col("score").alias("popular")), "number", "left").withColumn("tiebreak", F.coalesce("popular", F.lit(0)).cast("double"))

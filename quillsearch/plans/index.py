@@ -12,6 +12,7 @@ from .. import lexicons as L
 from ..functions import text as T
 from ..scratch import written
 from ..shipping import shipped
+from .bitmaps import common, sets, united
 
 
 def rows_frame(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -48,8 +49,11 @@ def held(build):
 
 @dataclass
 class Index:
+    """slab_bits: scores are bounded for 2^slab_bits documents at a time."""
+
     cards: DataFrame
     lexicons: L.Lexicons
+    slab_bits: int = 10
 
     def _few(self, rows: list[tuple], schema: str) -> DataFrame:
         return rows_frame(self.cards, rows, schema)
@@ -97,6 +101,33 @@ class Index:
         df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         return df.withColumn("idf", F.log(1 + (F.lit(self.total) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
+    @held
+    def term_sets(self) -> DataFrame:
+        """(term, block, n, bits, few): the documents of each term as bitmaps or short lists."""
+        return sets(self.postings.select("term", "doc"), "term")
+
+    @held
+    def bounds(self) -> DataFrame:
+        """(term, slab, most): the largest weight of a term in each slab."""
+        return self.postings.groupBy("term", F.shiftright("doc", self.slab_bits).alias("slab")).agg(F.max("weight").alias("most"))
+
+    @held
+    def slab_years(self) -> DataFrame:
+        """(slab, newest): the latest year in each slab, 0 if nothing in it is dated."""
+        return self.docs.groupBy(F.shiftright("doc", self.slab_bits).alias("slab")).agg(F.max("year").alias("newest"))
+
+    @held
+    def facet_sets(self) -> DataFrame:
+        """(kind, value, block, n, bits, few)."""
+        return sets(self.facets, "kind", "value")
+
+    def pair_sizes(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) of terms with n, how many documents hold both: bits of both terms are ANDed block by block."""
+        each = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("term"), F.when(F.col("a") == F.col("b"), 1).otherwise(2).alias("needed"))
+        rows = each.join(self.term_sets, "term")
+        both = common(united(rows, "a", "b", "term", "needed"), "needed", "a", "b")
+        return pairs.join(both.groupBy("a", "b").agg(F.sum(F.bitmap_count("bits")).alias("n")), ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
+
     @cached_property
     def words(self) -> DataFrame:
         """(kind, value, word, at) of the facet words; as many as the lexicons hold."""
