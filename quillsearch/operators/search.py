@@ -1,8 +1,8 @@
 """Ranked search with a relaxation ladder, for a whole table of queries at once.
 
-A query's rungs go from all its terms and facets down to any of its words. Instead of running one rung after the other, each
-set of documents that a rung asks for is ANDed and ORed from bitmaps, whose counts tell which rung is the last that is needed; a document is placed by
-the first of its rungs. Relevance is put into tiers by the best score of all candidates of a rung, as if each rung were run whole: slabs of
+A query's rungs go from all its terms and facets down to any of its words. Instead of running one rung after the other, the
+documents that each asks for are ANDed and ORed from bitmaps, whose counts tell which rung is the last that is needed; a document is placed
+by the first of its rungs. Relevance is put into tiers by the best score of all candidates of a rung, as if each rung were run whole: slabs of
 documents with the best bounds are scored first, and those whose bound can change neither the tiers nor the results are never read.
 """
 

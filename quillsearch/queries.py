@@ -15,6 +15,7 @@ from .operators.understand import bases, understand
 from .operators.understand import nearest_occasion as nearest
 from .plans.catalogues import CATALOG_DOCS, CATALOG_PARTS, docs_catalogue, parts_catalogue, parts_log
 from .plans.index import Index, build_index, live
+from .shipping import shipped
 from .search_sql import occasion_words, searched, understood
 from .sources.catalogue import card_fields, payload
 
@@ -80,6 +81,13 @@ def postings(s, d):
     return docs_index(s, d).postings.select("term", "doc", F.round("weight", 9).alias("weight"))
 
 
+def term_pair_and(s, d):
+    ix = docs_index(s, d)
+    words = shipped(ix.cards).select(T.tokenise(F.col("card_title")).alias("w"))
+    pairs = words.where(F.size("w") > 1).select(F.element_at("w", 1).alias("a"), F.element_at("w", 2).alias("b")).distinct()
+    return ix.pair_sizes(pairs)
+
+
 def term_idf(s, d):
     return docs_index(s, d).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
@@ -281,7 +289,7 @@ def audit_index_cost(s, d):
     return reports.index_cost(_audit(s, d))
 
 
-_NAMES = """live_filter newest_cards number_lookup tokenise_docs postings term_idf facet_members facet_boost tag_phrases occasion_lexicon
+_NAMES = """live_filter newest_cards number_lookup tokenise_docs postings term_pair_and term_idf facet_members facet_boost tag_phrases occasion_lexicon
 occasion_of hint_validation variant_validation recency_factor prefix_terms symspell_deletes word_variants spell_correct compound_split
 understand_terms understand_facets understand_groups nearest_occasion mean_year ladder_search ladder_strategy popularity_ranked suggest_build suggest_lookup baseline_search compare_old_new
 json_payload json_results eval_zero_rate eval_regressions eval_still_zero eval_fixed eval_overmatch eval_strategy_mix
@@ -330,6 +338,7 @@ ORACLES = {
     "number_lookup": f"with {_PARTS}, q(query_id, number) as (values ('a', '17'), ('b', '402'), ('c', '100000000')) select query_id, number, card_title as title from q join lp on card_number = number",
     "tokenise_docs": f"with {_DOCS}, {_tokens('ld')} select doc, field, count(*) as n, count(distinct term) as terms from tk group by all",
     "postings": f"{_WITH_D} select term, doc, round(weight, 9) as weight from po",
+    "term_pair_and": f"{_WITH_D}, pw as (select list_filter(string_split({_fold('card_title')}, ' '), lambda x: x <> '') as w from ld), pa as (select distinct w[1] as a, w[2] as b from pw where len(w) > 1), n as (select a, b, count(*) as n from pa join po x on x.term = a join po y on y.term = b and y.doc = x.doc group by all) select a, b, coalesce(n, 0) as n from pa left join n using (a, b)",
     "term_idf": f"{_WITH_D} select term, df, round(ln(1 + ((select count(*) from ld) - df + 0.5) / (df + 0.5)), 9) as idf from te",
     "facet_members": f"with {_PARTS}, {_tokens('lp')}, {_FACETS} select kind, value, doc from fa",
     "facet_boost": f"with {_PARTS}, {_tokens('lp')}, {_FACETS}, n as (select kind, value, count(*) as n from fa group by all), t as (select count(*) as t from lp) select kind, value, n, round(12 * least(ln(1 + t / n) / ln(1 + t / 100.0), 1.6), 9) as boost from n, t",
