@@ -15,19 +15,16 @@ def corrections(index: Index, words: DataFrame) -> DataFrame:
     """(word, corrected, distance) of the distinct words: distance 0 if the dictionary has the word, -1 if nothing is near.
 
     Words and dictionary meet where they agree after leaving out up to two letters (three for long words), and each meeting
-    is measured. The dictionary is indexed once; words far longer than any term are never taken apart.
+    is measured. The dictionary's side of the meeting lies in buckets that no call moves; words far longer than any term are never taken apart.
     """
     words = words.select("word").where("word is not null").distinct()
-    vocabulary = index.terms.where(F.col("df") >= L.MIN_FREQUENCY).select("term", "df")
-    longest = vocabulary.agg(F.coalesce(F.max(F.length("term")), F.lit(0))).first()[0]
+    vocabulary = index.vocabulary
     known = words.join(vocabulary, F.col("word") == F.col("term"), "left_semi")
     cap = F.when(F.length("word") >= L.LOOSE_MIN_QUERY, L.LOOSE_EDITS).otherwise(L.EDITS)
     open_words = words.join(vocabulary, F.col("word") == F.col("term"), "left_anti").withColumn("cap", cap)
-    open_words = open_words.where((F.length("word") >= L.MIN_CORRECTABLE) & (F.length("word") <= F.lit(longest) + F.col("cap")))
+    open_words = open_words.where((F.length("word") >= L.MIN_CORRECTABLE) & (F.length("word") <= F.lit(index.longest_term) + F.col("cap")))
     asked = open_words.select("word", "cap", F.explode(F.when(F.col("cap") == L.LOOSE_EDITS, T.deletes(F.col("word"), L.LOOSE_EDITS)).otherwise(T.deletes(F.col("word"), L.EDITS))).alias("variant"))
-    deep = F.length("term") >= L.LOOSE_MIN_TERM
-    indexed = vocabulary.where(F.length("term") >= L.MIN_CORRECTABLE).select("term", "df", F.explode(F.when(deep, T.deletes(F.col("term"), L.LOOSE_EDITS)).otherwise(T.deletes(F.col("term"), L.EDITS))).alias("variant"))
-    pairs = asked.join(indexed, "variant").select("word", "cap", "term", "df").distinct()
+    pairs = asked.join(index.deletions, "variant").select("word", "cap", "term", "df").distinct()
     measured = shipped(pairs).withColumn("distance", T.edit_distance(F.col("word"), F.col("term"), F.col("cap")))
     fair = (F.col("distance") <= L.EDITS) | (F.col("distance") <= L.LOOSE_RATIO * F.greatest(F.length("word"), F.length("term")))
     best = Window.partitionBy("word").orderBy("distance", F.desc("df"), "term")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,18 +55,52 @@ def build(index: Index, log: DataFrame | None = None, verify: bool = True) -> Da
     return merged.groupBy(F.col("surface").alias("phrase")).agg(F.round(F.sum("weight"), 9).alias("weight"))
 
 
-def suggest(suggestions: DataFrame, typed: DataFrame, limit: int = L.SUGGEST_LIMIT) -> DataFrame:
+@dataclass
+class Completions:
+    """What completes a prefix, worked out for every prefix that there is.
+
+    tops (kind, key, phrase, weight): the best limit + 1 phrases that begin with key (kind 0, of the first SUGGEST_WINDOW in order) or have a word
+    that does (kind 1); one more than are shown, as what was typed is no completion of itself. prefixes (prefix, word) and phrases (word, phrase,
+    weight) lead from the last of several words to the phrases that the words before it are looked for in."""
+
+    limit: int
+    tops: DataFrame
+    prefixes: DataFrame
+    phrases: DataFrame
+
+
+def prefixes_of(rows: DataFrame, column: str, least: int, name: str) -> DataFrame:
+    """rows with a row for each prefix of column of least characters or more."""
+    long = rows.where(F.length(column) >= least)
+    return long.withColumn(name, F.explode(F.transform(F.sequence(F.lit(least), F.length(column)), lambda n: F.substring(column, F.lit(1), n))))
+
+
+def completions(suggestions: DataFrame, limit: int = L.SUGGEST_LIMIT) -> Completions:
+    """suggestions: (phrase, weight). No window sees more of a key's rows than each task's first few: the order that a window cuts at is applied
+    before its exchange too."""
+    best = Window.partitionBy("key").orderBy(F.desc("weight"), F.length("phrase"), "phrase")
+    top = lambda rows, kind: rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= limit + 1).select(F.lit(kind).alias("kind"), "key", "phrase", "weight")
+    begun = prefixes_of(suggestions.select("phrase", "weight"), "phrase", L.SUGGEST_MIN_CHARS, "key")
+    begun = begun.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("phrase"))).where(F.col("i") <= L.SUGGEST_WINDOW)
+    phrases = written(suggestions.select(F.explode(F.array_distinct(F.split("phrase", " "))).alias("word"), "phrase", "weight"), "phrase-words")
+    held = prefixes_of(phrases, "word", L.SUGGEST_MIN_CHARS, "key").select("key", "phrase", "weight").distinct()
+    prefixes = written(prefixes_of(phrases.select("word").distinct(), "word", 1, "prefix").select("prefix", "word"), "word-prefixes")
+    return Completions(limit, written(top(begun, 0).unionByName(top(held, 1)), "completions"), prefixes, phrases)
+
+
+def suggest(table: Completions, typed: DataFrame, limit: int = L.SUGGEST_LIMIT) -> DataFrame:
     """(typed_id, rank, phrase) for typed (typed_id, typed): phrases that begin with what was typed, then phrases with a word that begins
-    with its last word and all words before anywhere; heavier, shorter, then in order. Prefixes meet phrases by their first two characters."""
-    t = written(shipped(typed).select("typed_id", T.normalise(F.col("typed")).alias("t")).where(F.length("t") >= L.SUGGEST_MIN_CHARS), "typed")
-    two = lambda c: F.substring(c, 1, L.SUGGEST_MIN_CHARS)
-    begin = suggestions.withColumn("k", two("phrase")).join(t.withColumn("k", two("t")), "k").where(F.startswith("phrase", F.col("t")))
-    begin = begin.withColumn("i", F.row_number().over(Window.partitionBy("typed_id").orderBy("phrase"))).where(F.col("i") <= L.SUGGEST_WINDOW).select("typed_id", "t", "phrase", "weight", F.lit(0).alias("pass"))
-    heads = t.withColumn("ws", F.split("t", " ")).select("typed_id", "t", F.slice("ws", 1, F.size("ws") - 1).alias("heads"), F.element_at("ws", -1).alias("last"))
-    words = suggestions.select("phrase", "weight", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word"))
-    one = lambda c: F.substring(c, 1, 1)
-    inner = words.withColumn("k", one("word")).join(heads.withColumn("k", one("last")), "k").where(F.startswith("word", F.col("last")) & F.forall("heads", lambda h: F.contains(F.col("phrase"), h)))
-    inner = inner.select("typed_id", "t", "phrase", "weight", F.lit(1).alias("pass"))
-    hits = begin.unionByName(inner).where("phrase <> t").groupBy("typed_id", "phrase").agg(F.min("pass").alias("pass"), F.max("weight").alias("weight"))
-    order = Window.partitionBy("typed_id").orderBy("pass", F.desc("weight"), F.length("phrase"), "phrase")
+    with its last word and all words before anywhere; heavier, shorter, then in order. limit is at most that of the table. One
+    typed word is one lookup of its key; more words also go by the words that their last one begins."""
+    if limit > table.limit:
+        raise ValueError(f"the table holds completions for limits up to {table.limit}")
+    t = shipped(typed).select("typed_id", T.normalise(F.col("typed")).alias("t")).where(F.length("t") >= L.SUGGEST_MIN_CHARS).withColumn("ws", F.split("t", " "))
+    alone = F.size("ws") == 1
+    keys = F.when(alone, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    direct = t.select("typed_id", "t", F.explode(keys).alias("kind"), F.col("t").alias("key")).join(table.tops, ["kind", "key"]).select("typed_id", "t", "phrase", "weight", "kind")
+    several = t.where(~alone).select("typed_id", "t", F.slice("ws", 1, F.size("ws") - 1).alias("heads"), F.element_at("ws", -1).alias("prefix"))
+    inner = several.join(table.prefixes, "prefix").join(table.phrases, "word").where(F.forall("heads", lambda h: F.contains(F.col("phrase"), h)))
+    hits = direct.unionByName(inner.select("typed_id", "t", "phrase", "weight", F.lit(1).alias("kind")))
+    hits = hits.where("phrase <> t").groupBy("typed_id", "phrase").agg(F.min("kind").alias("kind"), F.max("weight").alias("weight"))
+    order = Window.partitionBy("typed_id").orderBy("kind", F.desc("weight"), F.length("phrase"), "phrase")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("typed_id", "rank", "phrase")

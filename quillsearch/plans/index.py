@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import text as T
-from ..scratch import written
+from ..scratch import bucketed, written
 from ..shipping import shipped
 from .bitmaps import common, sets, united
 
@@ -128,6 +128,22 @@ class Index:
         both = common(united(rows, "a", "b", "term", "needed"), "needed", "a", "b")
         return pairs.join(both.groupBy("a", "b").agg(F.sum(F.bitmap_count("bits")).alias("n")), ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        """(term, df) of the terms that a word may be corrected to."""
+        return self.terms.where(F.col("df") >= L.MIN_FREQUENCY).select("term", "df")
+
+    @cached_property
+    def longest_term(self) -> int:
+        return self.vocabulary.agg(F.coalesce(F.max(F.length("term")), F.lit(0))).first()[0]
+
+    @cached_property
+    def deletions(self) -> DataFrame:
+        """(variant, term, df): each term of the vocabulary without up to two of its letters (three of a long term), dealt to buckets by variant once."""
+        deep = F.length("term") >= L.LOOSE_MIN_TERM
+        variants = F.when(deep, T.deletes(F.col("term"), L.LOOSE_EDITS)).otherwise(T.deletes(F.col("term"), L.EDITS))
+        return bucketed(self.vocabulary.where(F.length("term") >= L.MIN_CORRECTABLE).select(F.explode(variants).alias("variant"), "term", "df"), "deletions", "variant")
+
     @cached_property
     def words(self) -> DataFrame:
         """(kind, value, word, at) of the facet words; as many as the lexicons hold."""

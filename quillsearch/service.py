@@ -45,6 +45,10 @@ class Service:
     def phrases(self) -> DataFrame:
         return written(suggest.build(self.index, self.log), "phrases")
 
+    @cached_property
+    def completions(self) -> suggest.Completions:
+        return suggest.completions(self.phrases)
+
     def cards(self, results: DataFrame) -> list[dict]:
         return [json.loads(r.json) for r in payload(self.index, results).orderBy("rank").collect()]  # as many as the request's limit
 
@@ -65,7 +69,7 @@ class Service:
 
     def suggest(self, typed: str) -> dict:
         began = time.perf_counter()
-        rows = suggest.suggest(self.phrases, self.spark.createDataFrame([("t", typed)], "typed_id string, typed string"), L.SUGGEST_LIMIT)
+        rows = suggest.suggest(self.completions, self.spark.createDataFrame([("t", typed)], "typed_id string, typed string"), L.SUGGEST_LIMIT)
         return {"q": typed, "suggestions": [r.phrase for r in rows.orderBy("rank").collect()], "ms": milliseconds(began)}
 
     def answer(self, target: str) -> tuple[int, str, str]:
