@@ -144,6 +144,25 @@ class Index:
         variants = F.when(deep, T.deletes(F.col("term"), L.LOOSE_EDITS)).otherwise(T.deletes(F.col("term"), L.EDITS))
         return bucketed(self.vocabulary.where(F.length("term") >= L.MIN_CORRECTABLE).select(F.explode(variants).alias("variant"), "term", "df"), "deletions", "variant")
 
+    @held
+    def blobs(self) -> DataFrame:
+        """(doc, blob): the text that the baseline engine looks words up in, lower-cased and not normalised."""
+        parts = [F.coalesce(c, F.lit("")) for c in (F.col("card_title"), F.col("card_description"), F.col("card_tags"), F.replace("q1_value", F.lit("_"), F.lit(" ")), F.col("card_page_url"))]
+        return self.cards.select("doc", F.lower(F.concat_ws(" ", *parts)).alias("blob"))
+
+    @held
+    def gram_sets(self) -> DataFrame:
+        """(gram, block, n, bits, few): the documents whose blob holds three characters in a row; two line feeds follow a blob, so that
+        each of its characters begins one."""
+        padded = self.blobs.select("doc", F.concat("blob", F.lit("\n\n")).alias("b"))
+        grams = padded.where(F.length("b") > 2).select("doc", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("b") - 2), lambda i: F.substring("b", i, F.lit(3))))).alias("gram"))
+        return sets(grams, "gram")
+
+    @held
+    def gram_sizes(self) -> DataFrame:
+        """(gram, df)."""
+        return self.gram_sets.groupBy("gram").agg(F.sum("n").alias("df"))
+
     @cached_property
     def words(self) -> DataFrame:
         """(kind, value, word, at) of the facet words; as many as the lexicons hold."""

@@ -208,13 +208,18 @@ def suggest_prefixes(s, d):
 
 def baseline_search(s, d):
     ix = parts_index(s, d)
-    return baseline.old_search(ix.cards, _batch(s), 10).join(ix.docs.select("doc", "number"), "doc").select("query_id", F.col("rank").cast("long").alias("rank"), "number", F.col("n").cast("long").alias("n"))
+    return baseline.old_search(ix, _batch(s), 10).join(ix.docs.select("doc", "number"), "doc").select("query_id", F.col("rank").cast("long").alias("rank"), "number", F.col("n").cast("long").alias("n"))
 
 
 def compare_old_new(s, d):
     return _longs(baseline.compare(parts_index(s, d), _batch(s)), "old_n", "new_n")
 
 
+def compare_log(s, d):
+    """Both engines on each query of a whole log."""
+    return _longs(baseline.compare(parts_index(s, d), parts_log(s, d).select("query_id", F.col("query").alias("raw"))), "old_n", "new_n")
+
+
 def json_payload(s, d):
     rows = docs_index(s, d).docs.withColumns({"why": F.lit(""), "facets": F.lit(None).cast("map<string,array<string>>")})
     return rows.select(*[c for c in card_fields()]).select("number", "occasion", "subcat", "page", "thumb_extn", "big_extn", F.col("year").cast("long").alias("year"))
@@ -303,7 +308,7 @@ def audit_index_cost(s, d):
 
 _NAMES = """live_filter newest_cards number_lookup tokenise_docs postings term_pair_and term_idf facet_members facet_boost tag_phrases occasion_lexicon
 occasion_of hint_validation variant_validation recency_factor prefix_terms symspell_deletes word_variants spell_correct compound_split
-understand_terms understand_facets understand_groups nearest_occasion mean_year ladder_search ladder_strategy popularity_ranked suggest_build suggest_lookup suggest_prefixes baseline_search compare_old_new
+understand_terms understand_facets understand_groups nearest_occasion mean_year ladder_search ladder_strategy popularity_ranked suggest_build suggest_lookup suggest_prefixes baseline_search compare_old_new compare_log
 json_payload json_results eval_zero_rate eval_regressions eval_still_zero eval_fixed eval_overmatch eval_strategy_mix
 eval_corrections audit_stopwords audit_precision audit_leaks audit_misspell audit_strict_and audit_encoding audit_cap audit_tags
 audit_tag_quality audit_status audit_index_cost""".split()
@@ -396,7 +401,8 @@ def _engine(queries: str, numbers: bool = True) -> str:
 
 
 _BATCH_SQL = "select * from (values " + ", ".join(f"('q{i:02d}', '{q}')" for i, q in enumerate(SEARCHES)) + ") as q(query_id, raw)"
-_REPLAY_SQL = f"{_engine('select query_id, query_id as raw from lg').replace('with ', 'with ' + _LOG + ', ', 1)}, {searched(20)}, re as (select query_id, cast(times as int) as times, cast(results as int) as old_n, n as new_n, strategy, coalesce(fixed, false) as fixed from lg join (select query_id, count(*) as n, max(strategy) as strategy, bool_or(message like 'Showing results for%') as fixed from out group by query_id) using (query_id))"
+_LOG_SEARCH = lambda limit: f"{_engine('select query_id, query_id as raw from lg').replace('with ', 'with ' + _LOG + ', ', 1)}, {searched(limit)}"
+_REPLAY_SQL = f"{_LOG_SEARCH(20)}, re as (select query_id, cast(times as int) as times, cast(results as int) as old_n, n as new_n, strategy, coalesce(fixed, false) as fixed from lg join (select query_id, count(*) as n, max(strategy) as strategy, bool_or(message like 'Showing results for%') as fixed from out group by query_id) using (query_id))"
 # completions of ty (typed_id, t) by su (phrase, weight)
 _COMPLETED = "tw as (select typed_id, t, string_split(t, ' ') as ws from ty where length(t) >= 2), h as (select typed_id, phrase, weight, 0 as pass from tw join su on starts_with(phrase, t) and phrase <> t union all select distinct typed_id, phrase, weight, 1 from tw join (select phrase, weight, unnest(string_split(phrase, ' ')) as word from su) on starts_with(word, ws[-1]) and phrase <> t and len(list_filter(ws[:-2], lambda x: not contains(phrase, x))) = 0), b as (select typed_id, phrase, max(weight) as weight, min(pass) as pass from h group by all) select typed_id, row_number() over (partition by typed_id order by pass, weight desc, length(phrase), phrase) as rank, phrase from b qualify rank <= 8"
 _SEARCH_SQL = lambda *args: f"{_engine(_BATCH_SQL)}, {searched(*args)}"
@@ -410,6 +416,7 @@ ORACLES |= {
     "ladder_strategy": f"{_SEARCH_SQL(1)} select query_id, strategy, fallback, message from out",
     "popularity_ranked": f"{_SEARCH_SQL(5, 0.0, 'select cast(p_partkey as varchar) as number, p_retailprice as score from part')} select query_id, rank, number, strategy from out join yr using (doc)",
     "compare_old_new": f"{_SEARCH_SQL(10)}, ol as ({ORACLES['baseline_search'].replace('with ' + _PARTS, 'with ' + _PARTS)}), o as (select query_id, max(n) as old_n from ol group by query_id), w as (select query_id, count(*) as new_n, max(strategy) as strategy from out group by query_id) select query_id, coalesce(old_n, 0) as old_n, new_n, strategy from w left join o using (query_id)",
+    "compare_log": f"{_LOG_SEARCH(10)}, ol as ({ORACLES['baseline_search'].replace(_QUERIES_SQL, _LOG + ', qs as (select query_id, query_id as raw from lg)')}), o as (select query_id, max(n) as old_n from ol group by query_id), w as (select query_id, count(*) as new_n, max(strategy) as strategy from out group by query_id) select query_id, coalesce(old_n, 0) as old_n, new_n, strategy from w left join o using (query_id)",
     "json_results": f"{_SEARCH_SQL(3)}, fj as (select doc, '{{' || string_agg('\"' || kind || '\":[' || vs || ']', ',' order by kind) || '}}' as facets from (select doc, kind, string_agg('\"' || value || '\"', ',' order by value) as vs from (select distinct doc, kind, value from fa) group by all) group by doc) select query_id, rank, card_number as number, card_title as title, q1_value as q1, section as occasion, case when contains(q1_value, '_') then substring(q1_value, length(section) + 2) else section end as subcat, replace(card_page_url, '.html', '') as page, 'jpg' as thumb_extn, 'gif' as big_extn, substring(card_created_date, 1, 4) as year, why, facets from out join lp using (doc) join fj using (doc)",
     "suggest_lookup": f"with su as ({ORACLES['suggest_build']}), ty(typed_id, t) as (values {', '.join(f'({chr(39)}{i}{chr(39)}, {chr(39)}{t}{chr(39)})' for i, t in enumerate(TYPED))}), {_COMPLETED}",
     "suggest_prefixes": f"with su as ({ORACLES['suggest_build']}), nm as (select distinct p_name as name from part union select distinct array_to_string(list_reverse(string_split(p_name, ' ')), ' ') from part), ty as (select distinct p as typed_id, trim(p) as t from (select substring(name, 1, i) as p from nm, (select unnest(range(1, 60)) as i) where i <= length(name))), {_COMPLETED}",

@@ -62,7 +62,7 @@ class Service:
         about = {k: head[k] if head else None for k in ("strategy", "message", "fallback")}
         out = {"query": raw, "new": {"results": self.cards(found), **about}}
         if both:
-            old = written(old_search(self.index.cards, asked, numbers["limit"]), "old-answer")
+            old = written(old_search(self.index, asked, numbers["limit"]), "old-answer")
             first = old.first()
             out["old"] = {"results": self.cards(old.withColumn("why", F.lit(""))), "total": first.n if first else 0}
         return out | {"ms": milliseconds(began)}
