@@ -11,7 +11,7 @@ from ..plans.bitmaps import common, documents, slabs, united
 from ..plans.index import Index
 from ..scratch import written
 from ..shipping import shipped
-from .search import search
+from .search import pages, search
 
 
 #: Trigrams of a word whose document sets are ANDed before its places are verified; the rarest.
@@ -61,6 +61,6 @@ def compare(index: Index, queries: DataFrame, limit: int = 10) -> DataFrame:
 
 def replay(index: Index, log: DataFrame, limit: int = L.MAX_RESULTS) -> DataFrame:
     """(query_id, query, times, old_n, new_n, strategy, fixed) for log (query_id, query, times, results): the log played against the engine."""
-    out = search(index, log.select("query_id", F.col("query").alias("raw")), limit)
-    per = out.groupBy("query_id").agg(F.count("*").alias("new_n"), F.max("strategy").alias("strategy"), F.max(F.startswith("message", F.lit("Showing results for"))).alias("fixed"))
+    per = pages(index, log.select("query_id", F.col("query").alias("raw")), limit)
+    per = per.select("query_id", F.col("n").alias("new_n"), "strategy", F.startswith(F.coalesce("message", F.lit("")), F.lit("Showing results for")).alias("fixed"))
     return written(log.join(per, "query_id", "left").select("query_id", "query", "times", F.col("results").alias("old_n"), F.coalesce("new_n", F.lit(0)).alias("new_n"), "strategy", F.coalesce("fixed", F.lit(False)).alias("fixed")), "replayed")

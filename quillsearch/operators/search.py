@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..plans.bitmaps import common, documents, slabs, united
 from ..plans.index import Index
 from ..scratch import written
-from .understand import Understood, understand
+from .understand import Understood, nearest_occasion, understand
 
 
 def recency(year: Column, newest: int, boost: float = L.RECENCY_BOOST) -> Column:
@@ -160,15 +160,40 @@ def candidates(index: Index, u: Understood, ts: DataFrame, ks: DataFrame, ladder
     return seen.unionByName(scored(index, r, written(more, "more-slabs"), boost))
 
 
+def by_number(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, doc, number) of the queries that are a card's number and nothing else."""
+    cards = index.docs.where("number <> ''").groupBy("number").agg(F.max("doc").alias("doc"))
+    bare = queries.select("query_id", T.strip(F.col("raw")).alias("number")).where(F.col("number").rlike("^[0-9]+$"))
+    return bare.join(cards, "number").select("query_id", "doc", "number")
+
+
+def pages(index: Index, queries: DataFrame, limit: int = L.MAX_RESULTS, **options) -> DataFrame:
+    """(query_id, n, strategy, fallback, message): how each query's page comes about, of pages without a row too.
+
+    A limit of 0 (or less, which counts as 0) asks for no rows: the ladder ends before its first rung, a query that shares a word with an occasion
+    falls to the nearest one, others to the latest cards; a card's number still finds its card.
+    """
+    if limit > 0:
+        head = F.max(F.struct("strategy", "fallback", "message")).alias("p")
+        return search(index, queries, limit, **options).groupBy("query_id").agg(F.count("*").alias("n"), head).select("query_id", "n", "p.*")
+    exact = written(by_number(index, queries), "card-numbers")
+    numbers = exact.select("query_id", F.lit(1).cast("long").alias("n"), F.lit("card number").alias("strategy"), F.lit(False).alias("fallback"), F.concat(F.lit("Card "), "number", F.lit(".")).alias("message"))
+    rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
+    u = understand(index, rest)
+    read = rest.select("query_id").join(u.terms.select("query_id").distinct().withColumn("worded", F.lit(True)), "query_id", "left").join(nearest_occasion(index, u), "query_id", "left")
+    strategy = F.when(F.col("worded").isNull(), "empty").when(F.col("section").isNotNull(), "nearest occasion").otherwise("latest")
+    said = F.create_map(*[F.lit(x) for x in ("empty", "Showing the latest cards.", "nearest occasion", "No exact match. Showing the closest occasion.", "latest", "No matching cards. Showing the latest additions.")])
+    none = read.select("query_id", F.lit(0).cast("long").alias("n"), strategy.alias("strategy"), F.lit(True).alias("fallback"), F.element_at(said, strategy).alias("message"))
+    return numbers.unionByName(none)
+
+
 def search(index: Index, queries: DataFrame, limit: int = L.MAX_RESULTS, popularity: DataFrame | None = None, boost: float = L.RECENCY_BOOST) -> DataFrame:
     """(query_id, rank, doc, number, title, strategy, fallback, message, why): up to limit rows for each of queries (query_id, raw).
 
     Every query is answered: a card number with its card, others down the ladder, what nothing matches or holds no word with
     the newest cards (fallback). popularity (number, score) breaks ties in place of the year.
     """
-    by_number = index.docs.where("number <> ''").groupBy("number").agg(F.max("doc").alias("doc"))
-    bare = queries.select("query_id", T.strip(F.col("raw")).alias("number")).where(F.col("number").rlike("^[0-9]+$"))
-    exact = written(bare.join(by_number, "number").select("query_id", "doc", "number"), "card-numbers")
+    exact = written(by_number(index, queries), "card-numbers")
     rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
     u = understand(index, rest)
     ts, ks = written(ordered_terms(index, u), "text-terms"), written(ordered_facets(index, u), "ranked-facets")

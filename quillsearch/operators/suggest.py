@@ -25,6 +25,12 @@ def suggestable(phrase: Column) -> Column:
     return F.length(phrase).between(3, 40) & ~probe & phrase.rlike(r"\A[a-z0-9 &.,'-]+\z") & ~F.replace(phrase, F.lit(" "), F.lit("")).rlike(r"\A[0-9]+\z")
 
 
+def offered(log: DataFrame) -> DataFrame:
+    """(phrase, offered): the normalised queries of a log and whether any may be offered; numbers, probes and what is too short or long may not."""
+    phrases = shipped(log).select(T.normalise(F.col("query")).alias("phrase")).distinct()
+    return phrases.select("phrase", suggestable(F.col("phrase")).alias("offered"))
+
+
 def canonical(index: Index, phrases: DataFrame) -> DataFrame:
     """(phrase, key, usual): each word as the form that the catalogue uses most, and whether the dictionary has all words."""
     words = phrases.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("pos", "word"))

@@ -44,3 +44,15 @@ def parts_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     swapped = F.concat(F.substring("name", 2, 1), F.substring("name", 1, 1), F.substring("name", 3, 1 << 20))
     kinds = F.array(F.struct(F.col("name").alias("query"), "times", "results"), F.struct(swapped.alias("query"), "times", F.lit(0).alias("results")), F.struct(F.reverse("name").alias("query"), F.lit(1).alias("times"), F.lit(0).alias("results")))
     return names.select(F.explode(kinds).alias("q")).select("q.query", "q.times", "q.results", F.col("q.query").alias("query_id"))
+
+
+def broad_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query, times, results): the first word of each name, its last two letters and its first one, as people search who know little; results are
+    the rows that hold the letters, so that some match much of the catalogue. Blank queries and numbers are among them."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    first = F.split_part("p_name", F.lit(" "), F.lit(1))
+    asked = part.select(F.explode(F.array(first, F.substring("p_name", -2, 2), F.substring("p_name", 1, 1), F.lit(" "), F.when(F.col("p_partkey") % 500 == 0, F.col("p_partkey").cast("string")))).alias("query")).where("query is not null")
+    times = asked.groupBy("query").agg(F.count("*").cast("int").alias("times"))
+    names = part.groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n"))  # as many as names differ
+    met = times.join(names, F.contains("name", F.trim("query"))).groupBy("query").agg(F.sum("n").cast("int").alias("results"))
+    return times.join(met, "query", "left").select(F.col("query").alias("query_id"), "query", "times", F.coalesce("results", F.lit(0)).alias("results"))

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from . import lexicons as L
 from .functions import text as T
 from .operators import baseline, reports, spell, suggest
-from .operators.search import recency, search
+from .operators.search import pages, recency, search
 from .operators.understand import bases, understand
 from .operators.understand import nearest_occasion as nearest
-from .plans.catalogues import CATALOG_DOCS, CATALOG_PARTS, docs_catalogue, parts_catalogue, parts_log
+from .plans.catalogues import CATALOG_DOCS, CATALOG_PARTS, broad_log, docs_catalogue, parts_catalogue, parts_log
 from .plans.index import Index, build_index, live
 from .shipping import shipped
 from .search_sql import occasion_words, searched, understood
-from .sources.catalogue import card_fields, payload
+from .sources.catalogue import card_fields, filled, payload
 
 _built: dict[tuple, object] = {}
 
@@ -252,6 +252,46 @@ def eval_overmatch(s, d):
     return reports.over_matching(_replayed(s, d), parts_index(s, d).total)
 
 
+def _unpaged(s, d):
+    return once(s, d, "unpaged", lambda: baseline.replay(parts_index(s, d), broad_log(s, d), limit=0))
+
+
+def eval_unpaged(s, d):
+    """A log played for no rows: what each page would be."""
+    return _longs(_unpaged(s, d).select("query_id", "times", "old_n", "new_n", "strategy"), "old_n", "new_n", "times")
+
+
+def eval_regressions_unpaged(s, d):
+    return reports.regressions(_unpaged(s, d))
+
+
+def eval_still_zero_unpaged(s, d):
+    return reports.still_zero(_unpaged(s, d))
+
+
+def eval_overmatch_broad(s, d):
+    return reports.over_matching(_unpaged(s, d), parts_index(s, d).total)
+
+
+def pages_of_none(s, d):
+    """What the batch's pages say with a limit of 0."""
+    return pages(parts_index(s, d), _batch(s), 0)
+
+
+def suggest_filter(s, d):
+    """Which of the part names, and of what is made of them as a log may hold it, may be offered."""
+    name = F.col("p_name")
+    forms = F.array(name, F.concat(name, F.lit(" <script>x")), F.concat(F.lit("Alert: "), name), F.concat(name, F.lit("/etc/passwd")), F.concat(F.col("p_partkey").cast("string"), F.lit(" "), F.col("p_size").cast("string")), F.substring(name, 1, 2), F.repeat(F.concat(name, F.lit(" ")), 5), F.concat(name, F.lit("'s size "), F.col("p_size").cast("string")))
+    return suggest.offered(s.read.parquet(f"{d}/part.parquet").select(F.explode(forms).alias("query")))
+
+
+def url_templates(s, d):
+    """Addresses of pictures and pages of each card, from templates."""
+    fields = {c: F.col(c) for c in ("number", "q1", "page", "thumb_extn")}
+    cards = docs_index(s, d).docs.withColumns({"why": F.lit(""), "facets": F.lit(None).cast("map<string,array<string>>")}).select(*card_fields())
+    return cards.select("number", filled("https://images.example/{q1}/{number}_small.{thumb_extn}", fields).alias("image"), filled("/cards/{page}?n={number}&x={unknown}", fields).alias("link"))
+
+
 def eval_strategy_mix(s, d):
     return reports.strategy_mix(_replayed(s, d))
 
@@ -309,7 +349,7 @@ def audit_index_cost(s, d):
 _NAMES = """live_filter newest_cards number_lookup tokenise_docs postings term_pair_and term_idf facet_members facet_boost tag_phrases occasion_lexicon
 occasion_of hint_validation variant_validation recency_factor prefix_terms symspell_deletes word_variants spell_correct compound_split
 understand_terms understand_facets understand_groups nearest_occasion mean_year ladder_search ladder_strategy popularity_ranked suggest_build suggest_lookup suggest_prefixes baseline_search compare_old_new compare_log
-json_payload json_results eval_zero_rate eval_regressions eval_still_zero eval_fixed eval_overmatch eval_strategy_mix
+json_payload json_results eval_zero_rate eval_regressions eval_still_zero eval_fixed eval_overmatch eval_strategy_mix eval_unpaged eval_regressions_unpaged eval_still_zero_unpaged eval_overmatch_broad pages_of_none suggest_filter url_templates
 eval_corrections audit_stopwords audit_precision audit_leaks audit_misspell audit_strict_and audit_encoding audit_cap audit_tags
 audit_tag_quality audit_status audit_index_cost""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}
@@ -403,6 +443,14 @@ def _engine(queries: str, numbers: bool = True) -> str:
 _BATCH_SQL = "select * from (values " + ", ".join(f"('q{i:02d}', '{q}')" for i, q in enumerate(SEARCHES)) + ") as q(query_id, raw)"
 _LOG_SEARCH = lambda limit: f"{_engine('select query_id, query_id as raw from lg').replace('with ', 'with ' + _LOG + ', ', 1)}, {searched(limit)}"
 _REPLAY_SQL = f"{_LOG_SEARCH(20)}, re as (select query_id, cast(times as int) as times, cast(results as int) as old_n, n as new_n, strategy, coalesce(fixed, false) as fixed from lg join (select query_id, count(*) as n, max(strategy) as strategy, bool_or(message like 'Showing results for%') as fixed from out group by query_id) using (query_id))"
+# what pages without rows say: pg, over understood()
+_PAGE_SQL = f"""ow as ({occasion_words(_SCORES, _nested('hint_validation'))}), sh as (select distinct query_id from tm join ow using (term)),
+pg as (select query_id, 1 as n, 'card number' as strategy, false as fallback, 'Card ' || card_number || '.' as message from xn union all
+ select query_id, 0, case when query_id not in (select query_id from tm) then 'empty' when query_id in (select query_id from sh) then 'nearest occasion' else 'latest' end, true,
+        case when query_id not in (select query_id from tm) then 'Showing the latest cards.' when query_id in (select query_id from sh) then 'No exact match. Showing the closest occasion.' else 'No matching cards. Showing the latest additions.' end from rq)"""
+_BROAD = """ba0 as (select unnest([split_part(p_name, ' ', 1), right(p_name, 2), left(p_name, 1), ' ', case when p_partkey % 500 = 0 then cast(p_partkey as varchar) end]) as q from part), bt as (select q, count(*) as times from ba0 where q is not null group by q),
+bg as (select q as query_id, times, (select count(*) from part where contains(p_name, trim(q))) as old_n from bt)"""
+_UNPAGED_SQL = f"{_engine('select query_id, query_id as raw from bg').replace('with ', 'with ' + _BROAD + ', ', 1)}, {_PAGE_SQL}, re as (select query_id, times, old_n, cast(n as bigint) as new_n, strategy from bg join pg using (query_id))"
 # completions of ty (typed_id, t) by su (phrase, weight)
 _COMPLETED = "tw as (select typed_id, t, string_split(t, ' ') as ws from ty where length(t) >= 2), h as (select typed_id, phrase, weight, 0 as pass from tw join su on starts_with(phrase, t) and phrase <> t union all select distinct typed_id, phrase, weight, 1 from tw join (select phrase, weight, unnest(string_split(phrase, ' ')) as word from su) on starts_with(word, ws[-1]) and phrase <> t and len(list_filter(ws[:-2], lambda x: not contains(phrase, x))) = 0), b as (select typed_id, phrase, max(weight) as weight, min(pass) as pass from h group by all) select typed_id, row_number() over (partition by typed_id order by pass, weight desc, length(phrase), phrase) as rank, phrase from b qualify rank <= 8"
 _SEARCH_SQL = lambda *args: f"{_engine(_BATCH_SQL)}, {searched(*args)}"
@@ -425,6 +473,13 @@ ORACLES |= {
     "eval_still_zero": f"{_REPLAY_SQL} select query_id, times from re where old_n = 0 and new_n = 0",
     "eval_fixed": f"{_REPLAY_SQL} select query_id, times, cast(new_n as bigint) as new_n, strategy from re where old_n = 0 and new_n > 0",
     "eval_overmatch": f"{_REPLAY_SQL} select query_id, times, old_n, round(100.0 * old_n / total, 6) as share from re, nn where old_n > total * 0.2",
+    "eval_unpaged": f"{_UNPAGED_SQL} select query_id, times, old_n, new_n, strategy from re",
+    "eval_regressions_unpaged": f"{_UNPAGED_SQL} select query_id, cast(times as int) as times, cast(old_n as int) as old_n from re where old_n > 0 and new_n = 0 and trim(query_id) <> ''",
+    "eval_still_zero_unpaged": f"{_UNPAGED_SQL} select query_id, cast(times as int) as times from re where old_n = 0 and new_n = 0",
+    "eval_overmatch_broad": f"{_UNPAGED_SQL} select query_id, cast(times as int) as times, cast(old_n as int) as old_n, round(100.0 * old_n / total, 6) as share from re, (select count(*) as total from lp) where old_n > total * 0.2",
+    "pages_of_none": f"{_engine(_BATCH_SQL)}, {_PAGE_SQL} select query_id, n, strategy, fallback, message from pg",
+    "suggest_filter": f"with f as (select unnest([p_name, p_name || ' <script>x', 'Alert: ' || p_name, p_name || '/etc/passwd', p_partkey || ' ' || p_size, substring(p_name, 1, 2), repeat(p_name || ' ', 5), p_name || chr(39) || 's size ' || p_size]) as q from part), p as (select distinct {_fold("replace(q, chr(39), '')")} as phrase from f) select phrase, length(phrase) between 3 and 40 and not regexp_matches(phrase, '(?i)script|alert|passwd') and regexp_full_match(phrase, '[a-z0-9 &.,-]+') and not regexp_full_match(replace(phrase, ' ', ''), '[0-9]+') as offered from p",
+    "url_templates": f"with {_DOCS} select card_number as number, 'https://images.example/' || q1_value || '/' || card_number || '_small.gif' as image, '/cards/' || replace(card_page_url, '.html', '') || '?n=' || card_number || '&x={{unknown}}' as link from ld",
     "eval_strategy_mix": f"{_REPLAY_SQL} select strategy, cast(sum(times) as bigint) as searches from re group by strategy",
     "eval_corrections": f"{_REPLAY_SQL} select cast(coalesce(sum(times) filter (fixed), 0) as bigint) as corrected, cast(sum(times) as bigint) as searches from re",
 }
