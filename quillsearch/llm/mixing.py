@@ -90,13 +90,14 @@ def fitted_rates(expected: DataFrame, target: tuple[float, ...] = TARGET, total:
     lead = max((k for k in range(k) if have[k] > 0), key=lambda k: share[k])
     total = total or (have[lead] / share[lead] if share[lead] > 0 else have.sum())
     goal = share * total if most is None else np.minimum(share * total, most * have)
-    some = have > 0
-    unit = np.where(some, first.n / np.where(some, have, 1.0), 0.0)  # tokens are told by their domain's mean, all figures are then about 1
-    want = np.where(some, goal / np.where(some, have, 1.0), 0.0)
+    # misses are told by the goal, so that a domain of few tokens counts as much as one of many; without a goal by the tokens there are
+    some, scale = have > 0, np.where(goal > 0, goal, np.maximum(have, 1.0)) if most is None else np.maximum(have, 1.0)
+    unit = np.where(some, first.n / scale, 0.0)
+    want = np.where(some, goal / scale, 0.0)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
     def at(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """Value, gradient and curvature of the function of u, and the totals by the totals before."""
+        """Value, gradient and curvature of the function of u, and the totals by their scale."""
         rate, way, token = rate_at(u * unit, most), way_at(u * unit), lambda i: F.get("tokens", i) * float(unit[i])
         free = rate > 0 if most is None else (rate > 0) & (rate < most)
         sums = [F.avg(2 * rate * way - rate * rate).alias("v")] + [F.avg(token(i) * rate).alias(f"g{i}") for i in range(k)]
@@ -122,8 +123,8 @@ def fitted_rates(expected: DataFrame, target: tuple[float, ...] = TARGET, total:
             size /= 2
         u = u + size * way
         value, slope, curve, got = then
-    met = np.abs(got * have - goal) <= MET * np.maximum(goal, 1)
-    return expected.withColumn("rate", rate_at(u * unit, most)), {"have": have.tolist(), "target": goal.tolist(), "got": (got * have).tolist(), "met": met.tolist(), "settled": settled()}
+    met = np.abs(got * scale - goal) <= MET * np.maximum(goal, 1)
+    return expected.withColumn("rate", rate_at(u * unit, most)), {"have": have.tolist(), "target": goal.tolist(), "got": (got * scale).tolist(), "met": met.tolist(), "settled": settled()}
 
 
 def mixture(docs: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, most: float | None = None, enough: float = 0.0, ridge: float = RIDGE, **options) -> tuple[DataFrame, dict]:

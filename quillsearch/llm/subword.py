@@ -179,10 +179,11 @@ def train(docs: DataFrame, labelled: DataFrame, classes: int, calibrated: bool =
     of other classes sample_docs, of documents of up to SAMPLE_CHARS characters. One executor task fits it. calibrated: the bias is that of the
     classes' shares among all labelled documents, not in the sample. The last row has these shares' logarithms, for texts without
     words. None if there is nothing to learn from."""
-    rows = worker_texts(docs).where(F.length("text") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("doc_id", "text"))
+    rows = worker_texts(docs).withColumn("h", F.xxhash64("doc_id", "text"))
     labelled = labelled.groupBy("doc_id").agg(F.min("label").alias("label"))
-    keys = written(rows.select("doc_id", "h").join(labelled, "doc_id").distinct(), "labelled-rows")
-    shares = {r.label: r["count"] for r in keys.groupBy("label").count().collect()}  # a row for each class
+    keys = written(rows.select("doc_id", "h", (F.length("text") <= SAMPLE_CHARS).alias("short")).join(labelled, "doc_id").distinct(), "labelled-rows")
+    shares = {r.label: r["count"] for r in keys.groupBy("label").count().collect()}  # a row for each class; documents of any length
+    keys = keys.where("short").drop("short")
     chosen = [r for k in range(classes) for r in keys.where(F.col("label") == k).orderBy("h", "doc_id").limit(sample_docs * (1 + (k == 0))).collect()]
     if not chosen:
         return None

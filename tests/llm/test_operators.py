@@ -341,7 +341,7 @@ def test_mixing_rates_are_the_minimum_and_reach_what_can_be_reached(spark):
     r = np.array([x.rate for x in sorted(rates.collect())])
     goal, have = np.array(outcome["target"]), a.sum(0)
     assert np.all(abs(r @ a - goal) <= 0.05 * goal) and np.allclose(r @ a, outcome["got"], rtol=1e-6)
-    slope = a @ ((r @ a - goal) / have**2) + mixing.RIDGE * (r - 1) / len(r)  # of the objective by each rate
+    slope = a @ ((r @ a - goal) / goal**2) + mixing.RIDGE * (r - 1) / len(r)  # of the objective by each rate
     assert np.all(abs(slope[r > 0]) < 1e-9) and np.all(slope[r == 0] > -1e-9)
     assert outcome["settled"] and all(outcome["met"])
     alike = spark.createDataFrame([(i, [80.0, 15.0, 5.0]) for i in range(50)], "doc_id long, tokens array<double>")
@@ -365,3 +365,23 @@ def test_mixing_stage_obeys_its_rates_and_keeps_clean_rows(spark):
     assert all(r.rate == "own" for r in kept) and sum(r.doc_id is None for r in kept) == 2
     left = Counter(rows[r.doc_id][2] for r in kept if r.doc_id is not None)
     assert left[0] >= 0.98 * len(clean) and left[1] <= 10 and left[2] <= 20
+
+
+def test_mixture_of_real_rows_meets_its_targets(spark):
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rates, outcome = mixing.mixture(docs, known)
+    assert outcome["settled"] and outcome["met"] == [True] * 3
+    assert outcome["got"] == pytest.approx(outcome["target"], rel=0.01)
+    rows = rates.collect()
+    for i, d in enumerate(mixing.DOMAINS):
+        assert sum(r.rate * r.n_words * r[f"p_{d}"] for r in rows) == pytest.approx(outcome["got"][i], rel=1e-6)
+
+
+def test_shares_count_labelled_documents_of_any_length(spark, monkeypatch):
+    from quillsearch.llm import subword
+
+    monkeypatch.setattr(subword, "SAMPLE_CHARS", 30)
+    docs = spark.createDataFrame([(i, "short text" if i < 30 else "a much longer text " * 5) for i in range(60)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i >= 25)) for i in range(60)], "doc_id long, label int")
+    shares = subword.train(docs, known, 2)[-1]
+    assert [math.exp(x) for x in shares] == pytest.approx([25.5 / 61, 35.5 / 61], rel=1e-5)
