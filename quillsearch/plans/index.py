@@ -190,19 +190,33 @@ class Index:
         """(phrase, n): occurrences, so that a phrase a card has twice counts twice."""
         return shipped(self.cards).select(F.explode(F.split(F.coalesce("card_tags", F.lit("")), ",")).alias("t")).select(T.normalise(F.col("t")).alias("phrase")).where("phrase <> ''").groupBy("phrase").agg(F.count("*").alias("n"))
 
+    @held
+    def positions(self) -> DataFrame:
+        """(term, doc, places): where a term stands in title and description, read as one text."""
+        words = T.tokenise(F.concat_ws(" ", "card_title", "card_description"))
+        each = shipped(self.cards).select("doc", F.posexplode(words).alias("place", "term"))
+        return each.groupBy("term", "doc").agg(F.array_sort(F.collect_list("place")).alias("places"))  # at most a text's words
+
+    def phrase_matches(self, phrases: DataFrame) -> DataFrame:
+        """(phrase, doc) for phrases (phrase): documents that hold its words one after the other. The words meet their postings by equality, and
+        a document has the phrase where all its words point to one start. A phrase without words has no match."""
+        words = shipped(phrases).select("phrase").distinct().select("phrase", T.tokenise(F.col("phrase")).alias("ws")).where(F.size("ws") > 0)
+        asked = words.select("phrase", F.size("ws").alias("n"), F.posexplode("ws").alias("at", "term"))
+        kinds = asked.groupBy("phrase").agg(F.countDistinct("term").alias("kinds"))
+        met = asked.join(self.positions, "term")
+        whole = met.groupBy("phrase", "doc").agg(F.countDistinct("term").alias("kinds")).join(kinds, ["phrase", "kinds"]).select("phrase", "doc")  # all words are there at all
+        starts = met.join(whole, ["phrase", "doc"]).select("phrase", "doc", "n", F.explode(F.transform("places", lambda p: p - F.col("at"))).alias("start"))
+        return starts.groupBy("phrase", "doc", "n", "start").agg(F.count("*").alias("found")).where("found = n").select("phrase", "doc").distinct()
+
     @held
     def hints(self) -> DataFrame:
         """(section, phrase, total, here, best, best_count, status): claims that a phrase belongs to a section, counted on word borders in
         title and description. status: kept, dropped, or rare (too few to judge)."""
-        claims = [(i, s, p) for i, (s, p) in enumerate((s, p) for s, ps in self.lexicons.hints.items() for p in ps)]
-        blob = F.concat(F.lit(" "), T.normalise(F.concat_ws(" ", "card_title", "card_description")), F.lit(" "))
-        blobs = shipped(self.cards).select(T.section(F.col("q1_value")).alias("section"), blob.alias("blob"))
-        # one pass over the texts for all claims, however many; nothing is multiplied
-        hits = [F.struct(F.lit(i).alias("i"), F.contains("blob", F.lit(f" {T.folded(p)} ")).alias("hit")) for i, _, p in claims]
-        found = F.explode(F.filter(F.array(*hits), lambda x: x["hit"]))
-        ids = F.broadcast(self._few(claims, "i int, claimed string, phrase string"))
-        counts = blobs.select("section", found.alias("f")).groupBy(F.col("f.i").alias("i"), "section").agg(F.count("*").alias("n"))
-        per = counts.join(ids, "i").groupBy("claimed", "phrase").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("section") == F.col("claimed"), F.col("n")).otherwise(0)).alias("here"), F.min(F.struct((-F.col("n")).alias("m"), "section")).alias("top"))
+        claims = [(s, p) for s, ps in self.lexicons.hints.items() for p in ps]
+        named = F.broadcast(self._few(claims, "claimed string, phrase string"))
+        sections = self.cards.select("doc", T.section(F.col("q1_value")).alias("section"))
+        counts = self.phrase_matches(named.select("phrase")).join(sections, "doc").groupBy("phrase", "section").agg(F.count("*").alias("n"))
+        per = counts.join(named, "phrase").groupBy("claimed", "phrase").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("section") == F.col("claimed"), F.col("n")).otherwise(0)).alias("here"), F.min(F.struct((-F.col("n")).alias("m"), "section")).alias("top"))
         status = F.when(F.col("total") < L.HINT_MIN_TOTAL, "rare").when(F.col("here") / F.col("total") >= L.HINT_MIN_SHARE, "kept").otherwise("dropped")
         return per.select(F.col("claimed").alias("section"), "phrase", "total", "here", F.col("top.section").alias("best"), (-F.col("top.m")).alias("best_count"), status.alias("status"))
 

@@ -116,6 +116,18 @@ def hint_validation(s, d):
     return parts_index(s, d).hints
 
 
+def _title_phrases(ix):
+    words = shipped(ix.cards).select(T.tokenise(F.col("card_title")).alias("w"))
+    return words.select(F.explode(F.array(F.slice("w", 1, 2), F.slice("w", 3, 3))).alias("p")).where(F.size("p") > 1).select(F.array_join("p", " ").alias("phrase")).distinct()
+
+
+def phrase_matches(s, d):
+    """How many documents of each section hold the first two words of any title, or the three after them, in a row."""
+    ix = docs_index(s, d)
+    sections = ix.cards.select("doc", T.section(F.col("q1_value")).alias("section"))
+    return ix.phrase_matches(_title_phrases(ix)).join(sections, "doc").groupBy("phrase", "section").agg(F.count("*").alias("n"))
+
+
 def variant_validation(s, d):
     return parts_index(s, d).variants
 
@@ -347,7 +359,7 @@ def audit_index_cost(s, d):
 
 
 _NAMES = """live_filter newest_cards number_lookup tokenise_docs postings term_pair_and term_idf facet_members facet_boost tag_phrases occasion_lexicon
-occasion_of hint_validation variant_validation recency_factor prefix_terms symspell_deletes word_variants spell_correct compound_split
+occasion_of hint_validation phrase_matches variant_validation recency_factor prefix_terms symspell_deletes word_variants spell_correct compound_split
 understand_terms understand_facets understand_groups nearest_occasion mean_year ladder_search ladder_strategy popularity_ranked suggest_build suggest_lookup suggest_prefixes baseline_search compare_old_new compare_log
 json_payload json_results eval_zero_rate eval_regressions eval_still_zero eval_fixed eval_overmatch eval_strategy_mix eval_unpaged eval_regressions_unpaged eval_still_zero_unpaged eval_overmatch_broad pages_of_none suggest_filter url_templates
 eval_corrections audit_stopwords audit_precision audit_leaks audit_misspell audit_strict_and audit_encoding audit_cap audit_tags
@@ -410,6 +422,7 @@ ORACLES = {
     "word_variants": f"{_WITH_D}, s as (select term, {_SUFFIX_CASE} as cut from te), b as (select term as word, left(term, length(term) - cut) as stem from s where cut is not null), v as (select word, 0 as i, stem as base from b union all select word, 1, stem || 'e' from b union all select word, 2, left(stem, length(stem) - 1) from b where length(stem) > 2 and right(stem, 1) = substring(stem, length(stem) - 1, 1)) select word, cast(i as bigint) as i, base from v",
     "compound_split": f"{_WITH_P}, q(word) as (values ('widgetring'), ('smallgear'), ('redbolt'), ('anvilanvil'), ('sofa'), ('gizmorodx')), c as (select word, i, substring(word, 1, i) as l, substring(word, i + 1) as r from q, (select unnest(range(3, 30)) as i) where i <= length(word) - 3), b as (select word, l, r, row_number() over (partition by word order by least(a.df, z.df) desc, i) as k from c join te a on a.term = l join te z on z.term = r where a.df >= 3 and z.df >= 3) select word, l as \"left\", r as \"right\" from b where k = 1",
     "hint_validation": f"with {_PARTS}, h(claimed, phrase) as (values ('promo', 'small gear'), ('standard', 'hot')), b as (select section, ' ' || {_fold('card_title || chr(32) || card_description')} || ' ' as t from lp), n as (select claimed, phrase, section, count(*) as n from h join b on contains(t, ' ' || phrase || ' ') group by all), k as (select claimed, phrase, sum(n) as total, sum(case when section = claimed then n else 0 end) as here, max(n) as best_count from n group by all), f as (select claimed, phrase, min(section) as best from n join k using (claimed, phrase) where n = best_count group by all) select claimed as section, phrase, cast(total as bigint) as total, cast(here as bigint) as here, best, best_count, case when total < 3 then 'rare' when here / total >= 0.5 then 'kept' else 'dropped' end as status from k join f using (claimed, phrase)",
+    "phrase_matches": f"with {_DOCS}, w as (select list_filter(string_split({_fold('card_title')}, ' '), lambda x: x <> '') as w from ld), ph as (select distinct array_to_string(p, ' ') as phrase from (select unnest([w[1:2], w[3:5]]) as p from w) where len(p) > 1), b as (select doc, split_part(q1_value, '_', 1) as section, ' ' || {_fold("card_title || ' ' || card_description")} || ' ' as t from ld) select phrase, section, count(*) as n from ph join b on contains(t, ' ' || phrase || ' ') group by all",
     "suggest_build": f"with {_PARTS}, {_LOG}, t as (select unnest(string_split(card_tags, ',')) as phrase from lp), a as (select name as phrase, times * 1.0 as w from ln union all select phrase, count(*) * 0.05 from t group by all) select phrase, round(cast(sum(w) as double), 9) as weight from a group by all",
     "baseline_search": f"with {_PARTS}, {_QUERIES_SQL}, tw as (select query_id, list_filter(regexp_extract_all(lower(raw), '[a-z0-9'']+'), lambda x: not list_contains({_STOPS}, x)) as ws from qs), bl as (select doc, card_number as number, lower(concat_ws(' ', card_title, card_description, card_tags, replace(q1_value, '_', ' '), card_page_url)) as blob from lp), m as (select query_id, number, row_number() over (partition by query_id order by doc) as rank from tw, bl where len(ws) > 0 and len(list_filter(ws, lambda x: not contains(blob, x))) = 0), k as (select *, least(count(*) over (partition by query_id), 500) as n from m) select query_id, rank, number, n from k where rank <= 10",
     "json_payload": f"with {_DOCS} select card_number as number, split_part(q1_value, '_', 1) as occasion, split_part(q1_value, '_', 2) as subcat, replace(card_page_url, '.html', '') as page, 'gif' as thumb_extn, 'png' as big_extn, cast(substring(card_created_date, 1, 4) as bigint) as year from ld",
