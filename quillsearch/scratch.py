@@ -26,11 +26,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, what: str, key: str, least: int = 1) -> DataFrame:
+def bucketed(df: DataFrame, what: str, key: str, least: int = 1, exact: bool = False) -> DataFrame:
     """The rows as a table whose files are dealt by key, sorted within: a join on the key reads them as they lie. At least as many buckets
-    as a shuffle has partitions, so that Spark moves the other side of a join."""
+    as a shuffle has partitions, so that Spark moves the other side of a join; or exactly the least
+    number of buckets, for other sides that are repartitioned to that number by the key."""
     spark = df.sparkSession
-    buckets = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = least if exact else max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"quill_{what}_{uuid.uuid4().hex}"
     path = f"{scratch_root(spark)}/{name}"
     df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
