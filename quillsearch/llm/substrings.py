@@ -11,7 +11,8 @@ travels: it can't lead to a repeat. Prefixes are as long as they need to be: the
 dealt again by twice as many words of their own, and again until a group fits; suffixes that agree in all WINDOW words and are still too
 many are one node, whose smallest doc_id is an aggregate.
 
-Texts are dealt into blocks by a hash of the row, once. Equal stretches of a block travel once, so a passage that a third of
+Texts are cut and hashed once; they are written with their marks, dealt into blocks by a hash of the row, and read from there by the later
+steps, which cut only what repeats. Equal stretches of a block travel once, so a passage that a third of
 all documents share is as many rows as there are blocks; which words of which document it covers is worked out again in
 the blocks.
 """
@@ -28,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import bucketed
 from .common import block_count, worker_texts, written
 
 WINDOW = 50
@@ -36,6 +38,8 @@ BLOCK_BYTES = 12 << 20
 CHUNK_WORDS = 1 << 20
 #: Bytes of stretches whose subtrees are built together; more of one prefix are dealt again.
 GROUP_BYTES = 6 << 20
+#: Files that the texts are dealt to, at most; each holds whole blocks.
+MOST_BUCKETS = 20_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -98,27 +102,52 @@ def _ids(pdf: pd.DataFrame) -> np.ndarray:
     return pdf.doc_id.astype("Int64").fillna(NO_ID).to_numpy(np.int64)
 
 
-def block_prefixes(pdf: pd.DataFrame, window: int, prefix: int) -> pd.DataFrame:
-    """The marked prefixes of a block, with the smallest and the largest doc_id that have it."""
-    known, found, ids, texts = Hashes(), [], _ids(pdf), pdf.text.tolist()
-    for part, cut in parts(texts):
-        doc, _, _, key = stretches(cut, known, window, prefix)
-        found.append(pd.DataFrame({"key": key, "lo": ids[part][doc], "hi": ids[part][doc]}))
-    out = pd.concat(found).groupby("key", as_index=False).agg({"lo": "min", "hi": "max"}) if found else pd.DataFrame({"key": [], "lo": [], "hi": []})
-    return out.assign(block=int(pdf.block.iloc[0]) if len(pdf) else 0)
+def marks(pdf: pd.DataFrame, window: int, prefix: int) -> pd.DataFrame:
+    """The rows with their stretches packed: places (of each the first window's start and how many windows, 32 bits each) and keys."""
+    known, places, keys = Hashes(), [], []
+    for _, cut in parts(pdf.text.tolist()):
+        doc, start, count, key = stretches(cut, known, window, prefix)
+        ends = np.searchsorted(doc, np.arange(len(cut) + 1)).tolist()
+        place, name = np.stack([start, count], axis=1).astype("<i4").tobytes(), key.astype("<i8").tobytes()
+        places += [place[8 * a : 8 * b] for a, b in zip(ends, ends[1:])]
+        keys += [name[8 * a : 8 * b] for a, b in zip(ends, ends[1:])]
+    return pdf.assign(places=pd.Series(places, pdf.index, object), keys=pd.Series(keys, pdf.index, object))
+
+
+def owned(keys: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Packed keys as one array, and the row of each."""
+    return np.frombuffer(b"".join(keys), "<i8"), np.repeat(np.arange(len(keys)), np.fromiter(map(len, keys), np.int64, len(keys)) // 8)
+
+
+def used(pdf: pd.DataFrame, wanted: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """Each row that has stretches of the wanted keys (in order), and those: start, count, key."""
+    if not len(wanted) or not len(pdf):
+        return
+    key, row = owned(pdf["keys"])
+    place = np.frombuffer(b"".join(pdf.places), "<i4").reshape(-1, 2)
+    use = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
+    row, found = row[use], list(zip(*place[use].T.tolist(), key[use].tolist()))
+    edges = [*np.flatnonzero(np.diff(row, prepend=-1)).tolist(), len(row)]
+    for a, b in zip(edges, edges[1:]):
+        yield int(row[a]), found[a:b]
+
 
+def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The marked prefixes of some rows by block, with the smallest and the largest doc_id that have them."""
+    key, row = owned(pdf["keys"])
+    ids = _ids(pdf)[row]
+    found = pd.DataFrame({"block": pdf.block.to_numpy()[row], "key": key, "lo": ids, "hi": ids})
+    return found.groupby(["block", "key"], as_index=False, sort=False).agg({"lo": "min", "hi": "max"})
 
-def block_stretches(pdf: pd.DataFrame, repeated: pd.DataFrame, window: int, prefix: int) -> pd.DataFrame:
+
+def block_stretches(pdf: pd.DataFrame, repeated: pd.DataFrame, window: int) -> pd.DataFrame:
     """The distinct stretches of a block that mark a repeated prefix, with the smallest and the largest doc_id."""
-    known, ids, texts, keys = Hashes(), _ids(pdf), pdf.text.tolist(), repeated.key.to_numpy(np.int64)
+    ids, texts = _ids(pdf).tolist(), pdf.text.tolist()
     found: dict[bytes, list] = {}
-    keys = np.sort(keys)
-    for part, cut in parts(texts) if len(keys) else ():
-        doc, start, count, key = stretches(cut, known, window, prefix)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        use = keys[at] == key
-        for d, s, c, k in zip(doc[use].tolist(), start[use].tolist(), count[use].tolist(), key[use].tolist()):
-            text, i = b" ".join(cut[d][s : s + c + window - 1]), ids[part.start + d]
+    for d, places in used(pdf, np.sort(repeated.key.to_numpy(np.int64))):
+        words, i = texts[d].encode().split(), ids[d]
+        for s, c, k in places:
+            text = b" ".join(words[s : s + c + window - 1])
             if (row := found.get(text)) is None:
                 found[text] = [k, i, i]
             else:
@@ -205,37 +234,31 @@ def named(stretch: bytes) -> bytes:
     return xxhash.xxh128_digest(stretch)
 
 
-def block_removed(pdf: pd.DataFrame, table: pd.DataFrame, window: int, prefix: int, with_spans: bool) -> pd.DataFrame:
-    known, ids, texts = Hashes(), _ids(pdf), pdf.text.tolist()
+def block_removed(pdf: pd.DataFrame, table: pd.DataFrame, window: int, with_spans: bool) -> pd.DataFrame:
+    ids, texts = _ids(pdf).tolist(), pdf.text.tolist()
     firsts: dict[bytes, list] = {}
-    marks = np.unique(table.mark.to_numpy(np.int64))
     for name, at, first in zip(table.name, table["at"], table["first"]):
         firsts.setdefault(bytes(name), []).append((at, np.asarray(first, np.int64)))
+    repeated = dict(used(pdf, np.unique(table.mark.to_numpy(np.int64))))  # other prefixes have no repeats
     out = []
-    for part, cut in parts(texts):
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        begin = np.cumsum(sizes) - sizes
-        edge = np.zeros(int(sizes.sum()) + 1, np.int64)
-        if firsts:
-            doc, start, count, key = stretches(cut, known, window, prefix)
-            use = marks[np.minimum(np.searchsorted(marks, key), len(marks) - 1)] == key  # others have no repeats
-            for d, s, c in zip(doc[use].tolist(), start[use].tolist(), count[use].tolist()):
-                for at, first in firsts.get(named(b" ".join(cut[d][s : s + c + window - 1])), ()):
-                    i = ids[part.start + d]
-                    hit = np.flatnonzero(first < i) + (begin[d] + s + at) if i != NO_ID else ()
-                    if len(hit):
-                        np.add.at(edge, hit, 1)
-                        np.add.at(edge, hit + window, -1)
-        gone = np.cumsum(edge)[:-1] > 0
-        for d, words in enumerate(cut):
-            g = gone[begin[d] : begin[d] + len(words)]
-            n = int(g.sum())
-            kept = [w for w, x in zip(words, g.tolist()) if not x] if n else words
-            row = (pdf.doc_id.iloc[part.start + d], len(words), n, hashlib.sha256(b" ".join(kept)).hexdigest())
-            if with_spans:
-                e = np.flatnonzero(np.diff(np.r_[False, g, False])).reshape(-1, 2)
-                row += (b" ".join(kept).decode(), [{"start": a, "stop": b} for a, b in e.tolist()])
-            out.append(row)
+    for d, text in enumerate(texts):
+        words = kept = text.encode().split()
+        g = np.zeros(0, bool)
+        if d in repeated and ids[d] != NO_ID:
+            edge = np.zeros(len(words) + 1, np.int64)
+            for s, c, _ in repeated[d]:
+                for at, first in firsts.get(named(b" ".join(words[s : s + c + window - 1])), ()):
+                    hit = np.flatnonzero(first < ids[d]) + (s + at)
+                    np.add.at(edge, hit, 1)
+                    np.add.at(edge, hit + window, -1)
+            g = np.cumsum(edge)[:-1] > 0
+            kept = [w for w, x in zip(words, g.tolist()) if not x]
+        whole = b" ".join(kept)
+        row = (pdf.doc_id.iloc[d], len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest())
+        if with_spans:
+            e = np.flatnonzero(np.diff(np.r_[False, g, False])).reshape(-1, 2)
+            row += (whole.decode(), [{"start": a, "stop": b} for a, b in e.tolist()])
+        out.append(row)
     return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept", "spans"] * with_spans).astype({"doc_id": "Int64"})
 
 
@@ -250,10 +273,22 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = worker_texts(docs, id_col, text_col)
     n_blocks = block_count(rows, block_bytes=block_bytes)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))  # rows of one id or none spread out
-    marked = rows.groupBy("block").applyInPandas(lambda pdf: block_prefixes(pdf, window, prefix), "key long, lo long, hi long, block int")
+    n_buckets = min(n_blocks, MOST_BUCKETS)
+
+    def each(of):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield of(pdf)
+
+        return run
+
+    packed = rows.mapInPandas(each(lambda pdf: marks(pdf, window, prefix)), "doc_id long, text string, block int, places binary, keys binary")
+    rows = bucketed(packed, "marked_texts", "block", n_buckets, exact=True)  # texts are dealt once; what meets them is dealt likewise
+    marked = rows.select("block", "doc_id", "keys").mapInPandas(each(prefixes), "block int, key long, lo long, hi long")
     key = Window.partitionBy("key")
     repeated = marked.select("block", "key", F.min("lo").over(key).alias("lo"), F.max("hi").over(key).alias("hi")).where("lo < hi").select("block", "key")
-    found = rows.groupBy("block").cogroup(repeated.groupBy("block")).applyInPandas(lambda a, b: block_stretches(a, b, window, prefix), "block int, key long, stretch binary, lo long, hi long")
+    found = rows.groupBy("block").cogroup(repeated.repartition(n_buckets, "block").groupBy("block")).applyInPandas(lambda a, b: block_stretches(a, b, window), "block int, key long, stretch binary, lo long, hi long")
     found = written(found, "stretches")
     size = F.octet_length("stretch") + 16
     total = found.agg(F.sum(size)).first()[0] or 0
@@ -292,4 +327,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         one_node = rest.join(least, "stretch").where("first < hi").select("block", "mark", F.col("name_").alias("name"), "at", F.array("first").alias("first"))
         firsts = firsts_of(dealt).unionByName(one_node)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string, spans array<struct<start: long, stop: long>>" if with_spans else "")
-    return rows.groupBy("block").cogroup(firsts.groupBy("block")).applyInPandas(lambda a, b: block_removed(a, b, window, prefix, with_spans), schema)
+    return rows.groupBy("block").cogroup(firsts.repartition(n_buckets, "block").groupBy("block")).applyInPandas(lambda a, b: block_removed(a, b, window, with_spans), schema)
