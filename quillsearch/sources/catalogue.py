@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions import text as T
 from ..lexicons import CATALOGUE_COLUMNS
 from ..plans.index import Index
+from .quoted import read_quoted
 
 # The names under which an export is looked for, in order.
 EXPORT_NAMES = ["card_database.csv", "card_database.csv.gz", "card_database.zip", "card_database.csv.zip", "cards.csv", "cards.csv.gz"]
@@ -24,14 +25,14 @@ REFUSED = {".7z": "unpack the archive and give the CSV file in it", ".xlsx": "sa
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """A catalogue as strings, one column for each header name: CSV, CSV in gzip, or the first CSV file in a zip archive. Quotes are doubled, fields may
-    hold line breaks, an empty field is an empty string. Columns that the engine reads and the file lacks are null."""
+    hold line breaks, an empty field is an empty string; plain files are read by byte ranges. Columns that the engine reads and the file lacks are null."""
     for ending, advice in REFUSED.items():
         if path.lower().endswith(ending):
             raise ValueError(f"{path}: {ending} files can't be read; {advice}")
     if path.lower().endswith(".zip"):
         rows = _unzipped(spark, path)
     else:
-        rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+        rows = read_quoted(spark, path)
     rows = rows.na.fill("")
     return rows.withColumns({c: F.lit(None).cast("string") for c in CATALOGUE_COLUMNS if c not in rows.columns})
 
