@@ -49,11 +49,12 @@ def held(build):
 
 @dataclass
 class Index:
-    """slab_bits: scores are bounded for 2^slab_bits documents at a time."""
+    """slab_bits: scores are bounded for 2^slab_bits documents at a time. block_terms: terms of a block of the sorted dictionary, about."""
 
     cards: DataFrame
     lexicons: L.Lexicons
     slab_bits: int = 10
+    block_terms: int = 4096
 
     def _few(self, rows: list[tuple], schema: str) -> DataFrame:
         return rows_frame(self.cards, rows, schema)
@@ -275,11 +276,24 @@ class Index:
         order = Window.orderBy(F.desc("year"), F.col("number").try_cast("long").desc_nulls_last(), F.asc("doc"))
         return top.select("doc", "year", F.row_number().over(order).alias("rank"))
 
+    @held
+    def term_blocks(self) -> DataFrame:
+        """(block, k, term, df): the dictionary in order, dealt by ranges to blocks; k is a term's first letters, as many as a prefix has at least."""
+        n = max(1, -(-self.terms.count() // self.block_terms))
+        ranged = self.terms.select("term", "df").repartitionByRange(n, "term").sortWithinPartitions("term")
+        return ranged.select(F.spark_partition_id().alias("block"), F.substring("term", 1, L.PREFIX_MIN).alias("k"), "term", "df")
+
+    @held
+    def term_fences(self) -> DataFrame:
+        """(k, block, lo, hi): the first and the last term of each block, by their first letters."""
+        return self.term_blocks.groupBy("k", "block").agg(F.min("term").alias("lo"), F.max("term").alias("hi"))
+
     def prefix_terms(self, words: DataFrame) -> DataFrame:
-        """(word, term, r) for (word): of the first 400 terms in order that begin with it, the 24 most frequent."""
+        """(word, term, df, r) for (word): of the first 400 terms in order that begin with it, the 24 most frequent. A word's fences give the blocks where its
+        terms may lie, so letters that many terms begin with are as many blocks as they take."""
         long = words.where(F.length("word") >= L.PREFIX_MIN).distinct().withColumn("k", F.substring("word", 1, L.PREFIX_MIN))
-        ours = self.terms.select("term", "df", F.substring("term", 1, L.PREFIX_MIN).alias("k"))
-        hits = ours.join(long, "k").where(F.startswith("term", F.col("word")))
+        reached = long.join(self.term_fences, "k").where((F.col("hi") >= F.col("word")) & ((F.col("lo") <= F.col("word")) | F.startswith("lo", F.col("word"))))
+        hits = reached.select("word", "block").join(self.term_blocks, "block").where(F.startswith("term", F.col("word")))
         first = hits.withColumn("i", F.row_number().over(Window.partitionBy("word").orderBy("term"))).where(F.col("i") <= L.PREFIX_WINDOW)
         return first.withColumn("r", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("df"), "term"))).where(F.col("r") <= L.PREFIX_LIMIT).select("word", "term", "df", "r")
 

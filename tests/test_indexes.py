@@ -105,3 +105,22 @@ def test_trigram_index_against_a_scan(spark):
     plan = baseline.old_search(ix, queries)._jdf.queryExecution().toString()
     assert "don't" not in plan
     assert ix.gram_sizes.where(F.col("df") <= 0).count() == 0
+
+
+def test_prefixes_over_blocks_of_a_hot_key(spark):
+    rng = random.Random(9)
+    terms = {f"abc{i:04d}": rng.randrange(1, 9) for i in range(1500)} | {w: 3 for w in ("ab", "abb", "abc", "abd", "abdz", "zzz", "\u00e9t\u00e9")}
+    index = build_index(parts_catalogue(spark, SMALL))
+    index.block_terms = 50
+    index.__dict__["terms"] = spark.createDataFrame([(t, n, 1.0) for t, n in terms.items()], "term string, df long, idf double")
+    words = ["abc", "abc0", "abc09", "abc1499", "abc15", "abd", "ab", "abcd", "zzz", "\u00e9t\u00e9", "none"]
+    got = {(r.word, r.r): (r.term, r.df) for r in index.prefix_terms(spark.createDataFrame([(w,) for w in words + ["abc"]], "word string")).collect()}
+    want = {}
+    for w in words:
+        first = [t for t in sorted(terms) if t.startswith(w)][: L.PREFIX_WINDOW] if len(w) >= L.PREFIX_MIN else []
+        want |= {(w, r): (t, terms[t]) for r, t in enumerate(sorted(first, key=lambda t: (-terms[t], t))[: L.PREFIX_LIMIT], 1)}
+    assert got == want
+    hot = index.term_fences.where("k = 'abc'").count()
+    assert hot > 15 and index.term_blocks.select("block").distinct().count() >= hot  # one key, many tasks
+    sizes = [r["count"] for r in index.term_blocks.groupBy("block").count().collect()]
+    assert max(sizes) <= 4 * index.block_terms
