@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 
@@ -25,22 +26,15 @@ def told(answer: dict) -> str:
     return "\n".join([*([answer["new"]["message"]] if answer["new"]["message"] else []), *rows, f"{len(rows)} results via {answer['new']['strategy']}" if rows else "no results"])
 
 
-def prompted(service: Service) -> None:
-    """Searches for what is typed, until a blank line, quit, exit or the end."""
-    while True:
-        try:
-            raw = input("search> ").strip()
-        except (EOFError, KeyboardInterrupt):
-            return
-        if raw.lower() in ("", "quit", "exit"):
-            return
-        print(told(service.search(raw)))
+def answers(service: Service, lines: Iterable[str]) -> Iterator[str]:
+    """What each line asks for, told; blank lines ask for nothing."""
+    return (told(service.search(raw)) for raw in map(str.strip, lines) if raw)
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="quillsearch")
     parser.add_argument("command", choices=["search", "suggest", "compare", "serve"])
-    parser.add_argument("words", nargs="*", help="the query; without one, search asks for queries")
+    parser.add_argument("words", nargs="*", help="the query; without one, search reads a query from each line of its input")
     parser.add_argument("--catalogue", help="the catalogue file; by default the one in ./data")
     parser.add_argument("--log", help="a query log (query, times) for suggestions")
     parser.add_argument("--host", default="127.0.0.1")
@@ -54,7 +48,8 @@ def main(argv: list[str] | None = None) -> None:
     service = Service.of_file(spark, path, read_query_log(spark, args.log) if args.log else None)
     raw = " ".join(args.words)
     if args.command == "search":
-        print(told(service.search(raw))) if raw else prompted(service)
+        for answer in answers(service, [raw] if raw else sys.stdin):
+            print(answer, flush=True)
     elif args.command == "suggest":
         print("\n".join(service.suggest(raw)["suggestions"]))
     elif args.command == "compare":
