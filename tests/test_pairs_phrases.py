@@ -17,6 +17,17 @@ def catalogue(spark):
     return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in COLUMNS)), [f" {r[1]} {r[2]} " for r in rows], words
 
 
+def test_pairs_are_counted_in_pieces(spark):
+    """Sets of both kinds, with themselves, with terms that nothing holds; the sets of a block are copied to pieces of pairs, not to pairs."""
+    cards, texts, words = catalogue(spark)
+    index = build_index(cards)
+    index.piece_pairs = 100
+    pairs = [(a, b) for a in [*words, "none"] for b in [*words, "none"]]
+    asked = index.pair_sizes(spark.createDataFrame(pairs, "a string, b string"))
+    assert "bitmap_and_agg" not in asked._jdf.queryExecution().toString()
+    assert {(r.a, r.b): r.n for r in asked.collect()} == {(a, b): sum(f" {a} " in t and f" {b} " in t for t in texts) for a, b in pairs}
+
+
 def test_phrases_are_met_by_runs_of_words(spark, monkeypatch):
     """Phrases sent to the texts, dealt by a shuffle, and longer than what they are met by; no table of places of all words is written."""
     cards, texts, words = catalogue(spark)
