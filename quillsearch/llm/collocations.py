@@ -4,14 +4,13 @@ A sketch bounds counts from above: every phrase adds to a cell that its hash nam
 are summed where a shuffle brings them together, and what is left is a bit for each cell, whether it reached the least count. Pairs come
 first; longer phrases are counted only where all pairs in them are frequent. Every phrase whose cell is full is a candidate, and
 none that is frequent is missed. A share of the texts, by their hash, names its candidates first, so that the tasks over the others need
-to name only what that share doesn't hold, which for a frequent phrase is seldom. Candidates are then counted exactly: they are dealt to loads of bounded size, of each load's
-languages an automaton is compiled with a blank on either side of each phrase, tasks run through what the texts have of stretches of frequent
-pairs (written once, as no candidate lies elsewhere) and count matches, overlaps included, and the sums decide. Hashes of 64 bits tell
-phrases apart where candidates are named.
+to name only what that share doesn't hold, which for a frequent phrase is seldom. Candidates are counted in the pass that names them: a task sums
+their places by hash in numpy, overlaps included, slices of hashes are added up where a shuffle brings them together, and the sums decide. The work is
+the same for each byte of text however many candidates there are. Hashes of 64 bits, of language and words, tell phrases apart: that any two of 10^8
+candidates share one has a probability of 3 in 10,000.
 
 Memory is bounded at any size: cells up to 2^MAX_BITS (a table of 2^MAX_BITS / 8 bytes is broadcast); larger corpora are sketched in parts,
-a part holding the phrases of one class of hashes, and each part reads the texts again. The number of phrases that reach a fixed count
-grows with the corpus, and with it the loads that scan the texts of their languages: for far larger corpora raise min_count with it.
+a part holding the phrases of one class of hashes, and each part reads the texts again.
 """
 
 from __future__ import annotations
@@ -33,9 +32,11 @@ from .common import give_back, written
 
 MIN_COUNT, MOST_WORDS, TOP = 30, 4, 2000
 COVERED_PERCENT = 80
-MAX_BITS, SLICE_BITS = 27, 20
-#: Bytes of text for each cell of a sketch; phrases in one load of automata; words whose hashes a worker remembers.
-CELL_BYTES, LOAD_PHRASES, CACHE_WORDS = 16, 400_000, 150_000
+MAX_BITS, SLICE_BITS = 30, 20
+#: Bytes of text for each cell of a sketch; phrases whose sums a task holds before it hands them on; words whose hashes a worker remembers.
+CELL_BYTES, LOAD_PHRASES, CACHE_WORDS = 16, 2_000_000, 150_000
+#: Bytes of text for each slice of the candidates' sums.
+SUMS_BYTES = 32 << 20
 #: One text in so many names its candidates before the others, which are told up to TOLD of their hashes.
 FIRST_SHARE, TOLD = 8, 1 << 20
 #: Characters of text that a task takes up at a time.
@@ -128,21 +129,6 @@ class Batch:
         return found("candidate", lang=[self.langs[k] for k in self.lang[at].tolist()], phrase=cut, n=self.hash[n][at].view(np.int64).tolist())
 
 
-    def stretches(self, pair: np.ndarray) -> pd.DataFrame:
-        """For each language, the runs of words that pairs hold together (pair: the places where one begins), as guarded text."""
-        after = np.zeros(len(self.words), bool)
-        after[pair] = True
-        kept = after.copy()
-        kept[1:] |= after[:-1]
-        names = [b"\n", *self.numbers.names[1:]]  # a line feed in place of the end of a piece
-        texts = []
-        for i in range(len(self.langs)):
-            at = np.flatnonzero(kept & (self.lang == i))
-            ends = np.flatnonzero(~after[at]) + 1
-            texts.append((b"\n " + b" ".join([names[k] for k in np.insert(self.words[at], ends, 0).tolist()]) + b" ").decode("utf-8", "replace"))
-        return found("text", lang=self.langs, phrase=texts)
-
-
 class Sketch:
     """Which cells there are; part: the class of hashes that this one is for."""
 
@@ -205,9 +191,63 @@ def paired(b: Batch, sketch: Sketch, full: np.ndarray) -> list[np.ndarray]:
     return [np.flatnonzero(x) for x in out]
 
 
-def distinct_phrases(b: Batch, at: np.ndarray, n: int, seen: dict[int, np.ndarray], told: np.ndarray) -> pd.DataFrame:
-    """Those that neither the task has named yet nor told (sorted hashes) holds."""
-    h, first = np.unique(b.hash[n][at], return_index=True)
+class Sums:
+    """Counts by hash: sorted, with more waiting until they are as many."""
+
+    def __init__(self):
+        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.more = 0
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        self.waiting.append((hashes, counts))
+        self.more += len(hashes)
+        if self.more > max(len(self.hashes), 1 << 16):
+            self.merge()
+
+    def merge(self) -> None:
+        if self.more:
+            h = np.concatenate([self.hashes, *[x for x, _ in self.waiting]])
+            n = np.concatenate([self.counts, *[x for _, x in self.waiting]])
+            order = np.argsort(h)
+            h = h[order]
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            self.hashes, self.counts = h[starts], np.add.reduceat(n[order], starts)
+        self.waiting, self.more = [], 0
+
+    def handed_on(self, slice_bits: int) -> pd.DataFrame:
+        """(slice, cells, counts): all that is held, a row for each of 2^slice_bits slices of hashes; nothing is held then."""
+        self.merge()
+        of = (self.hashes >> np.uint64(64 - slice_bits)).astype(np.int64) if slice_bits else np.zeros(len(self.hashes), np.int64)
+        slices, starts = np.unique(of, return_index=True)
+        ranges = list(zip(starts.tolist(), [*starts[1:].tolist(), len(of)]))
+        out = found("sums", slice=slices.tolist(), cells=[self.hashes[a:b].tobytes() for a, b in ranges], counts=[self.counts[a:b].tobytes() for a, b in ranges])
+        self.hashes, self.counts = self.hashes[:0], self.counts[:0]
+        return out
+
+
+def added_up(rows: DataFrame, slice_bits: int, min_count: int) -> DataFrame:
+    """(n, a): the hashes that reach the least count, with their counts. rows: FOUND."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, Sums] = {}
+        for pdf in batches:
+            for s, cells, counts in zip(pdf.slice, pdf.cells, pdf.counts):
+                held.setdefault(s, Sums()).add(np.frombuffer(cells, np.uint64), np.frombuffer(counts, np.int64))
+        while held:
+            _, sums = held.popitem()
+            sums.merge()
+            enough = sums.counts >= min_count
+            yield pd.DataFrame({"n": sums.hashes[enough].view(np.int64), "a": sums.counts[enough]})
+        give_back()
+
+    return rows.where("kind = 'sums'").select("slice", "cells", "counts").repartition(1 << slice_bits, "slice").mapInPandas(add, "n long, a long")
+
+
+def distinct_phrases(b: Batch, at: np.ndarray, n: int, seen: dict, told: np.ndarray) -> pd.DataFrame:
+    """Those that neither the task has named yet nor told (sorted hashes) holds; all are added to the task's sums."""
+    h, first, times = np.unique(b.hash[n][at], return_index=True, return_counts=True)
+    seen["sums"].add(h, times)
     old = np.isin(h, seen[n], assume_unique=True) if n in seen else np.zeros(len(h), bool)
     if len(told):
         old |= told[np.minimum(np.searchsorted(told, h), len(told) - 1)] == h
@@ -217,28 +257,30 @@ def distinct_phrases(b: Batch, at: np.ndarray, n: int, seen: dict[int, np.ndarra
 
 @dataclass
 class Part:
-    """phrases (lang, phrase): all frequent ones of the part and few others; words (lang, word, n): its words that are frequent and some others, a row
-    for each task that met them; of the first part also sizes (lang, n): numbers of words, and stretches (lang, text)."""
+    """phrases (lang, phrase, a): the frequent ones of the part; words (lang, word, n): its words that are frequent and some others, a row
+    for each task that met them; of the first part also sizes (lang, n): numbers of words."""
 
     phrases: DataFrame
     words: DataFrame
     sizes: DataFrame
-    stretches: DataFrame
 
 
-def candidate_phrases(texts: DataFrame, min_count: int, bits: int, part: int, parts: int) -> Part:
-    """texts: (lang, text)."""
+def frequent_phrases(texts: DataFrame, min_count: int, bits: int, part: int, parts: int, slice_bits: int, held: int) -> Part:
+    """texts: (lang, text). held: phrases whose sums a task holds at a time; they are handed on in 2^slice_bits slices."""
     sketch = Sketch(bits, min_count, part, parts)
     context = texts.sparkSession.sparkContext
 
     def over(step, of: DataFrame = texts, most: int = MOST_WORDS):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cut, seen, sums = Cutter(), {}, {}
+            cut, seen, sums = Cutter(), {"sums": Sums()}, {}
             for pdf in batches:
                 for s in chunks(pdf.text, CHUNK):
                     b = cut(pdf.text.iloc[s].tolist(), pdf.lang.iloc[s].tolist(), most)
                     yield from step(b, seen, sums)
+                    if len(seen["sums"].hashes) + seen["sums"].more > held:
+                        yield seen["sums"].handed_on(slice_bits)
                     give_back()
+            yield seen["sums"].handed_on(slice_bits)
             yield found("word", lang=[lang for lang, _ in sums], phrase=[word.decode("utf-8", "replace") for _, word in sums], n=list(sums.values()))
 
         return of.mapInPandas(run, FOUND)
@@ -261,10 +303,7 @@ def candidate_phrases(texts: DataFrame, min_count: int, bits: int, part: int, pa
 
     def naming(told):
         def name(b: Batch, seen: dict, sums: dict) -> Iterator[pd.DataFrame]:
-            places = paired(b, sketch, pairs.value)
-            if part == 0:
-                yield b.stretches(places[0])
-            for n, at in enumerate(places, 2):
+            for n, at in enumerate(paired(b, sketch, pairs.value), 2):
                 h = b.hash[n][at]
                 mine = sketch.mine(h) if n == 2 else sketch.mine(h) & sketch.frequent(h, longer.value)
                 yield distinct_phrases(b, at[mine], n, seen, told.value)
@@ -275,66 +314,11 @@ def candidate_phrases(texts: DataFrame, min_count: int, bits: int, part: int, pa
     head = written(over(naming(context.broadcast(np.zeros(0, np.uint64))), texts.where(early)), "first-candidates")
     told = head.where("kind = 'candidate'").select("n").distinct().limit(TOLD).toArrow()["n"].to_numpy().view(np.uint64)  # what isn't told is only named again
     rest = written(over(naming(context.broadcast(np.sort(told))), texts.where(~early)), "more-candidates")
-    named = head.unionByName(rest).select("kind", "lang", "phrase")
+    both = head.unionByName(rest)
+    names = both.where("kind = 'candidate'").select("n", "lang", "phrase")
+    phrases = names.join(added_up(both, slice_bits, min_count), "n").select("n", "lang", "phrase", "a").distinct().select("lang", "phrase", "a")
     of = lambda rows, kind: rows.where(F.col("kind") == kind)
-    return Part(of(named, "candidate").select("lang", "phrase").distinct(), of(second, "word").select("lang", F.col("phrase").alias("word"), "n"), of(first, "size").select("lang", "n"), of(named, "text").select("lang", F.col("phrase").alias("text")))
-
-
-def loads(candidates: DataFrame, size: int) -> DataFrame:
-    """candidates with load: languages are packed together or split so that a load has about size phrases."""
-    sizes = candidates.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # a row a language
-    plan, load, room = [], 0, size
-    for r in sizes:
-        if r.n > room and room < size:
-            load, room = load + 1, size
-        pieces = max(1, -(-r.n // size))
-        plan.append((r.lang, load, pieces))
-        load, room = (load + pieces, size) if pieces > 1 else (load, room - r.n)
-    names = candidates.sparkSession.createDataFrame(plan, "lang string, load int, pieces int")
-    return candidates.join(F.broadcast(names), "lang").select("lang", "phrase", (F.col("load") + F.pmod(F.xxhash64("phrase"), F.col("pieces"))).cast("int").alias("load"))
-
-
-_automata: dict[str, dict] = {}
-
-
-def automata(key: str, phrases) -> dict:
-    """lang: (automaton of its guarded phrases, the phrases); a worker holds one load at a time."""
-    import ahocorasick
-
-    if key not in _automata:
-        _automata.clear()
-        give_back()
-        made = {}
-        for lang, of in phrases.value.items():
-            a = ahocorasick.Automaton()
-            for i, p in enumerate(of):
-                a.add_word(f" {p} ", i)
-            a.make_automaton()
-            made[lang] = (a, of)
-        _automata[key] = made
-    return _automata[key]
-
-
-def scanned(stretches: DataFrame, load: DataFrame, key: str) -> DataFrame:
-    """(lang, phrase, n): occurrences of a load's phrases, a row for each task that has any."""
-    rows = load.toArrow()  # LOAD_PHRASES rows
-    by_lang: dict[str, list[str]] = {}
-    for lang, phrase in zip(rows["lang"].to_pylist(), rows["phrase"].to_pylist()):
-        by_lang.setdefault(lang, []).append(phrase)
-    sent = stretches.sparkSession.sparkContext.broadcast(by_lang)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made, sums = automata(key, sent), {}
-        for pdf in batches:
-            for lang, text in zip(pdf.lang, pdf.text):
-                a, phrases = made[lang]
-                total = sums.setdefault(lang, np.zeros(len(phrases), np.int64))
-                total += np.bincount(np.fromiter((i for _, i in a.iter(text)), np.int64), minlength=len(phrases))
-        for lang, total in sums.items():
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": pd.Series([lang] * len(at), dtype=object), "phrase": pd.Series([made[lang][1][i] for i in at.tolist()], dtype=object), "n": total[at]})
-
-    return stretches.where(F.col("lang").isin(list(by_lang))).mapInPandas(run, "lang string, phrase string, n long")
+    return Part(phrases, of(second, "word").select("lang", F.col("phrase").alias("word"), "n"), of(first, "size").select("lang", "n"))
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, text_col: str = "text", lang_col: str = "lang", max_bits: int = MAX_BITS, cell_bytes: int = CELL_BYTES, load_phrases: int = LOAD_PHRASES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -343,17 +327,12 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, text_col: str = "
     total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     bits = min(max_bits, max(8, math.ceil(math.log2(max(total, 1) / cell_bytes + 1))))
     parts = max(1, -(-total // (cell_bytes << max_bits)))
-    made = [candidate_phrases(texts, min_count, bits, p, parts) for p in range(parts)]
+    slice_bits = max(0, math.ceil(math.log2(max(total, 1) / SUMS_BYTES)))
+    made = [frequent_phrases(texts, min_count, bits, p, parts, slice_bits, load_phrases) for p in range(parts)]
     together = lambda name: reduce(DataFrame.unionByName, [getattr(m, name) for m in made])
     words = together("words").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     sizes = made[0].sizes.groupBy("lang").agg(F.sum("n").alias("n"))
-    candidates = written(together("phrases"), "candidates")
-    dealt = written(loads(candidates, load_phrases).repartition("load"), "loads")
-    numbers = sorted(r.load for r in dealt.select("load").distinct().collect())
-    own = texts.sparkSession.sparkContext.applicationId
-    counts = [scanned(made[0].stretches, dealt.where(F.col("load") == n).select("lang", "phrase"), f"{own}-{id(dealt)}-{n}") for n in numbers]
-    met = reduce(DataFrame.unionByName, counts) if counts else candidates.select("lang", "phrase", F.lit(0).cast("long").alias("n"))
-    return written(met.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count), "phrase-counts"), words, sizes
+    return written(together("phrases"), "phrase-counts"), words, sizes
 
 
 def exact(c: str | Column) -> Column:

@@ -94,3 +94,31 @@ def test_counts_that_pass_64_bits(spark, monkeypatch):
     got = {r.phrase: r.score for r in C.collocations(None).collect()}
     score = lambda a, left, right: 2000000 * a // (left + right)
     assert got == {"a b": score(big, big + 5, big + 7), "b c": score(big - 1, big + 7, big + 9), "a b c": min(score(big // 10 * 8, big + 5, big - 1), score(big // 10 * 8, big, big + 9))} or 100 * (big // 10 * 8) >= 80 * (big - 1)
+
+
+def test_the_texts_are_read_as_often_however_many_candidates(spark):
+    """Candidates that a task holds few of at a time take no more jobs than those that it holds at once."""
+    context, jobs = spark.sparkContext, {}
+    for held in (7, 1 << 20):
+        context.setJobGroup(f"held-{held}", "")
+        assert C.phrase_counts(frame(spark, made(3, 300)), 7, load_phrases=held)[0].count() > 100
+        jobs[held] = len(context.statusTracker().getJobIdsForGroup(f"held-{held}"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[7] <= jobs[1 << 20] + 3
+
+
+def test_sums_by_hash():
+    rng = C.np.random.default_rng(1)
+    sums, want = C.Sums(), Counter()
+    for _ in range(50):
+        h, n = C.np.unique(rng.integers(0, 1 << 63, 3000, C.np.uint64) % C.np.uint64(60_000) << C.np.uint64(48), return_counts=True)
+        want.update(dict(zip(h.tolist(), n.tolist())))
+        sums.add(h, n)
+    rows = sums.handed_on(3)
+    assert len(sums.hashes) == 0 and len(rows) == 8
+    got = {}
+    for part, cells, counts in zip(rows.slice, rows.cells, rows.counts):
+        of = C.np.frombuffer(cells, C.np.uint64)
+        assert set((of >> C.np.uint64(61)).tolist()) == {part}
+        got.update(zip(of.tolist(), C.np.frombuffer(counts, C.np.int64).tolist()))
+    assert got == want
