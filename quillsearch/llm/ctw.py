@@ -7,7 +7,7 @@ posterior weights of context-tree weighting: P_w = 1/2 P_kt + 1/2 product of P_w
 training texts and stay as they are while texts are scored, so a byte's probability depends on its gram alone (DEPTH bytes
 and itself) and is computed once for each gram that occurs.
 
-Texts are dealt into blocks by a hash of the row, once. A block's distinct grams leave it packed, one row for each context of
+Texts are dealt into blocks by a hash of the row, once, and each block to a task of its own. A block's distinct grams leave it packed, one row for each context of
 three bytes, and come back with their probabilities; no model of the corpus is ever held in one place. Below three bytes of
 context the tree is cut by those bytes: a context has 2 ** 24 distinct grams at most at DEPTH 5, and one that many blocks share is
 merged in parts and answered in parts. The nodes of two bytes are summed by DataFrame aggregates; only those of depth 0 and 1, of
@@ -20,11 +20,13 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .common import block_count, give_back, worker_texts, written
@@ -36,9 +38,13 @@ BLOCK_BYTES = 24 << 20
 CHUNK_BYTES = 1 << 20
 #: Packed grams that one task holds; a context with more of them in all blocks is merged and answered in parts.
 BUCKET_BYTES = 12 << 20
+#: Words of a block that leave a task at a time.
+WORDS = 1 << 16
 END = b"\n"
 HALF = math.log(0.5)
 TABLE = 1 << 16
+COUNTS = pa.schema({"block": pa.int32(), "three": pa.int64(), "keys": pa.binary(), "held": pa.binary(), "word": pa.binary(), "n": pa.int64()})
+SCORES = pa.schema({"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "n_bytes": pa.int64(), "bits_per_byte": pa.float64()})
 
 
 def spelled(text: str) -> list[bytes]:
@@ -66,15 +72,21 @@ def grams(streams: list[bytes], depth: int = DEPTH) -> np.ndarray:
     return out[~skip]
 
 
-def parts(texts: list[str]) -> Iterator[slice]:
+def parts(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts of so many rows at a time as have CHUNK_BYTES; the others stay in Arrow's memory."""
     start, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= CHUNK_BYTES:
-            yield slice(start, i + 1)
+    for i, size in enumerate(pc.binary_length(rows.column("text")).to_pylist()):
+        total += size
+        if total >= CHUNK_BYTES or i + 1 == len(rows):
+            part = rows.slice(start, i + 1 - start)
+            yield part.column("doc_id").to_pylist(), part.column("text").to_pylist()
             start, total = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+
+
+def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
+    """Columns of the schema that are not given are null."""
+    size = len(next(iter(columns.values())))
+    return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +99,27 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts[order], starts)
 
 
+class Tally:
+    """Distinct keys and the sums of their counts. Runs of keys are merged as they come, so that each is at most half of the one before."""
+
+    def __init__(self):
+        self.runs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def merge(self) -> None:
+        (a, n), (b, m) = self.runs.pop(), self.runs.pop()
+        self.runs.append(summed(np.concatenate([a, b]), np.concatenate([n, m])))
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.runs.append((keys, counts))
+        while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
+            self.merge()
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.runs) > 1:
+            self.merge()
+        return self.runs[0]
+
+
 def packed(code: np.ndarray, values: np.ndarray, kind: str, depth: int) -> pd.DataFrame:
     """A row for each context of three bytes of the sorted grams: three, keys (the grams' other bytes), values."""
     width = 8 * (depth - CUT + 1)
@@ -106,32 +139,31 @@ def unpacked(rows: pd.DataFrame, depth: int) -> np.ndarray:
     return np.repeat(rows.three.to_numpy(np.int64) << 8 * (depth - CUT + 1), sizes) | keys
 
 
-def block_counts(pdf: pd.DataFrame, depth: int = DEPTH) -> pd.DataFrame:
-    """Of one block: its distinct grams, packed, and its words, and how often its training texts have them."""
+def block_counts(batches: Iterator[pa.RecordBatch], depth: int = DEPTH) -> Iterator[pa.RecordBatch]:
+    """Of one block: its distinct grams, packed, and its words, and how often its training texts have them. The task holds these and
+    a chunk of texts, spelled; the words leave it in pieces."""
     give_back()
-    held: set[bytes] = set()
     counted: Counter[bytes] = Counter()
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    texts, train = pdf.text.tolist(), [is_training(None if pd.isna(i) else int(i)) for i in pdf.doc_id]
-    for part in parts(texts):
-        streams: list[list[bytes]] = [[], []]
-        for text, learn in zip(texts[part], train[part]):
-            w = spelled(text)
-            if learn:
-                counted.update(w)
-            else:
-                held.update(w)
-            streams[learn].append(b" ".join(w) + END)
-        for learn in (0, 1):
-            if streams[learn]:
-                u, n = np.unique(grams(streams[learn], depth), return_counts=True)
-                keys.append(u)
-                counts.append(n * learn)
-    code, n = summed(np.concatenate(keys), np.concatenate(counts))
-    del keys, counts
-    counted.update(dict.fromkeys(held.difference(counted), 0))
-    words = pd.DataFrame({"word": list(counted), "n": list(counted.values())})
-    return pd.concat([packed(code, n, "<u4", depth), words]).assign(block=int(pdf.block.iloc[0]))[["block", "three", "keys", "held", "word", "n"]].astype({"three": "Int64", "n": "Int64"})
+    tally, block = Tally(), 0
+    for rows in batches:
+        block = rows.column("block")[0].as_py()
+        for ids, texts in parts(rows):
+            streams: list[list[bytes]] = [[], []]
+            for doc_id, text in zip(ids, texts):
+                w, learn = spelled(text), is_training(doc_id)
+                counted.update(w if learn else dict.fromkeys(w, 0))
+                streams[learn].append(b" ".join(w) + END)
+            for learn in (0, 1):
+                if streams[learn]:
+                    u, n = np.unique(grams(streams[learn], depth), return_counts=True)
+                    tally.add(u, n * learn)
+    packs = packed(*tally.all(), "<u4", depth)
+    del tally
+    yield batch(COUNTS, {"block": np.full(len(packs), block), "three": packs.three.to_numpy(), "keys": packs["keys"].tolist(), "held": packs.held.tolist()})
+    del packs
+    words = iter(counted.items())
+    while piece := list(islice(words, WORDS)):
+        yield batch(COUNTS, {"block": np.full(len(piece), block), "word": [w for w, _ in piece], "n": [n for _, n in piece]})
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -350,7 +382,14 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
     rows = worker_texts(docs, id_col, text_col)
     n_blocks = block_count(rows, block_bytes=block_bytes)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))  # rows of one id or none spread out
-    counted = written(rows.groupBy("block").applyInPandas(lambda pdf: block_counts(pdf, depth), "block int, three long, keys binary, held binary, word binary, n long"), "block-counts")
+
+    def by_block(df: DataFrame) -> GroupedData:  # a task sorts one block: by a hash of its number several would fall to one task
+        return df.repartitionById(n_blocks, "block").groupBy("block")
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return block_counts(batches, depth)
+
+    counted = written(by_block(rows).applyInArrow(counts, "block int, three long, keys binary, held binary, word binary, n long"), "block-counts")
     of_grams, of_words = counted.where("three is not null").select("block", "three", "keys", "held"), counted.where("word is not null").select("block", "word", "n")
     by_word = written(of_words.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
     total = by_word.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
@@ -361,30 +400,28 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
     known = known.unionByName(words)
     norm = n_train + 0.1 * (distinct + 1)
 
-    def score(pdf: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    def score(rows: pa.Table, table: pa.Table) -> pa.Table:
         give_back()
-        is_gram = table.three.notna().to_numpy()
-        packs = table[is_gram]
-        find, logp = Lookup(unpacked(packs, depth)), np.frombuffer(b"".join(packs.logp), "<f4").astype(np.float64)
-        counts = dict(zip(table.word[~is_gram], table.c[~is_gram].astype(np.int64)))
-        del table, packs, is_gram
-        texts, out = pdf.text.tolist(), []
-        for part in parts(texts):
-            cut = [spelled(t) for t in texts[part]]
+        packs = table.select(["three", "keys", "logp"]).filter(pc.is_valid(table.column("three"))).to_pandas()
+        find, logp = Lookup(unpacked(packs, depth)), np.frombuffer(b"".join(packs.logp), "<f4")
+        del packs
+        counts: dict[bytes, int] = {}
+        for piece in table.select(["word", "c"]).to_batches():
+            counts.update(zip(piece.column("word").to_pylist(), piece.column("c").to_pylist()))
+        out = []
+        for ids, texts in parts(rows):
+            cut = [spelled(t) for t in texts]
             streams = [b" ".join(x) + END for x in cut]
             sizes = np.fromiter(map(len, streams), np.int64, len(streams))
-            value = np.add.reduceat(logp[find(grams(streams, depth))], np.cumsum(sizes) - sizes)
+            value = np.add.reduceat(logp[find(grams(streams, depth))].astype(np.float64), np.cumsum(sizes) - sizes)
             n = np.fromiter(map(len, cut), np.int64, len(cut))
             c = np.fromiter(map(counts.__getitem__, chain.from_iterable(cut)), np.float64, int(n.sum()))
             owner = np.repeat(np.arange(len(cut)), n)
             base = np.bincount(owner, np.log10((c + 0.1) / norm), len(cut)) + math.log10((n_docs + 0.1) / norm)
             seen = np.bincount(owner, c > 0, len(cut)).astype(np.int64) + (n_docs > 0)
-            ids = pdf.doc_id.iloc[part]
-            held = [pd.notna(i) and not is_training(int(i)) for i in ids]
-            out.append(pd.DataFrame({"doc_id": ids.astype("Int64"), "held_out": held, "n_tokens": n + 1, "n_known": seen, "train_tokens": n_train, "base_score": base, "score": value, "n_bytes": sizes, "bits_per_byte": -value / math.log10(2) / sizes}))
-        del find, logp, counts
-        give_back()
-        return pd.concat(out)
+            held = [i is not None and not is_training(i) for i in ids]
+            out.append(batch(SCORES, {"doc_id": ids, "held_out": held, "n_tokens": n + 1, "n_known": seen, "train_tokens": np.full(len(ids), n_train), "base_score": base, "score": value, "n_bytes": sizes, "bits_per_byte": -value / math.log10(2) / sizes}))
+        return pa.Table.from_batches(out, SCORES)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(score, schema)
+    return by_block(rows).cogroup(by_block(known)).applyInArrow(score, schema)

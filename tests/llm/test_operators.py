@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -225,6 +226,36 @@ def test_ctw_next_bytes_sum_to_one(spark):
     assert math.isclose((10**logp).sum(), 1.0, rel_tol=1e-9)
 
 
+def test_ctw_tasks_hold_one_block(spark, docs):
+    from pyspark.sql import functions as F
+
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] // 12
+    n_blocks = ctw.block_count(docs, block_bytes=size)
+    tasks = {r.task for r in ctw.scores(docs, block_bytes=size).select(F.spark_partition_id().alias("task")).collect()}
+    assert len(tasks) == n_blocks > 4  # the session shuffles to 4
+
+
+def test_ctw_block_is_not_held_whole(monkeypatch):
+    """Four times the text of the same words takes no more memory."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", 1 << 15)
+    rng, words = random.Random(3), [f"word{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=200)) for _ in range(50)]
+
+    def peak(times):
+        batches = (pa.record_batch({"doc_id": list(range(50)), "text": [t[k:] + t[:k] for t in texts], "block": pa.array([7] * 50, pa.int32())}) for k in range(times))
+        tracemalloc.start()
+        got = [(r["word"], r["n"]) for out in ctw.block_counts(batches) for r in out.select(["block", "word", "n"]).to_pylist() if r["block"] == 7 and r["word"]]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, sum(n for _, n in got)
+
+    peak(1)
+    (few, n), (many, m) = peak(1), peak(4)
+    assert m > 3.9 * n and many < 1.5 * few
+
+
 def test_ctw_learns(docs):
     held = [r for r in ctw.scores(docs, block_bytes=200000).collect() if r.held_out]
     assert sum(r.score for r in held) / sum(r.n_bytes for r in held) > -3 * math.log10(2)  # under three bits a byte
