@@ -65,7 +65,7 @@ def build(index: Index, log: DataFrame | None = None, verify: bool = True) -> Da
 class Completions:
     """What completes a prefix, worked out for every prefix that there is.
 
-    tops (kind, key, phrase, weight): the best limit + 1 phrases that begin with key (kind 0, of the first SUGGEST_WINDOW in order) or have a word
+    tops (kind, key, phrase, weight): the best limit + 1 phrases that begin with key (kind 0, of all or of the first window in order) or have a word
     that does (kind 1); one more than are shown, as what was typed is no completion of itself. prefixes (prefix, word) and phrases (word, phrase,
     weight) lead from the last of several words to the phrases that the words before it are looked for in."""
 
@@ -81,13 +81,15 @@ def prefixes_of(rows: DataFrame, column: str, least: int, name: str) -> DataFram
     return long.withColumn(name, F.explode(F.transform(F.sequence(F.lit(least), F.length(column)), lambda n: F.substring(column, F.lit(1), n))))
 
 
-def completions(suggestions: DataFrame, limit: int = L.SUGGEST_LIMIT) -> Completions:
-    """suggestions: (phrase, weight). No window sees more of a key's rows than each task's first few: the order that a window cuts at is applied
+def completions(suggestions: DataFrame, limit: int = L.SUGGEST_LIMIT, window: int | None = L.SUGGEST_WINDOW) -> Completions:
+    """suggestions: (phrase, weight). window: how many phrases in order, of those that begin with a key, come before those with a word that does, as in the
+    engine this one matches; None: all of them, the heaviest first however many there are. No window sees more of a key's rows than each task's first few: the order that a window cuts at is applied
     before its exchange too."""
     best = Window.partitionBy("key").orderBy(F.desc("weight"), F.length("phrase"), "phrase")
     top = lambda rows, kind: rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= limit + 1).select(F.lit(kind).alias("kind"), "key", "phrase", "weight")
     begun = prefixes_of(suggestions.select("phrase", "weight"), "phrase", L.SUGGEST_MIN_CHARS, "key")
-    begun = begun.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("phrase"))).where(F.col("i") <= L.SUGGEST_WINDOW)
+    if window is not None:
+        begun = begun.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("phrase"))).where(F.col("i") <= window)
     phrases = written(suggestions.select(F.explode(F.array_distinct(F.split("phrase", " "))).alias("word"), "phrase", "weight"), "phrase-words")
     held = prefixes_of(phrases, "word", L.SUGGEST_MIN_CHARS, "key").select("key", "phrase", "weight").distinct()
     prefixes = written(prefixes_of(phrases.select("word").distinct(), "word", 1, "prefix").select("prefix", "word"), "word-prefixes")

@@ -48,6 +48,15 @@ def test_completions_against_a_scan(spark):
         suggest.suggest(table, spark.createDataFrame([("a", "ab")], "typed_id string, typed string"), 9)
 
 
+def test_completions_of_all_that_begins(spark):
+    """More phrases than a window has begin with what was typed, the heaviest of them last in order."""
+    weights = {f"ab{i:04d} x": 1.0 if i < 450 else 2.0 + i for i in range(600)} | {"zz abz": 9999.0, "ab0599": 0.5}
+    table = suggest.completions(spark.createDataFrame(list(weights.items()), "phrase string, weight double"), window=None)
+    got = [tuple(r) for r in suggest.suggest(table, spark.createDataFrame([("a", "ab"), ("b", "ab05")], "typed_id string, typed string")).orderBy("typed_id", "rank").collect()]
+    best = [f"ab{i:04d} x" for i in range(599, 591, -1)]
+    assert got == [(t, r, p) for t in "ab" for r, p in enumerate(best, 1)]
+
+
 @pytest.fixture(scope="module")
 def parts(spark):
     return build_index(parts_catalogue(spark, SMALL), L.PART_LEXICONS)
