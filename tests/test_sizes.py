@@ -1,7 +1,13 @@
+import random
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
+from quillsearch.functions import text as T
 from quillsearch.plans import bitmaps
-from quillsearch.plans.index import build_index
+from quillsearch.plans.catalogues import docs_catalogue
+from quillsearch.plans.index import build_index, live
 from quillsearch.scratch import written
 
 
@@ -29,3 +35,33 @@ def test_slabs_taken_apart_many_at_a_time(spark):
     bits = bitmaps.united(bitmaps.sets(members, "q"), "q")
     got = bitmaps.documents(bitmaps.slabs(bits, 5), 5).orderBy("doc").collect()
     assert [(r.q, r.n > 0, r.doc) for r in got] == [("a", True, 7 * i) for i in range(n)]
+
+
+def files(folder, pattern="*.parquet"):
+    return sum(p.stat().st_size for p in Path(folder).rglob(pattern))
+
+
+def test_index_takes_no_multiple_of_the_texts(spark):
+    cards = docs_catalogue(spark, "/root/testdata/sf0.01")
+    texts = live(cards).agg(F.sum(F.octet_length("card_description"))).first()[0]
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = files(shared)
+    index = build_index(cards)
+    index.card_words.count()
+    assert files(shared) - before < 2.5 * texts
+
+
+def test_tables_leave_no_shuffle_behind(spark):
+    local = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    kept = lambda: {p for d in local for p in Path(d).rglob("shuffle_*.data")}
+    before = kept()
+    assert written(spark.range(100_000).repartition(4, "id"), "moved").count() == 100_000
+    moved = {p for p in kept() - before if p.stat().st_size > 100_000}
+    assert not moved
+
+
+def test_words_counted_in_their_rows(spark):
+    chance = random.Random(3)
+    rows = [(i, [chance.choice(["a", "b", "ab", "c", "z9"]) for _ in range(chance.randrange(12))]) for i in range(300)]
+    got = spark.createDataFrame(rows, "i int, w array<string>").select("i", T.counted(F.col("w")).alias("c")).collect()
+    assert {r.i: [tuple(x) for x in r.c] for r in got} == {i: sorted(Counter(w).items()) for i, w in rows}
