@@ -48,7 +48,10 @@ def test_index_takes_no_multiple_of_the_texts(spark):
     before = files(shared)
     index = build_index(cards)
     index.card_words.count()
-    assert files(shared) - before < 2.5 * texts
+    words = files(shared)
+    assert words - before < 2.5 * texts
+    index.postings.count()
+    assert files(shared) - words < 1.5 * texts
 
 
 def test_tables_leave_no_shuffle_behind(spark):
