@@ -63,6 +63,15 @@ def test_tables_leave_no_shuffle_behind(spark):
     assert not moved
 
 
+def test_sets_meet_in_one_shuffle(spark):
+    members = spark.range(3000).select(F.when(F.col("id") % 9 == 0, "a").otherwise("b").alias("q"), (F.col("id") * 31).alias("doc"))
+    got = bitmaps.sets(members, "q")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = Counter(("a" if i % 9 == 0 else "b", i * 31 >> bitmaps.BLOCK_BITS) for i in range(3000))
+    assert {(r.q, r.block): r.n for r in got.collect()} == want
+    assert all((r.few is None) != (r.bits is None) and (r.few is None) == (r.n > bitmaps.FEW) for r in got.collect())
+
+
 def test_words_counted_in_their_rows(spark):
     chance = random.Random(3)
     rows = [(i, [chance.choice(["a", "b", "ab", "c", "z9"]) for _ in range(chance.randrange(12))]) for i in range(300)]
